@@ -9,6 +9,8 @@ whole.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +94,45 @@ def _one_method(left: DataFrame, right: DataFrame, features: DataFrame, spec: Li
     other = rows.join(groups, ["l_item", "l_seq"]).filter((F.col("gkey") != F.col("r_gkey")) | (F.col("gkey") == ""))
     order = Window.partitionBy("block_key", "gkey", "l_seq").orderBy(F.desc("sim"), "right_id")
     ranked = other.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
-    return ranked.select("block_key", "gkey", F.col("l_seq").alias("seq"), "right_id")
+    return ranked.select("block_key", "gkey", F.col("l_seq").alias("seq"), "right_id", "sim", F.col("n").alias("rank"))
+
+
+def _by_shape(left: DataFrame, right: DataFrame, spec: LinkageSpec, vectors: DataFrame) -> DataFrame:
+    own = vectors.select("block_key", F.col("block_key").alias("item"))
+    return _one_method(
+        left.join(own, "block_key"), right.join(own, "block_key"),
+        vectors.select(F.col("block_key").alias("item"), "vec"), spec,
+        lambda a, b, k: nearest_join(a, b, k, "cosine", spec.window),
+    )
+
+
+def _by_sound(left: DataFrame, right: DataFrame, spec: LinkageSpec, tokens: DataFrame, strategy: str) -> DataFrame:
+    """Values with the same syllable set are one item."""
+    named = tokens.select("block_key", F.array_join("tokens", KEY_SEP).alias("item"), F.col("tokens").alias("vec"))
+    named = cut(named.filter(F.size("vec") > 0))
+    own = named.select("block_key", "item")
+    return _one_method(
+        left.join(own, "block_key"), right.join(own, "block_key"), named.select("item", "vec").distinct(), spec,
+        lambda a, b, k: nearest_sets(a, b, k, spec.window, strategy),
+    )
+
+
+def neighbours(records: DataFrame, spec: LinkageSpec, described: DataFrame, metric: str, strategy: str = "auto") -> DataFrame:
+    """(left_id, right_id, sim, rank): the ``top_k`` nearest records of every
+    record in its window, itself and exact-key matches included.
+
+    ``described`` is ``(block_key, vec)`` for cosine, ``(block_key, tokens)``
+    for jaccard.
+    """
+    plain = replace(spec, guarantee_cols=(), buffered=True)
+    keyed = _keyed(plain.validate(records), plain)
+    if metric == "cosine":
+        ranked = _by_shape(keyed, keyed, plain, described)
+    else:
+        ranked = _by_sound(keyed, keyed, plain, described, strategy)
+    # At most top_k entries per group.
+    lists = ranked.groupBy("block_key", "seq").agg(F.collect_list(F.struct("right_id", "sim", "rank")).alias("found"))
+    return keyed.join(lists, ["block_key", "seq"]).select(F.col("record_id").alias("left_id"), F.inline("found"))
 
 
 def block(
@@ -116,22 +156,11 @@ def block(
     if left_editions is not None:
         left = right.join(left_editions.select(F.col("edition_seq").alias("seq")), "seq", "left_semi")
 
-    def items(side: DataFrame, lookup: DataFrame) -> DataFrame:
-        return side.join(lookup, "block_key")
-
-    own = vectors.select("block_key", F.col("block_key").alias("item"))
-    shape = _one_method(
-        items(left, own), items(right, own), vectors.select(F.col("block_key").alias("item"), "vec"), spec,
-        lambda a, b, k: nearest_join(a, b, k, "cosine", spec.window),
-    )
-    sound = cut(tokens.select("block_key", F.array_join("tokens", KEY_SEP).alias("item"), F.col("tokens").alias("vec")).filter(F.size("vec") > 0))
-    phon = _one_method(
-        items(left, sound.select("block_key", "item")), items(right, sound.select("block_key", "item")),
-        sound.select("item", "vec").distinct(), spec,
-        lambda a, b, k: nearest_sets(a, b, k, spec.window, strategy),
-    )
-    flags = shape.select("*", F.lit(True).alias("by_shape"), F.lit(False).alias("by_phon")).unionByName(
-        phon.select("*", F.lit(False).alias("by_shape"), F.lit(True).alias("by_phon"))
+    group = ["block_key", "gkey", "seq", "right_id"]
+    shape = _by_shape(left, right, spec, vectors)
+    phon = _by_sound(left, right, spec, tokens, strategy)
+    flags = shape.select(*group, F.lit(True).alias("by_shape"), F.lit(False).alias("by_phon")).unionByName(
+        phon.select(*group, F.lit(False).alias("by_shape"), F.lit(True).alias("by_phon"))
     )
     merged = flags.groupBy("block_key", "gkey", "seq", "right_id").agg(
         F.max("by_shape").alias("by_shape"), F.max("by_phon").alias("by_phon")

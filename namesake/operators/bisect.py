@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namesake.operators.guarantee import match_counts, matches
+from namesake.operators.guarantee import follows_order, match_counts, matches
 from namesake.operators.temporal import break_counts, is_leaf
 from namesake.session import cut
 from namesake.spec import LinkageSpec
@@ -42,7 +42,7 @@ def _listed_arcs(nodes: DataFrame, edges: DataFrame, max_diff: float, weighted:
     )
 
 
-def _links_to(nodes: DataFrame, arcs: DataFrame, marks: list[str], max_diff: float) -> DataFrame:
+def _links_to(nodes: DataFrame, arcs: DataFrame, marks: list[str], max_diff: float, ordered: bool) -> DataFrame:
     """Weight from every node to the marked nodes of its cluster, per mark column.
 
     Marks are 0 or 1; the result has one ``to_{mark}`` column per mark.
@@ -53,7 +53,7 @@ def _links_to(nodes: DataFrame, arcs: DataFrame, marks: list[str], max_diff: flo
     )
     by = ("path", "gkey")
     cells = nodes.filter(F.col("gkey").isNotNull()).groupBy(*by, "seq", "year").agg(*[F.sum(m).alias(m) for m in marks])
-    grouped = match_counts(cells, marks, max_diff, by).withColumnsRenamed({m: f"grouped_{m}" for m in marks})
+    grouped = match_counts(cells, marks, max_diff, by, ordered).withColumnsRenamed({m: f"grouped_{m}" for m in marks})
     joined = nodes.join(listed, "record_id", "left").join(grouped, [*by, "seq", "year"], "left")
     # A node is counted in its own cell.
     return joined.select(
@@ -69,17 +69,25 @@ def _links_to(nodes: DataFrame, arcs: DataFrame, marks: list[str], max_diff: flo
 
 
 def bisect(
-    nodes: DataFrame, edges: DataFrame, max_diff: float, rounds: int = 12, restarts: int = 4, seed: int = 0, weighted: bool = False
+    nodes: DataFrame,
+    edges: DataFrame,
+    max_diff: float,
+    rounds: int = 12,
+    restarts: int = 4,
+    seed: int = 0,
+    weighted: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
     """(record_id, path) -> side 0 or 1 with the best modularity found.
 
     ``nodes(record_id, path, gkey, seq, year)``. A cluster for which no start
-    reaches a positive modularity keeps side 0 throughout.
+    reaches a positive modularity keeps side 0 throughout. ``ordered`` is what
+    ``follows_order`` says about the keys.
     """
     base = ["record_id", "path", "gkey", "seq", "year"]
     nodes = nodes.select(*base)
     arcs = cut(_listed_arcs(nodes, edges, max_diff, weighted))
-    state = _links_to(nodes.withColumn("one", F.lit(1)), arcs, ["one"], max_diff)
+    state = _links_to(nodes.withColumn("one", F.lit(1)), arcs, ["one"], max_diff, ordered)
     state = state.withColumnRenamed("to_one", "degree").drop("one")
     tries = range(restarts)
     side, best = [f"side_{r}" for r in tries], [f"best_{r}" for r in tries]
@@ -91,7 +99,7 @@ def bisect(
     )
     state = cut(state)
     for step in range(rounds):
-        linked = cut(_links_to(state, arcs, side, max_diff))
+        linked = _links_to(state, arcs, side, max_diff, ordered)
         whole = F.col("degree")
 
         def own(r: int):
@@ -154,6 +162,7 @@ def split_clusters(
     """
     base = ["record_id", "cluster", "path", "seq", "year", "gkey"]
     active = cut(members.withColumn("path", F.col("cluster").cast("string")).select(*base))
+    ordered = follows_order(active, spec.max_year_diff)
     done = []
     for level in range(max_levels):
         counts = cut(break_counts(active, edges, "path", spec.max_year_diff, spec.denominator).select("path", is_leaf(spec).alias("leaf")))
@@ -162,7 +171,7 @@ def split_clusters(
         if failing.isEmpty():
             break
         nodes = cut(active.join(failing, "path", "left_semi"))
-        sides = cut(bisect(nodes, edges, spec.max_year_diff, rounds, restarts, seed + level, weighted))
+        sides = cut(bisect(nodes, edges, spec.max_year_diff, rounds, restarts, seed + level, weighted, ordered))
         spread = sides.groupBy("path").agg((F.min("side") != F.max("side")).alias("divides"))
         placed = nodes.join(sides, ["record_id", "path"]).join(spread, "path")
         done.append(placed.filter(~F.col("divides")).select(*base))

@@ -69,13 +69,38 @@ def guarantee_links(table: DataFrame, max_diff: float) -> DataFrame:
     )
 
 
-def match_counts(cells: DataFrame, counts: list[str], max_diff: float, by: tuple[str, ...] = ("gkey",)) -> DataFrame:
+def _behind(by: tuple[str, ...], max_diff: float) -> Column:
+    """Whether some earlier edition of the key lies ``max_diff`` or more ahead in year."""
+    earlier = Window.partitionBy(*by).orderBy("seq", "year").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.max("year").over(earlier) - F.col("year") >= max_diff, F.lit(False))
+
+
+def follows_order(table: DataFrame, max_diff: float) -> bool:
+    """Whether no key has years that run against the row order by the bound.
+
+    An edition that spans the bound itself has no defined order within, and
+    stops the job.
+    """
+    cells = table.filter(F.col("gkey").isNotNull()).select("gkey", "seq", "year").distinct()
+    whole = Window.partitionBy("gkey", "seq")
+    spread = F.max("year").over(whole) - F.min("year").over(whole)
+    found = cells.select(_behind(("gkey",), max_diff).alias("behind"), spread.alias("spread")).agg(
+        F.coalesce(F.max("behind"), F.lit(False)).alias("behind"), F.coalesce(F.max("spread"), F.lit(0.0)).alias("spread")
+    ).first()
+    if found["spread"] >= max_diff:
+        raise ValueError("an edition spans max_year_diff")
+    return not found["behind"]
+
+
+def match_counts(
+    cells: DataFrame, counts: list[str], max_diff: float, by: tuple[str, ...] = ("gkey",), ordered: bool = False
+) -> DataFrame:
     """Sum ``counts`` over all cells a cell matches with, its own included.
 
     ``cells`` has one row per ``by``, seq and year. Cells closer than the bound
-    match; cells further apart match only where years run against row order,
-    which is looked for in just the keys where it occurs. An edition that spans
-    the bound itself has no defined order within, and stops the job.
+    match; cells further apart match only where years run against row order.
+    Those are looked for in just the keys where it occurs, and not at all when
+    ``ordered`` says that ``follows_order`` found none.
     """
     keys = ", ".join(by)
     bound = f"{float(max_diff)}D"
@@ -92,17 +117,12 @@ def match_counts(cells: DataFrame, counts: list[str], max_diff: float, by: tuple
             + " - " + frame(f"{bound} following", f"{bound} following")
         )
 
-    spread = F.max("year").over(Window.partitionBy(*by, "seq")) - F.min("year").over(Window.partitionBy(*by, "seq"))
-    earlier = Window.partitionBy(*by).orderBy("seq", "year").rowsBetween(Window.unboundedPreceding, -1)
-    behind = F.coalesce(F.max("year").over(earlier) - F.col("year") >= max_diff, F.lit(False))
+    if ordered:
+        return cells.select(*by, "seq", "year", *[near(c).alias(c) for c in counts])
     out = cells.select(
-        *by, "seq", "year",
-        *[near(c).alias(f"near_{c}") for c in counts],
-        *counts,
-        F.when(spread >= max_diff, F.raise_error(F.lit("an edition spans max_year_diff"))).alias("_check"),
-        behind.alias("_behind"),
+        *by, "seq", "year", *[near(c).alias(f"near_{c}") for c in counts], *counts, _behind(by, max_diff).alias("_behind")
     )
-    out = out.filter(F.col("_check").isNull()).withColumn("_mixed", F.max("_behind").over(Window.partitionBy(*by)))
+    out = out.withColumn("_mixed", F.max("_behind").over(Window.partitionBy(*by)))
     mixed = out.filter("_mixed")
     other = mixed.select(*by, F.col("seq").alias("o_seq"), F.col("year").alias("o_year"), *[F.col(c).alias(f"o_{c}") for c in counts])
     against = ((F.col("o_year") - F.col("year") >= max_diff) & (F.col("o_seq") < F.col("seq"))) | (
@@ -122,5 +142,5 @@ def match_counts(cells: DataFrame, counts: list[str], max_diff: float, by: tuple
 def guarantee_degrees(table: DataFrame, max_diff: float) -> DataFrame:
     """(record_id, n_matches): exact-key matches of every record."""
     cells = table.groupBy("gkey", "seq", "year").agg(F.count("*").alias("n"))
-    totals = match_counts(cells, ["n"], max_diff)
+    totals = match_counts(cells, ["n"], max_diff, ordered=follows_order(table, max_diff))
     return table.join(totals, ["gkey", "seq", "year"]).select("record_id", (F.col("n") - 1).alias("n_matches"))

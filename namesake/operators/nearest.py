@@ -29,6 +29,7 @@ from namesake.session import cut
 
 LEFT_BLOCK = 1024
 RIGHT_BLOCK = 4096
+MIN_BLOCK = 256
 MAX_PIVOTS = 512
 # Limit on the (bucket, cell) statistics that meet on the driver.
 MAX_STATS = 200_000
@@ -197,16 +198,24 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _layout(met: list, tasks: int) -> list:
+    """Blocks per (bucket, cell): no larger than allowed, and small enough that
+    a few large cells still occupy all tasks."""
+    right_block = RIGHT_BLOCK
+    while True:
+        layout = [(b, c, math.ceil(n / LEFT_BLOCK), math.ceil(m / right_block)) for b, c, n, m in met]
+        if sum(n * m for _, _, n, m in layout) >= 2 * tasks or right_block <= MIN_BLOCK:
+            return layout
+        right_block //= 2
+
+
 def _run_blocks(probes: DataFrame, right: DataFrame, sizes: list, metric: str, k: int, window: int) -> DataFrame:
     """Compare probes with the right rows of their (bucket, cell), block by block."""
     spark = probes.sparkSession
     by_cell = {(r["bucket"], r["cell"]): r["n"] for r in sizes}
     left_counts = probes.groupBy("bucket", "cell").agg(F.count("*").alias("n")).collect()
-    layout = [
-        (r["bucket"], r["cell"], math.ceil(r["n"] / LEFT_BLOCK), math.ceil(by_cell[r["bucket"], r["cell"]] / RIGHT_BLOCK))
-        for r in left_counts
-        if (r["bucket"], r["cell"]) in by_cell
-    ]
+    met = [(r["bucket"], r["cell"], r["n"], by_cell[r["bucket"], r["cell"]]) for r in left_counts if (r["bucket"], r["cell"]) in by_cell]
+    layout = _layout(met, spark.sparkContext.defaultParallelism)
     # At most MAX_STATS rows.
     layout = F.broadcast(spark.createDataFrame(layout, "bucket long, cell int, n_left long, n_right long"))
 
@@ -239,18 +248,18 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int, metric: str, window:
     Returns ``(l_item, l_seq, r_item, r_seq, r_tie, sim, rank)``.
     """
     right = right.withColumn("bucket", bucket_of(F.col("r_seq"), window))
-    totals = right.agg(F.count("*").alias("n"), F.countDistinct("bucket").alias("b")).first()
-    n_pivots = pivots or max(1, min(MAX_PIVOTS, totals["n"] // RIGHT_BLOCK))
-    n_pivots = max(1, min(n_pivots, MAX_STATS // max(1, totals["b"])))
+    # One row per bucket of editions.
+    sizes = right.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("cell", F.lit(0)).collect()
+    n_pivots = pivots or max(1, min(MAX_PIVOTS, sum(r["n"] for r in sizes) // RIGHT_BLOCK))
+    n_pivots = max(1, min(n_pivots, MAX_STATS // max(1, len(sizes))))
     if n_pivots == 1:
         right = right.withColumn("cell", F.lit(0))
-        sizes = right.groupBy("bucket", "cell").agg(F.count("*").alias("n")).collect()
         probes = left.withColumn("bucket", F.explode(window_buckets(F.col("l_seq"), window)))
         probes = probes.withColumn("cell", F.lit(0))
         return _best(_run_blocks(probes, right, sizes, metric, k, window), k)
 
     # At most MAX_PIVOTS rows, picked by hash so that reruns agree.
-    picked = right.select("r_item", "r_vec").distinct().orderBy(F.xxhash64("r_item"), "r_item").limit(n_pivots)
+    picked = right.orderBy(F.xxhash64("r_item", "r_seq"), "r_item", "r_seq").select("r_vec").limit(n_pivots)
     pivot_rows = _whole(picked.toArrow()["r_vec"])
     celled = cut(right.mapInArrow(_assigner(metric, pivot_rows), _add(right.schema, ("cell", T.IntegerType()), ("d", T.DoubleType()))))
     sizes = celled.groupBy("bucket", "cell").agg(

@@ -126,10 +126,25 @@ def record_tokens(spark, sf):
 
 # --- vectors, candidates, features --------------------------------------------
 
+# Written tables of stages that several queries start from, per session.
+STAGES: dict = {}
+
+
+def _stage(spark, name: str, sf: str, build):
+    key = (spark.sparkContext.applicationId, name, sf)
+    if key not in STAGES:
+        STAGES[key] = build()
+    return STAGES[key]
+
+
 def _values(spark, sf, spec=SPEC):
     r = standin.records(spark, sf)
-    vecs = standin.gram_vectors(features.feature_values(r, spec))
-    return r, describe_values(r, spec, vecs)
+
+    def build():
+        vecs = cut(standin.gram_vectors(cut(features.feature_values(r, spec))))
+        return describe_values(r, spec, vecs)
+
+    return r, _stage(spark, "values", sf, build)
 
 
 def gram_embedding(spark, sf):
@@ -158,7 +173,8 @@ def token_jaccard_documents(spark, sf):
         split = F.array_remove(F.split("text", "[ \n]+"), "")
         return df.select(F.col(key), F.sort_array(F.array_distinct(split)).alias("vec"))
 
-    items, docs = words(table(spark, sf, "benchmark"), "item_id"), words(table(spark, sf, "documents"), "doc_id")
+    items = cut(words(table(spark, sf, "benchmark"), "item_id"))
+    docs = cut(words(table(spark, sf, "documents"), "doc_id"))
     left = items.select(F.col("item_id").alias("l_item"), F.lit(0).alias("l_seq"), F.col("vec").alias("l_vec"))
     right = docs.select(F.col("doc_id").alias("r_item"), F.lit(0).alias("r_seq"), F.col("doc_id").alias("r_tie"), F.col("vec").alias("r_vec"))
     found = nearest_sets.nearest_sets(left, right, 5, strategy="blocks")
@@ -191,9 +207,9 @@ def blocked_candidates_unbuffered(spark, sf):
     return blocking.block(r, spec, v.block_vectors, v.block_tokens)
 
 
-def _featured(spark, sf, spec=SPEC):
-    r, v = _values(spark, sf, spec)
-    return r, pairing.candidate_features(r, spec, v)
+def _featured(spark, sf):
+    r, v = _values(spark, sf)
+    return r, _stage(spark, "features", sf, lambda: cut(pairing.candidate_features(r, SPEC, v)))
 
 
 def pair_features(spark, sf):

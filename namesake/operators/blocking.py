@@ -75,13 +75,15 @@ def _one_method(left: DataFrame, right: DataFrame, features: DataFrame, spec: Li
     )
     hits = search(cut(left_vecs), cut(right_vecs), depth)
 
-    # Keep items that fewer than ``depth`` records outrank, then rank records.
+    # Keep items that too few records outrank, then rank records. Unbuffered,
+    # the items of the left key do not count among those.
+    enough = depth if spec.buffered else k + spec.window * depth
     hits = hits.join(right_items.select("r_item", "r_seq", "members"), ["r_item", "r_seq"])
     by_sim = Window.partitionBy("l_item", "l_seq").orderBy(F.desc("sim"))
     tied = Window.partitionBy("l_item", "l_seq", "sim")
     n = F.size("members")
     upto = F.sum(n).over(by_sim.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    hits = hits.withColumn("outranked_by", upto - F.sum(n).over(tied)).filter(F.col("outranked_by") < depth)
+    hits = hits.withColumn("outranked_by", upto - F.sum(n).over(tied)).filter(F.col("outranked_by") < enough)
     rows = hits.select("l_item", "l_seq", "sim", F.explode("members").alias("m"))
     rows = rows.select("l_item", "l_seq", "sim", F.col("m.record_id").alias("right_id"), F.col("m.gkey").alias("r_gkey"))
     if spec.buffered:

@@ -37,7 +37,8 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     arcs = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _lowest_neighbour(arcs, "u", "v")
     joined = join_counted(arcs, low, "u", "_n", 2 * total)
-    return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    # Repeats are left to the other star to remove.
+    return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:

@@ -76,14 +76,14 @@ class LabelRounds:
             out = out.unionByName(r)
         return out.dropDuplicates(["pair_id"])
 
-    def start_round(self, n: int, **options) -> DataFrame:
-        """Choose the pairs of round ``n`` and export their cells."""
-        if n == 0:
+    def start_round(self, round_num: int, **options) -> DataFrame:
+        """Choose the pairs of a round and export their cells."""
+        if round_num == 0:
             rows = first_round(self.pool, **options)
         else:
-            rows = next_round(self.pool, self.labels(n - 1), self.features, n, **options)
+            rows = next_round(self.pool, self.labels(round_num - 1), self.features, round_num, **options)
         rows = cut(rows)
-        write_to_label(label_cells(rows), self.to_label(n), mode="overwrite")
+        write_to_label(label_cells(rows), self.to_label(round_num), mode="overwrite")
         return rows
 
     def finish_round(self, n: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from namesake.operators.guarantee import follows_order, match_counts, matches
 from namesake.operators.temporal import break_counts, is_leaf
-from namesake.session import cut
+from namesake.session import cut, release
 from namesake.spec import LinkageSpec
 
 
@@ -128,16 +128,16 @@ def bisect(
         moves = [(total > 0) & (gain(r) > 1e-9) & (_coin("record_id", F.lit(seed + 1000 + step), F.lit(r)) == 0) for r in tries]
         willing = reduce(lambda a, b: a | b, [(total > 0) & (gain(r) > 1e-9) for r in tries])
         better = [modularity(r) > F.col(f"q_{r}") + 1e-12 for r in tries]
-        state = cut(joined.select(
+        former, state = state, cut(joined.select(
             *base, "degree",
             *[F.when(moves[r], 1 - F.col(side[r])).otherwise(F.col(side[r])).alias(side[r]) for r in tries],
             *[F.when(better[r], F.col(side[r])).otherwise(F.col(best[r])).alias(best[r]) for r in tries],
             *[F.when(better[r], modularity(r)).otherwise(F.col(f"q_{r}")).alias(f"q_{r}") for r in tries],
             willing.alias("willing"),
         ))
+        release(former)
         if state.filter("willing").isEmpty():
             break
-        state = state.drop("willing")
     top = F.greatest(*[F.col(f"q_{r}") for r in tries]) if restarts > 1 else F.col("q_0")
     chosen = F.coalesce(*[F.when((F.col(f"q_{r}") == top) & (top > 0), F.col(best[r])) for r in tries], F.lit(0))
     return state.select("record_id", "path", chosen.alias("side"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namesake.session import cut
+from namesake.session import cut, release
 
 # A key with more rows than this share of the table (and than the minimum) is
 # joined by broadcast. At most HOT_SHARE keys can be that frequent.
@@ -68,7 +68,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     )
     state = _checksum(edges)
     for _ in range(max_rounds):
-        edges = cut(_small_star(_large_star(edges, state[0]), state[0]))
+        former, edges = edges, cut(_small_star(_large_star(edges, state[0]), state[0]))
+        release(former)
         before, state = state, _checksum(edges)
         if state == before:
             break

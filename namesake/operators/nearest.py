@@ -27,10 +27,14 @@ from namesake.functions.vectors import rows_of
 from namesake.operators.editions import bucket_of, window_buckets
 from namesake.session import cut
 
-LEFT_BLOCK = 1024
-RIGHT_BLOCK = 4096
+# Rows of the two sides of one block; sets take more room than vectors.
+BLOCKS = {"cosine": (8192, 16384), "jaccard": (1024, 4096)}
 MIN_BLOCK = 256
-MAX_PIVOTS = 512
+# Left rows compared at once inside a block.
+SLICE = 1024
+# Wanted right rows per cell, and the limit on cells.
+CELL_ROWS = 4096
+MAX_PIVOTS = 2048
 # Limit on the (bucket, cell) statistics that meet on the driver.
 MAX_STATS = 200_000
 # Similarities are compared at this many decimals, so that ties break the same
@@ -95,24 +99,26 @@ def _block_kernel(metric: str, k: int, window: int):
         if not len(left) or not len(right):
             return schema.empty_table()
         right = right.sort_by("r_tie")
-        sims = np.round(sims_of(_whole(left["l_vec"]), _whole(right["r_vec"])), DECIMALS)
-        l_seq = left["l_seq"].to_numpy()[:, None]
-        r_seq = right["r_seq"].to_numpy()[None, :]
-        out = (r_seq < l_seq) | (r_seq >= l_seq + window)
-        if not zero_counts:
-            out |= sims <= 0
-        sims[out] = -np.inf
+        vecs, r_seq = _whole(right["r_vec"]), right["r_seq"].to_numpy()[None, :]
         lefts, rights, values = [], [], []
-        for i, row in enumerate(sims):
-            if len(row) > k:
-                kth = -np.partition(-row, k - 1)[k - 1]
-                hits = np.flatnonzero((row >= kth) & (row > -np.inf))
-            else:
-                hits = np.flatnonzero(row > -np.inf)
-            hits = hits[np.argsort(-row[hits], kind="stable")[:k]]
-            lefts.append(np.full(len(hits), i))
-            rights.append(hits)
-            values.append(row[hits])
+        for start in range(0, len(left), SLICE):
+            part = left.slice(start, SLICE)
+            sims = np.round(sims_of(_whole(part["l_vec"]), vecs), DECIMALS)
+            l_seq = part["l_seq"].to_numpy()[:, None]
+            out = (r_seq < l_seq) | (r_seq >= l_seq + window)
+            if not zero_counts:
+                out |= sims <= 0
+            sims[out] = -np.inf
+            for i, row in enumerate(sims):
+                if len(row) > k:
+                    kth = -np.partition(-row, k - 1)[k - 1]
+                    hits = np.flatnonzero((row >= kth) & (row > -np.inf))
+                else:
+                    hits = np.flatnonzero(row > -np.inf)
+                hits = hits[np.argsort(-row[hits], kind="stable")[:k]]
+                lefts.append(np.full(len(hits), start + i))
+                rights.append(hits)
+                values.append(row[hits])
         lefts, rights = np.concatenate(lefts), np.concatenate(rights)
         return pa.table(
             [left[c].take(pa.array(lefts)) for c in ("l_item", "l_seq")]
@@ -198,12 +204,12 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _layout(met: list, tasks: int) -> list:
+def _layout(met: list, tasks: int, metric: str) -> list:
     """Blocks per (bucket, cell): no larger than allowed, and small enough that
     a few large cells still occupy all tasks."""
-    right_block = RIGHT_BLOCK
+    left_block, right_block = BLOCKS[metric]
     while True:
-        layout = [(b, c, math.ceil(n / LEFT_BLOCK), math.ceil(m / right_block)) for b, c, n, m in met]
+        layout = [(b, c, math.ceil(n / left_block), math.ceil(m / right_block)) for b, c, n, m in met]
         if sum(n * m for _, _, n, m in layout) >= 2 * tasks or right_block <= MIN_BLOCK:
             return layout
         right_block //= 2
@@ -215,7 +221,7 @@ def _run_blocks(probes: DataFrame, right: DataFrame, sizes: list, metric: str, k
     by_cell = {(r["bucket"], r["cell"]): r["n"] for r in sizes}
     left_counts = probes.groupBy("bucket", "cell").agg(F.count("*").alias("n")).collect()
     met = [(r["bucket"], r["cell"], r["n"], by_cell[r["bucket"], r["cell"]]) for r in left_counts if (r["bucket"], r["cell"]) in by_cell]
-    layout = _layout(met, spark.sparkContext.defaultParallelism)
+    layout = _layout(met, spark.sparkContext.defaultParallelism, metric)
     # At most MAX_STATS rows.
     layout = F.broadcast(spark.createDataFrame(layout, "bucket long, cell int, n_left long, n_right long"))
 
@@ -250,7 +256,7 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int, metric: str, window:
     right = right.withColumn("bucket", bucket_of(F.col("r_seq"), window))
     # One row per bucket of editions.
     sizes = right.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("cell", F.lit(0)).collect()
-    n_pivots = pivots or max(1, min(MAX_PIVOTS, sum(r["n"] for r in sizes) // RIGHT_BLOCK))
+    n_pivots = pivots or max(1, min(MAX_PIVOTS, sum(r["n"] for r in sizes) // CELL_ROWS))
     n_pivots = max(1, min(n_pivots, MAX_STATS // max(1, len(sizes))))
     if n_pivots == 1:
         right = right.withColumn("cell", F.lit(0))

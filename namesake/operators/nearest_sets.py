@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesake.operators.editions import bucket_of, in_window, window_buckets
-from namesake.operators.nearest import RIGHT_BLOCK, nearest_join
+from namesake.operators.nearest import CELL_ROWS, nearest_join
 
 SUBSET_SEP = "\u0001"
 # A set of n tokens has 2^n - 1 subsets.
@@ -73,10 +73,10 @@ def nearest_sets(
 
     Columns as in ``nearest_join``, with sorted distinct token arrays.
     ``strategy`` is ``subsets``, ``blocks`` or ``auto``: right sides that fit
-    one block are compared directly.
+    one cell are compared directly.
     """
     if strategy == "auto":
-        strategy = "blocks" if right.count() <= RIGHT_BLOCK else "subsets"
+        strategy = "blocks" if right.count() <= CELL_ROWS else "subsets"
     if strategy == "blocks":
         return nearest_join(left, right, k, "jaccard", window)
     short_left, short_right = F.size("l_vec") <= max_tokens, F.size("r_vec") <= max_tokens

@@ -50,21 +50,33 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Unlike ``checkpoint()`` this evaluates the plan once and leaves a columnar
-    table, so later scans prune columns. It outlives lost executors. Spark
-    removes the table when the session's file system closes.
+    table, so later scans prune columns. It outlives lost executors. The table
+    is removed when the session's file system closes, or by ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/namesake-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.parquet(path)
+    target, fs = _file_system(spark, path)
     fs.deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Remove a table ``cut`` wrote, once a later one has replaced it.
+
+    Only for a loop's former state: no plan that is still to run may read it.
+    """
+    target, fs = _file_system(table.sparkSession, table.written_to)
+    fs.delete(target, True)

@@ -47,8 +47,8 @@ def vectors():
 
 @pytest.mark.parametrize("pivots", [1, 5, 40])
 def test_cosine(spark, vectors, pivots, monkeypatch):
-    monkeypatch.setattr(nearest, "LEFT_BLOCK", 30)
-    monkeypatch.setattr(nearest, "RIGHT_BLOCK", 40)
+    monkeypatch.setitem(nearest.BLOCKS, "cosine", (50, 40))
+    monkeypatch.setattr(nearest, "MIN_BLOCK", 40)
     left = spark.createDataFrame(vectors, "l_item long, l_seq int, l_vec array<double>")
     right = spark.createDataFrame([(i, s, i, v) for i, s, v in vectors], "r_item long, r_seq int, r_tie long, r_vec array<double>")
     found = got(nearest.nearest_join(left, right, K, "cosine", WINDOW, pivots))

@@ -18,8 +18,8 @@ def dense_index(df: DataFrame, order: list[str], name: str = "idx", partitions:
     row count of each partition meets on the driver.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    placed = placed.sortWithinPartitions(*order)
     placed = cut(placed.withColumn("_row", F.monotonically_increasing_id()))
     row = F.col("_row")
     counts = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from namesake.functions.text import cluster_key
@@ -13,6 +13,12 @@ HIST_RANGE = (0, 60)
 HIST_BINS = 20
 
 
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` with its row count taken along by whichever job runs it."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def person_ids(records: DataFrame, clusters: DataFrame, paths: DataFrame) -> DataFrame:
     """Preliminary and final entity ids of ``records(record_id, seq, ...)``.
 

@@ -120,6 +120,12 @@ def test_sizes(spark):
     assert stats["median_size"] == 1.5 and stats["mean_size"] == 1.5
 
 
+def test_observed(spark):
+    df, seen = summary.observed(spark.range(12).filter("id > 1"), "kept")
+    df.collect()
+    assert seen.get == {"rows": 10}
+
+
 def test_person_ids(spark):
     base = spark.createDataFrame([(i, i) for i in range(5)], "record_id long, seq int")
     clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "record_id long, cluster long")

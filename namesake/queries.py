@@ -444,7 +444,7 @@ def linkage_with_committee(spark, sf):
     rows = labelling.training_rows(pairs, cut(labels), SPEC.feature_names)
     models = committee.train_committee(rows, SPEC.feature_names, committee.TreeParams(maxIter=5), 3)
     scored = committee.score_committee(pairs, models, SPEC.feature_names)
-    return resolution.resolve(r, SPEC, scored, rounds=6, restarts=2)
+    return resolution.resolve(r, SPEC, scored, rounds=4, restarts=1)
 
 
 QUERIES: dict[str, Query] = {

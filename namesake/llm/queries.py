@@ -7,25 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesake.llm import mixing, simhash
+from namesake.llm import mixing, packing, simhash, tokencount
 from namesake.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokencount.token_counts(documents(spark, sf))
+
+
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf))
     first, second = F.get("positions", F.lit(0)), F.get("positions", F.lit(1))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position"), F.round(second, 9).alias("second_position"))
 
 
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(documents(spark, sf))
+
+
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.components(documents(spark, sf))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
+    "op4_packing": op4_packing,
     "op8_simhash": op8_simhash,
 }
 

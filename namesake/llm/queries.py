@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesake.llm import mixing, packing, simhash, tokencount
+from namesake.llm import mixing, outliers, packing, simhash, tokencount
 from namesake.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,18 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return outliers.judge(documents(spark, sf)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
     "op4_packing": op4_packing,
     "op8_simhash": op8_simhash,
+    "op10_outliers": op10_outliers,
 }
 
 ORACLES: dict[str, str] = {

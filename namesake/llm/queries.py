@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesake.llm import mixing, outliers, packing, quality, simhash, tokencount
+from namesake.llm import langid, mixing, outliers, packing, quality, simhash, tokencount
 from namesake.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet")))
 
 
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.train_and_identify(documents(spark, sf))
+
+
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.components(documents(spark, sf))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op10_outliers": op10_outliers,
 }

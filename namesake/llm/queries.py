@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesake.llm import langid, mixing, outliers, packing, quality, simhash, tokencount
+from namesake.llm import langid, mixing, ordermin, outliers, packing, quality, simhash, tokencount
 from namesake.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return ordermin.edited_pairs(documents(spark, sf))
+
+
 def op10_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return outliers.judge(documents(spark, sf)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op9_order_minhash": op9_order_minhash,
     "op10_outliers": op10_outliers,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesake.llm import langid, mixing, ordermin, outliers, packing, quality, simhash, tokencount
+from namesake.llm import langid, mixing, ordermin, outliers, packing, quality, shards, simhash, tokencount
 from namesake.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf))
 
 
+def op5_shards(spark: SparkSession, sf: str) -> DataFrame:
+    index, folder = shards.write_shards(documents(spark, sf))
+    found = shards.read_slots(index, folder, with_ids=False).select("slot", "ids_crc32")
+    return index.join(found, "slot")
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet")))
@@ -55,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
     "op4_packing": op4_packing,
+    "op5_shards": op5_shards,
     "op6_quality_rules": op6_quality_rules,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,

@@ -1,18 +1,21 @@
 """A causal self-attention model of subword ids, in numpy.
 
-The probability of the next id is a mixture of K distributions over ids. The
-weights of the mixture come from the current id (a table) and from one masked
-attention head over the ids before it. So the probability of the id that did
-follow needs K numbers and not one for each id of the vocabulary, and is still
-exactly normalised.
+The probability of the next id is a mixture of distributions over ids. Two of
+them belong to the current id: what begins a word after it, and what goes on
+with its word; the others are shared. The weights of the mixture come from a
+masked attention head over the ids before, the current and the previous id and
+the letters of the word so far. So the probability of the id that did follow
+needs as many numbers as there are distributions and not one for each id of the
+vocabulary, and is still exactly normalised.
 
 A text is scored in windows of ``2 * STRIDE`` ids that overlap by half: the
 first half is context only, and each id of the second half is scored, with
 at least STRIDE ids to look back on wherever the text has them. All windows of a
 batch go through the head together.
 
-Ids beyond the ACTIVE most frequent share one outcome of the mixture, times
-their own share of it.
+Ids beyond the ACTIVE most frequent share two outcomes of the mixture (those
+that begin a word and those that don't), times their own share of it. All tables
+are bounded by these parameters, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 
 STRIDE = 16
-WIDTH, HIDDEN, MIXTURE = 16, 24, 64
-ACTIVE = 3072
+WIDTH, HIDDEN, MIXTURE = 16, 32, 48
+ACTIVE = 2048
+#: Letters of a word so far are told apart up to this number.
+LETTERS = 32
 #: Rare ids share embeddings by remainder.
 RARE_ROWS = 64
 
@@ -32,56 +37,61 @@ RARE_ROWS = 64
 class Inventory:
     """Active ids and the shares of the others."""
 
-    #: id -> outcome, ACTIVE for every rare id.
+    #: id -> outcome; the last two outcomes are rare ids that begin a word, and others.
     outcome: np.ndarray
     #: id -> row of the input tables.
     row: np.ndarray
-    #: Log share of a rare id among the rare; 0 for active ids.
+    #: Log share of a rare id among the rare of its kind; 0 for active ids.
     rare_log: np.ndarray
+    #: id -> it begins a word; by outcome.
+    begins: np.ndarray
+    outcome_begins: np.ndarray
+    #: id -> letters.
+    letters: np.ndarray
     rows: int
     outcomes: int
     #: Input row of the start of a text.
     start: int
 
 
-def inventory(counts: np.ndarray, always: list[int], active: int = ACTIVE) -> Inventory:
+def inventory(counts: np.ndarray, begins: np.ndarray, letters: np.ndarray, always: list[int], active: int = ACTIVE) -> Inventory:
     size = len(counts)
-    active = min(active, size - 1)
     ranked = np.argsort(-counts, kind="stable")
     chosen = np.array([*always, *[i for i in ranked[: active + len(always)] if i not in always]][:active])
-    outcome = np.full(size, active, np.int32)
-    outcome[chosen] = np.arange(active)
+    outcome = np.where(begins, active, active + 1).astype(np.int32)
+    outcome[chosen] = np.arange(len(chosen))
     row = np.where(outcome < active, outcome, active + np.arange(size) % RARE_ROWS).astype(np.int32)
-    rare = outcome == active
     log = np.zeros(size, np.float64)
-    log[rare] = np.log((counts[rare] + 1.0) / (counts[rare] + 1.0).sum())
-    return Inventory(outcome, row, log, active + RARE_ROWS + 1, active + 1, active + RARE_ROWS)
+    for kind in (active, active + 1):
+        rare = outcome == kind
+        log[rare] = np.log((counts[rare] + 1.0) / (counts[rare] + 1.0).sum())
+    outcome_begins = np.zeros(active + 2, bool)
+    outcome_begins[outcome] = begins
+    return Inventory(outcome, row, log, begins, outcome_begins, letters, active + RARE_ROWS + 1, active + 2, active + RARE_ROWS)
 
 
-def mixture_from_counts(prev: np.ndarray, nxt: np.ndarray, n: np.ndarray, first: np.ndarray, ends: np.ndarray, inv: Inventory, steps: int = 25, k: int = MIXTURE) -> tuple[np.ndarray, np.ndarray]:
-    """(gate table, mixture logits) from counts of neighbours within words.
+def tables_from_counts(prev: np.ndarray, nxt: np.ndarray, n: np.ndarray, texts: float, inv: Inventory, steps: int = 20, k: int = MIXTURE) -> dict[str, np.ndarray]:
+    """First tables from counts of neighbours: ``prev`` rows, ``nxt`` outcomes.
 
-    Expectation maximisation of P(next | previous) as a mixture. Component 0 is
-    what begins a word; an id takes it as often as it ends one.
+    ``mix`` comes from expectation maximisation of P(next | previous) as a
+    mixture; ``near`` is each row's own distribution of the ids that begin a
+    word, and of the others, smoothed by that mixture; ``gate`` weighs them.
     """
     rng = np.random.default_rng(5)
-    e = np.zeros((k, inv.outcomes))
-    e[0] = (first + 0.01) / (first + 0.01).sum()
     overall = np.bincount(nxt, n, inv.outcomes) + 0.01
-    e[1:] = overall * rng.gamma(1.0, size=(k - 1, inv.outcomes))
-    e[1:] /= e[1:].sum(axis=1, keepdims=True)
-    inside = np.bincount(prev, n, inv.rows)
-    gate = rng.gamma(1.0, size=(inv.rows, k - 1))
+    e = overall * rng.gamma(1.0, size=(k, inv.outcomes))
+    e /= e.sum(axis=1, keepdims=True)
+    gate = rng.gamma(1.0, size=(inv.rows, k))
     gate /= gate.sum(axis=1, keepdims=True)
     order = np.argsort(prev, kind="stable")
     prev, nxt, n = prev[order], nxt[order], n[order]
     block = 1 << 16
     for _ in range(steps if len(n) else 0):
-        up = np.zeros((k - 1, inv.outcomes))
-        new = np.zeros((inv.rows, k - 1))
+        up = np.zeros((k, inv.outcomes))
+        new = np.zeros((inv.rows, k))
         for a in range(0, len(n), block):
             p, t, w = prev[a : a + block], nxt[a : a + block], n[a : a + block]
-            r = gate[p] * e[1:, t].T
+            r = gate[p] * e[:, t].T
             r *= (w / np.maximum(r.sum(axis=1), 1e-300))[:, None]
             at = np.flatnonzero(np.diff(p, prepend=-1))
             new[p[at]] += np.add.reduceat(r, at, axis=0)
@@ -89,30 +99,34 @@ def mixture_from_counts(prev: np.ndarray, nxt: np.ndarray, n: np.ndarray, first:
             at = np.flatnonzero(np.diff(t[by], prepend=-1))
             up[:, t[by][at]] += np.add.reduceat(r[by], at, axis=0).T
         # A little of the overall distribution keeps unseen neighbours possible.
-        e[1:] = up + 2.0 * overall / overall.sum()
-        e[1:] /= e[1:].sum(axis=1, keepdims=True)
+        e = up + 2.0 * overall / overall.sum()
+        e /= e.sum(axis=1, keepdims=True)
         mean = new.sum(axis=0) / max(new.sum(), 1e-9)
         gate = new + 2.0 * mean + 1e-3
         gate /= gate.sum(axis=1, keepdims=True)
-    stay = (inside + 1.0) / (inside + ends + 2.0)
-    table = np.concatenate([1 - stay[:, None], stay[:, None] * gate], axis=1)
-    table[inv.start] = 1e-6
-    table[inv.start, 0] = 1.0
-    return np.log(table / table.sum(axis=1, keepdims=True)), np.log(e)
-
-
-NAMES = ("gate", "mix", "emb", "q", "k", "v", "look", "hv", "he", "hb", "out")
-
-
-def fresh(gate: np.ndarray, mix: np.ndarray, inv: Inventory) -> dict[str, np.ndarray]:
+    near = 8.0 * (gate @ e)
+    np.add.at(near, (prev, nxt), n)
+    starts = near[:, inv.outcome_begins].sum(axis=1)
+    share = starts / near.sum(axis=1)
+    near[:, inv.outcome_begins] /= starts[:, None]
+    near[:, ~inv.outcome_begins] /= near[:, ~inv.outcome_begins].sum(axis=1, keepdims=True)
+    seen = np.bincount(prev, n, inv.rows)
+    trust = 0.9 * seen / (seen + 8.0) + 0.05
+    table = np.concatenate([(trust * share)[:, None], (trust * (1 - share))[:, None], (1 - trust)[:, None] * gate], axis=1)
+    return {"gate": np.log(np.maximum(table, 1e-6)).astype(np.float32), "mix": np.log(e).astype(np.float32), "near": near.astype(np.float32)}
+
+
+def fresh(tables: dict[str, np.ndarray], inv: Inventory) -> dict[str, np.ndarray]:
+    """First parameters; ``near`` stays as counted, the others are trained."""
     rng = np.random.default_rng(7)
     normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     p = {
-        "gate": gate, "mix": mix, "emb": rng.normal(0, 0.7, (inv.rows, WIDTH)),
+        "gate": tables["gate"], "mix": tables["mix"], "emb": rng.normal(0, 0.7, (inv.rows, WIDTH)),
         "q": normal(WIDTH, WIDTH), "k": normal(WIDTH, WIDTH), "v": normal(WIDTH, WIDTH),
         # A penalty for looking far back.
         "look": -0.1 * np.arange(2 * STRIDE, dtype=float),
-        "hv": normal(WIDTH, HIDDEN), "he": normal(WIDTH, HIDDEN), "hb": np.zeros(HIDDEN), "out": np.zeros((HIDDEN, len(mix))),
+        "hv": normal(WIDTH, HIDDEN), "he": normal(WIDTH, HIDDEN), "hb": np.zeros(HIDDEN), "hl": rng.normal(0, 0.3, (LETTERS, HIDDEN)),
+        "hp": rng.normal(0, 0.3, (inv.rows, HIDDEN)), "out": np.zeros((HIDDEN, len(tables["mix"]) + 2)),
     }
     return {n: x.astype(np.float32) for n, x in p.items()}
 
@@ -124,35 +138,53 @@ _SEEN = _S <= _Q
 _FAR = np.float32(-1e9)
 
 
-def windows(ids: list[np.ndarray], inv: Inventory, start: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(input rows, targets, is a target, text of each window).
+@dataclass
+class Windows:
+    """Windows over texts; arrays have a row for each window."""
+
+    #: Input rows, 2 * STRIDE wide, -1 where the text has nothing.
+    rows: np.ndarray
+    #: Letters of the word so far, at the second half.
+    letters: np.ndarray
+    #: Ids to predict, at the second half; -1 for none.
+    targets: np.ndarray
+    text: np.ndarray
 
-    Inputs are (windows, 2 * STRIDE) with -1 where the text has nothing; targets
-    are ids of the second half. Without ``start`` the first id has no
-    predecessor and is not a target.
+    def pick(self, which: np.ndarray | slice) -> Windows:
+        return Windows(self.rows[which], self.letters[which], self.targets[which], self.text[which])
+
+
+def windows(flat: np.ndarray, sizes: np.ndarray, inv: Inventory, start: bool) -> Windows:
+    """Windows over texts whose ids stand end to end, the first of each beginning a word.
+
+    Without ``start`` the first id has no predecessor and is not a target.
     """
-    lengths = np.array([len(x) if start else max(0, len(x) - 1) for x in ids], np.int64)
+    sizes = np.asarray(sizes, np.int64)
+    first = np.cumsum(sizes) - sizes
+    held = inv.letters[flat]
+    upto = np.cumsum(held)
+    began = np.maximum.accumulate(np.where(inv.begins[flat], upto - held, 0)) if len(flat) else upto
+    so_far = np.minimum(upto - began, LETTERS - 1)
+    lengths = np.maximum(0, sizes - (not start))
     per = -(-lengths // STRIDE)
-    total = int(per.sum())
     # Each text in its own stretch: STRIDE places before it, then whole strides.
-    stretch = (per + 1) * STRIDE
+    stretch = (per + 1) * STRIDE * (per > 0)
     base = np.cumsum(stretch) - stretch
+    owner = np.repeat(np.arange(len(sizes)), lengths)
+    inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = base[owner] + STRIDE + inner
     size = int(stretch.sum())
-    inputs, targets = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-    for x, b, n in zip(ids, base.tolist(), lengths.tolist()):
-        if n:
-            if start:
-                inputs[b + STRIDE] = inv.start
-                inputs[b + STRIDE + 1 : b + STRIDE + n] = inv.row[x[:-1]]
-                targets[b + STRIDE : b + STRIDE + n] = x
-            else:
-                inputs[b + STRIDE : b + STRIDE + n] = inv.row[x[:-1]]
-                targets[b + STRIDE : b + STRIDE + n] = x[1:]
-    owner = np.repeat(np.arange(len(ids)), per)
-    number = np.arange(total) - np.repeat(np.cumsum(per) - per, per)
-    at = (base[owner] + number * STRIDE)[:, None] + np.arange(2 * STRIDE)
-    aim = targets[at[:, STRIDE:]]
-    return inputs[at], aim, aim >= 0, owner
+    rows, targets, letters = np.full(size, -1, np.int32), np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    aim = first[owner] + inner + (not start)
+    targets[at] = flat[aim]
+    before = np.maximum(aim - 1, 0)
+    head = start & (inner == 0)
+    rows[at] = np.where(head, inv.start, inv.row[flat[before]]) if len(aim) else 0
+    letters[at] = np.where(head, 0, so_far[before]) if len(aim) else 0
+    text = np.repeat(np.arange(len(sizes)), per)
+    number = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    span = (base[text] + number * STRIDE)[:, None] + np.arange(2 * STRIDE)
+    return Windows(rows[span], letters[span[:, STRIDE:]], targets[span[:, STRIDE:]], text)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -163,8 +195,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, params: dict[str, np.ndarray]) -> None:
-        self.p = params
+    def __init__(self, params: dict[str, np.ndarray], near: np.ndarray, inv: Inventory) -> None:
+        self.p, self.near, self.inv = params, near, inv
         self.prepare()
 
     def prepare(self) -> None:
@@ -178,68 +210,82 @@ class Model:
         self.tq, self.tk, self.tv = p["emb"] @ p["q"] * scale, p["emb"] @ p["k"], p["emb"] @ p["v"]
         self.th = p["emb"] @ p["he"] + p["hb"]
 
-    def head(self, rows: np.ndarray) -> dict[str, np.ndarray]:
+    def head(self, w: Windows) -> dict[str, np.ndarray]:
         """The mixture's weights at the second half of each window."""
+        rows = w.rows
         here = np.maximum(rows, 0)
         now = here[:, STRIDE:]
+        past = rows[:, STRIDE - 1 : -1]
+        past = np.where(past < 0, self.inv.start, past)
         q, k, v = self.tq[now], self.tk[here], self.tv[here]
         a = q @ k.transpose(0, 2, 1)
         a += np.where(_SEEN, self.p["look"][_BACK], _FAR)
         a += np.where(rows < 0, _FAR, np.float32(0))[:, None, :]
         a = _softmax(a)
         got = a @ v
-        h = np.tanh(got @ self.p["hv"] + self.th[now])
-        g = _softmax(h @ self.p["out"] + self.p["gate"][now])
-        return {"here": here, "now": now, "q": q, "k": k, "v": v, "a": a, "got": got, "h": h, "g": g}
-
-    def log_scores(self, rows: np.ndarray, targets: np.ndarray, inv: Inventory) -> np.ndarray:
+        h = got @ self.p["hv"]
+        h += self.th[now]
+        h += self.p["hp"][past]
+        h += self.p["hl"][w.letters]
+        np.tanh(h, out=h)
+        g = h @ self.p["out"]
+        g += self.p["gate"][now]
+        return {"here": here, "now": now, "past": past, "q": q, "k": k, "v": v, "a": a, "got": got, "h": h, "g": _softmax(g)}
+
+    def outcomes(self, now: np.ndarray, aim: np.ndarray) -> np.ndarray:
+        """Probability of ``aim`` under every distribution of the mixture."""
+        e = np.empty((*aim.shape, self.by_id.shape[1] + 2), np.float32)
+        own = self.near[now, aim]
+        begins = self.inv.outcome_begins[aim]
+        e[..., 0] = own * begins
+        e[..., 1] = own * ~begins
+        e[..., 2:] = self.by_id[aim]
+        return e
+
+    def log_scores(self, w: Windows) -> np.ndarray:
         """Natural log probability of each target; 0 where there is none."""
-        out = np.zeros(targets.shape)
-        ids = np.maximum(targets, 0)
-        for b in range(0, len(rows), 512):
-            g = self.head(rows[b : b + 512])["g"]
-            t = ids[b : b + 512]
-            p = np.einsum("wsk,wsk->ws", g, self.by_id[inv.outcome[t]])
-            out[b : b + 512] = np.log(np.maximum(p, 1e-30)) + inv.rare_log[t]
-        out[targets < 0] = 0
+        out = np.zeros(w.targets.shape)
+        for b in range(0, len(out), 256):
+            part = w.pick(slice(b, b + 256))
+            c = self.head(part)
+            ids = np.maximum(part.targets, 0)
+            p = np.einsum("wsk,wsk->ws", c["g"], self.outcomes(c["now"], self.inv.outcome[ids]))
+            out[b : b + 256] = np.where(part.targets < 0, 0, np.log(np.maximum(p, 1e-30)) + self.inv.rare_log[ids])
         return out
 
-    def gradients(self, rows: np.ndarray, targets: np.ndarray, inv: Inventory) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, w: Windows) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the batch and the gradient of every parameter."""
-        p, c = self.p, self.head(rows)
-        real = targets >= 0
-        aim = inv.outcome[np.maximum(targets, 0)]
-        e = self.by_id[aim]
-        r = c["g"] * e
+        p, inv, c = self.p, self.inv, self.head(w)
+        real = w.targets >= 0
+        aim = inv.outcome[np.maximum(w.targets, 0)]
+        r = c["g"] * self.outcomes(c["now"], aim)
         chance = np.maximum(r.sum(axis=2, keepdims=True), 1e-30)
-        n = np.float32(max(1, real.sum()))
-        r /= chance
-        weight = (real / n).astype(np.float32)[:, :, None]
+        weight = (real / max(1, real.sum())).astype(np.float32)[:, :, None]
         loss = float(-(np.log(chance) * weight).sum())
-        r *= weight
+        r *= weight / chance
         d: dict[str, np.ndarray] = {}
-        used = _sum_rows(r.reshape(-1, r.shape[2]), aim.reshape(-1), inv.outcomes).T
+        used = _sum_rows(r.reshape(-1, r.shape[2])[:, 2:], aim.reshape(-1), inv.outcomes).T
         d["mix"] = self.mix * used.sum(axis=1, keepdims=True) - used
-        dz = c["g"] * weight - r
+        dz = (c["g"] * weight - r).reshape(-1, r.shape[2])
         now, here = c["now"].reshape(-1), c["here"].reshape(-1)
-        d["gate"] = _sum_rows(dz.reshape(-1, dz.shape[2]), now, inv.rows)
-        h2 = c["h"].reshape(-1, HIDDEN)
-        d["out"] = h2.T @ dz.reshape(-1, dz.shape[2])
-        dh = (dz @ p["out"].T) * (1 - c["h"] ** 2)
-        flat = dh.reshape(-1, HIDDEN)
+        d["gate"] = _sum_rows(dz, now, inv.rows)
+        h = c["h"].reshape(-1, HIDDEN)
+        d["out"] = h.T @ dz
+        flat = (dz @ p["out"].T) * (1 - h**2)
         d["hv"] = c["got"].reshape(-1, WIDTH).T @ flat
         d["hb"] = flat.sum(axis=0)
+        d["hl"] = _sum_rows(flat, w.letters.reshape(-1), LETTERS)
+        d["hp"] = _sum_rows(flat, c["past"].reshape(-1), inv.rows)
         dth = _sum_rows(flat, now, inv.rows)
         d["he"] = p["emb"].T @ dth
-        dgot = dh @ p["hv"].T
+        dgot = (flat @ p["hv"].T).reshape(c["got"].shape)
         da = dgot @ c["v"].transpose(0, 2, 1)
         dv = c["a"].transpose(0, 2, 1) @ dgot
         ds = c["a"] * (da - (da * c["a"]).sum(axis=2, keepdims=True))
         d["look"] = np.bincount(_BACK.reshape(-1), ds.sum(axis=0).reshape(-1), 2 * STRIDE).astype(np.float32)
         dq = ds @ c["k"]
         dk = ds.transpose(0, 2, 1) @ c["q"]
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        tq = _sum_rows(dq.reshape(-1, WIDTH), now, inv.rows) * scale
+        tq = _sum_rows(dq.reshape(-1, WIDTH), now, inv.rows) * np.float32(1 / np.sqrt(WIDTH))
         tk = _sum_rows(dk.reshape(-1, WIDTH), here, inv.rows)
         tv = _sum_rows(dv.reshape(-1, WIDTH), here, inv.rows)
         d["q"], d["k"], d["v"] = p["emb"].T @ tq, p["emb"].T @ tk, p["emb"].T @ tv
@@ -261,21 +307,21 @@ class Trainer:
 
     RATE = {"gate": 0.02, "mix": 0.02}
 
-    def __init__(self, params: dict[str, np.ndarray], inv: Inventory, rate: float = 0.005, batch: int = 256) -> None:
-        self.model, self.inv, self.rate, self.batch = Model({n: x.copy() for n, x in params.items()}), inv, rate, batch
+    def __init__(self, params: dict[str, np.ndarray], near: np.ndarray, inv: Inventory, rate: float = 0.01, batch: int = 256) -> None:
+        self.model, self.rate, self.batch = Model({n: x.copy() for n, x in params.items()}, near, inv), rate, batch
         self.m = {n: np.zeros_like(x) for n, x in params.items()}
         self.s = {n: np.zeros_like(x) for n, x in params.items()}
         self.step, self.losses, self.windows = 0, [], 0
 
-    def learn(self, ids: list[np.ndarray], seed: int = 3) -> None:
-        rows, targets, real, _ = windows(ids, self.inv, start=False)
-        order = np.random.default_rng(seed + self.step).permutation(len(rows))
+    def learn(self, flat: np.ndarray, sizes: np.ndarray, seed: int = 3) -> None:
+        w = windows(flat, sizes, self.model.inv, start=False)
+        order = np.random.default_rng(seed + self.step).permutation(len(w.rows))
         for b in range(0, len(order), self.batch):
-            pick = order[b : b + self.batch]
-            loss, d = self.model.gradients(rows[pick], targets[pick], self.inv)
+            which = order[b : b + self.batch]
+            loss, d = self.model.gradients(w.pick(which))
             self.losses.append(loss)
             self.step += 1
-            self.windows += len(pick)
+            self.windows += len(which)
             for name, g in d.items():
                 m, s = self.m[name], self.s[name]
                 m += 0.1 * (g - m)

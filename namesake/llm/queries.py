@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesake.llm import langid, mixing, ordermin, outliers, packing, quality, shards, simhash, tokencount
+from namesake.llm import langid, lmscore, mixing, ordermin, outliers, packing, quality, shards, simhash, tokencount
 from namesake.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position"), F.round(second, 9).alias("second_position"))
 
 
+def op3_attention(spark: SparkSession, sf: str) -> DataFrame:
+    return lmscore.score(documents(spark, sf))
+
+
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf))
 
@@ -60,6 +64,7 @@ def op10_outliers(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
+    "op3_attention": op3_attention,
     "op4_packing": op4_packing,
     "op5_shards": op5_shards,
     "op6_quality_rules": op6_quality_rules,

@@ -23,7 +23,7 @@ and text are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -61,18 +61,20 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: Sequence[str] = ("doc_id",), shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """``keep`` and fp: the fingerprint as a signed long."""
+    names = [f"_k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_py(), shingle_words) for t in batch.column("text")]
+            values = [fingerprint(t.as_py(), shingle_words) for t in batch.column("_text")]
             signed = np.array(values, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(signed, pa.int64())], names=[*names, "fp"])
 
-    narrow = docs.select("doc_id", "text")
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, fp long")
+    narrow = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col("text").alias("_text"))
+    kinds = ", ".join(f"{n} {narrow.schema[n].dataType.simpleString()}" for n in names)
+    made = narrow.mapInArrow(run, f"{kinds}, fp long")
+    return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "fp")
 
 
 _ODD = 0x5555555555555555
@@ -136,27 +138,30 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cell_pairs: int = CELL_PAIRS
     return verified.unionByName(ties).distinct()
 
 
-def components(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp, component_id): documents linked by near fingerprints.
+def components(docs: DataFrame, keep: Sequence[str] = ("doc_id",), max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """``keep`` (with doc_id), fp, component_id and cluster: documents linked by near fingerprints.
 
-    ``component_id`` is the smallest doc_id that links lead to. Documents of
-    equal fingerprint are one node, whatever their number.
+    ``component_id`` is the smallest doc_id that links lead to, ``cluster`` the
+    smallest fingerprint. Documents of equal fingerprint are one node, whatever
+    their number.
     """
-    table = cut(fingerprints(docs, shingle_words))
+    table = cut(fingerprints(docs, keep, shingle_words))
     nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = connected_components(links(nodes.select("fp"), max_bits))
     grouped = nodes.join(found.withColumnRenamed("record_id", "fp"), "fp", "left")
     grouped = grouped.withColumn("cluster", F.coalesce("cluster", "fp"))
     low = grouped.groupBy("cluster").agg(F.min("first").alias("component_id"))
-    named = grouped.select("fp", "cluster").join(low, "cluster").select("fp", "component_id")
-    return table.join(named, "fp")
+    named = grouped.select("fp", "cluster").join(low, "cluster").select("fp", "component_id", "cluster")
+    return table.join(named, "fp").select(*keep, "fp", "component_id", "cluster")
 
 
 def keep_first(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id.
+    """``docs`` with one row of each component: that of the smallest id, of equal ids the first read.
 
-    Rows that share the smallest id of a component are kept one by one only if
-    they differ; documents without an id are kept as they are.
+    Rows without an id stand behind those with one.
     """
-    losers = components(docs, max_bits, shingle_words).filter(F.col("doc_id") != F.col("component_id"))
-    return docs.join(losers.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    numbered = cut(docs.select(row, "doc_id", "text", F.monotonically_increasing_id().alias("_uid")))
+    found = components(numbered, ("_uid", "doc_id"), max_bits, shingle_words)
+    best = found.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("best"))
+    return numbered.join(best.select("best._uid"), "_uid", "left_semi").select("_row.*")

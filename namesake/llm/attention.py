@@ -155,7 +155,7 @@ class Windows:
 
 
 def windows(flat: np.ndarray, sizes: np.ndarray, inv: Inventory, start: bool) -> Windows:
-    """Windows over texts whose ids stand end to end, the first of each beginning a word.
+    """Windows over texts whose ids stand end to end.
 
     Without ``start`` the first id has no predecessor and is not a target.
     """
@@ -163,7 +163,9 @@ def windows(flat: np.ndarray, sizes: np.ndarray, inv: Inventory, start: bool) ->
     first = np.cumsum(sizes) - sizes
     held = inv.letters[flat]
     upto = np.cumsum(held)
-    began = np.maximum.accumulate(np.where(inv.begins[flat], upto - held, 0)) if len(flat) else upto
+    fresh_word = inv.begins[flat]
+    fresh_word[first[sizes > 0]] = True
+    began = np.maximum.accumulate(np.where(fresh_word, upto - held, 0)) if len(flat) else upto
     so_far = np.minimum(upto - began, LETTERS - 1)
     lengths = np.maximum(0, sizes - (not start))
     per = -(-lengths // STRIDE)

@@ -18,6 +18,10 @@ from namesake.session import cut, release
 from namesake.spec import LinkageSpec
 
 
+#: Steps in which a drawn half of the willing nodes moves; then, in each cluster, the one that gains most.
+SHARED_STEPS = 10
+
+
 def _coin(*parts) -> F.Column:
     return F.pmod(F.xxhash64(*parts), F.lit(2)).cast("int")
 
@@ -72,17 +76,21 @@ def bisect(
     nodes: DataFrame,
     edges: DataFrame,
     max_diff: float,
-    rounds: int = 12,
     restarts: int = 4,
     seed: int = 0,
     weighted: bool = False,
     ordered: bool = False,
+    shared_steps: int = SHARED_STEPS,
 ) -> DataFrame:
     """(record_id, path) -> side 0 or 1 with the best modularity found.
 
     ``nodes(record_id, path, gkey, seq, year)``. A cluster for which no start
     reaches a positive modularity keeps side 0 throughout. ``ordered`` is what
     ``follows_order`` says about the keys.
+
+    The steps go on until no node of any start gains by moving. Many nodes move
+    at once at first; from ``shared_steps`` on only the node of a cluster that
+    gains most does, so every step raises the modularity and the end is certain.
     """
     base = ["record_id", "path", "gkey", "seq", "year"]
     nodes = nodes.select(*base)
@@ -98,7 +106,8 @@ def bisect(
         *[F.lit(0.0).alias(f"q_{r}") for r in tries],
     )
     state = cut(state)
-    for step in range(rounds):
+    step = 0
+    while True:
         linked = _links_to(state, arcs, side, max_diff, ordered)
         whole = F.col("degree")
 
@@ -125,8 +134,16 @@ def bisect(
             pull = whole - 2 * own(r)
             return pull - whole * ((total - own_total) - own_total + whole) / total
 
-        moves = [(total > 0) & (gain(r) > 1e-9) & (_coin("record_id", F.lit(seed + 1000 + step), F.lit(r)) == 0) for r in tries]
-        willing = reduce(lambda a, b: a | b, [(total > 0) & (gain(r) > 1e-9) for r in tries])
+        gains = [(total > 0) & (gain(r) > 1e-9) for r in tries]
+        willing = reduce(lambda a, b: a | b, gains)
+        if step < shared_steps:
+            moves = [gains[r] & (_coin("record_id", F.lit(seed + 1000 + step), F.lit(r)) == 0) for r in tries]
+        else:
+            firsts = joined.groupBy("path").agg(
+                *[F.max(F.when(gains[r], F.struct(gain(r).alias("gain"), "record_id")))["record_id"].alias(f"mover_{r}") for r in tries]
+            )
+            joined = joined.join(firsts, "path")
+            moves = [F.coalesce(F.col(f"mover_{r}") == F.col("record_id"), F.lit(False)) for r in tries]
         better = [modularity(r) > F.col(f"q_{r}") + 1e-12 for r in tries]
         former, state = state, cut(joined.select(
             *base, "degree",
@@ -138,6 +155,7 @@ def bisect(
         release(former)
         if state.filter("willing").isEmpty():
             break
+        step += 1
     top = F.greatest(*[F.col(f"q_{r}") for r in tries]) if restarts > 1 else F.col("q_0")
     chosen = F.coalesce(*[F.when((F.col(f"q_{r}") == top) & (top > 0), F.col(best[r])) for r in tries], F.lit(0))
     return state.select("record_id", "path", chosen.alias("side"))
@@ -147,31 +165,31 @@ def split_clusters(
     members: DataFrame,
     edges: DataFrame,
     spec: LinkageSpec,
-    rounds: int = 12,
     restarts: int = 4,
     seed: int = 0,
     weighted: bool = False,
-    max_levels: int = 40,
+    shared_steps: int = SHARED_STEPS,
 ) -> DataFrame:
     """(record_id, cluster, path): clusters split until each is a leaf.
 
     ``members(record_id, cluster, seq, year, gkey)`` and model edges ``(src,
     dst, weight)``. All clusters of one depth are tested and split together; a
     path adds one step per split, so paths never collide. A cluster that does
-    not divide stays whole.
+    not divide stays whole, and every other gets smaller, so the levels end.
     """
     base = ["record_id", "cluster", "path", "seq", "year", "gkey"]
     active = cut(members.withColumn("path", F.col("cluster").cast("string")).select(*base))
     ordered = follows_order(active, spec.max_year_diff)
     done = []
-    for level in range(max_levels):
+    level = 0
+    while True:
         counts = cut(break_counts(active, edges, "path", spec.max_year_diff, spec.denominator).select("path", is_leaf(spec).alias("leaf")))
         done.append(active.join(counts.filter("leaf"), "path", "left_semi"))
         failing = counts.filter(~F.col("leaf"))
         if failing.isEmpty():
             break
         nodes = cut(active.join(failing, "path", "left_semi"))
-        sides = cut(bisect(nodes, edges, spec.max_year_diff, rounds, restarts, seed + level, weighted, ordered))
+        sides = cut(bisect(nodes, edges, spec.max_year_diff, restarts, seed + level, weighted, ordered, shared_steps))
         spread = sides.groupBy("path").agg((F.min("side") != F.max("side")).alias("divides"))
         placed = nodes.join(sides, ["record_id", "path"]).join(spread, "path")
         done.append(placed.filter(~F.col("divides")).select(*base))
@@ -179,7 +197,6 @@ def split_clusters(
         active = cut(parted.select(*base))
         if active.isEmpty():
             break
-    else:
-        raise RuntimeError(f"clusters still failing after {max_levels} levels")
+        level += 1
     leaves = reduce(DataFrame.unionByName, [d.select(*base) for d in done])
     return leaves.select("record_id", "cluster", "path")

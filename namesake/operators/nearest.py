@@ -291,11 +291,3 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int, metric: str, window:
     wide = left.join(theta, ["l_item", "l_seq"], "left").withColumn("theta", F.coalesce("theta", F.lit(math.inf)))
     far_hits = search(wide.select("l_item", "l_seq", "l_vec", "theta"), far=True)
     return _best(near.unionByName(far_hits), k)
-
-
-def pairwise_scores(left: DataFrame, right: DataFrame, metric: str, max_cells: int = 10_000_000) -> DataFrame:
-    """Similarity of every left with every right row, for small inputs only."""
-    n_left, n_right = left.count(), right.count()
-    if n_left * n_right > max_cells:
-        raise ValueError(f"{n_left} x {n_right} scores exceed max_cells={max_cells}; use nearest_join")
-    return nearest_join(left, right, max(1, n_right), metric).drop("rank")

@@ -71,7 +71,7 @@ def k_centre_fill(points: DataFrame, chosen: DataFrame, total: int, key: str = "
     opens. Only the picked point meets the driver; ``total`` is a round size.
     """
     picked = chosen.join(points, key).select(key, "vec")
-    have = [(r[key], r["vec"]) for r in picked.limit(total).collect()]
+    have = [(r[key], r["vec"]) for r in picked.orderBy(key).limit(total).collect()]
     if have:
         nearest = F.array_min(F.array(*[distance(F.col("vec"), F.array(*map(F.lit, v))) for _, v in have]))
     else:

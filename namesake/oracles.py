@@ -12,6 +12,9 @@ MATCH = ", ".join(SPEC.match_cols)
 W, K = SPEC.window, SPEC.top_k
 
 # Record table, as in standin.records.
+_CELLS = """p_partkey, 'say "' || p_name || '", size ' || p_size || ',' AS note,
+  CASE WHEN p_size % 7 > 0 THEN p_brand END AS brand, p_retailprice"""
+
 REC = """rec AS (
   SELECT p_partkey AS record_id, 'e' || p_size AS edition, p_size AS seq, 1800.0::DOUBLE + p_size AS year,
     split_part(p_name, ' ', 1) AS xing, split_part(p_name, ' ', 2) AS ming, '?' AS zihao, p_type AS diqu,
@@ -174,7 +177,7 @@ ORACLES: dict[str, str] = {
     "edition_key": """SELECT o_orderkey, nullif(o_orderstatus, 'P') || year(o_orderdate)::VARCHAR || quarter(o_orderdate)::VARCHAR AS edition
       FROM orders""",
     "missing_mask": f"""WITH d AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN '? ?' WHEN lang = 'de' THEN '??' WHEN source = 'src1' THEN NULL
-        WHEN source = 'src2' THEN '?' ELSE substr(text, 1, 2) END AS v FROM documents)
+        WHEN source = 'src2' THEN '?' ELSE text END AS v FROM documents)
       SELECT doc_id, v IS NULL OR {_MISSING.format('v')} AS missing, coalesce(v, '?') AS filled, nullif(v, '?') AS unfilled,
         NOT (v IS NULL OR {_MISSING.format('v')}) AS has_key FROM d""",
     "ngrams_padded": f"WITH p AS (SELECT p_partkey, '*' || p_name || '*' AS t FROM part) SELECT p_partkey, {_gram_text('t')} AS grams FROM p",
@@ -243,6 +246,13 @@ ORACLES: dict[str, str] = {
         l.ren_xian || ' ' || l.ren_sheng || ' |' || chr(10) || ' ' || r.ren_xian || ' ' || r.ren_sheng AS "rensheng&xian",
         l.year::VARCHAR || ' |' || chr(10) || ' ' || r.year::VARCHAR AS year, l.record_id AS pair_id
       FROM n l JOIN rec r ON r.record_id = l.nxt""",
+    "label_round_trip": f"""WITH {REC}, n AS (SELECT *, lead(record_id) OVER (PARTITION BY xing, ming, ren_xian ORDER BY seq, record_id) AS nxt FROM rec)
+      SELECT l.record_id AS pair_id, (l.record_id % 2)::INTEGER AS label, l.xing || l.ming || ' |' || chr(10) || ' ' || r.xing || r.ming AS name,
+        l.year::VARCHAR || ' |' || chr(10) || ' ' || r.year::VARCHAR AS year
+      FROM n l JOIN rec r ON r.record_id = l.nxt""",
+    "edition_files": f"WITH {REC} SELECT record_id, edition, seq::BIGINT AS edition_seq, year, xing FROM rec WHERE seq >= 10 AND seq < 13",
+    "csv_round_trip": f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS line, {_CELLS} FROM part",
+    "json_values": f"SELECT {_CELLS} FROM part",
     "edge_dedup": f"WITH {EDGES} SELECT src, dst, weight FROM edges",
     "guaranteed_edges_year_bound": f"""WITH {REC}, {PAIRS} SELECT record_id, count(x.id) AS n_matches FROM rec
       LEFT JOIN (SELECT a AS id FROM exact UNION ALL SELECT b FROM exact) x ON x.id = record_id GROUP BY 1""",

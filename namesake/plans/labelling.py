@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +69,13 @@ class LabelRounds:
         return f"{self.folder}/labelled/round={n}"
 
     def labels(self, up_to: int) -> DataFrame:
-        """Labels of the rounds 0 to ``up_to``."""
+        """Labels of the rounds 0 to ``up_to``; of a pair labelled twice, the later one."""
         rounds = [
-            self.spark.read.parquet(f"{self.folder}/labels/round={n}").select("pair_id", "label") for n in range(up_to + 1)
+            self.spark.read.parquet(f"{self.folder}/labels/round={n}").select("pair_id", "label", F.lit(n).alias("_round"))
+            for n in range(up_to + 1)
         ]
-        out = rounds[0]
-        for r in rounds[1:]:
-            out = out.unionByName(r)
-        return out.dropDuplicates(["pair_id"])
+        given = reduce(DataFrame.unionByName, rounds).filter(F.col("label").isNotNull())
+        return given.groupBy("pair_id").agg(F.max(F.struct("_round", "label"))["label"].alias("label"))
 
     def start_round(self, round_num: int, **options) -> DataFrame:
         """Choose the pairs of a round and export their cells."""

@@ -18,10 +18,10 @@ from namesake.operators import (
 )
 from namesake.plans import labelling, pairing, resolution
 from namesake.plans.preparation import describe_values
-from namesake.session import cut
+from namesake.session import cut, scratch
 from namesake.sources import records as sources
-from namesake.sources.labels import label_cells
-from namesake.standin import NAME_BRAND, NAME_ONLY, SPEC, table
+from namesake.sources.labels import label_cells, label_schema, read_labels, write_to_label
+from namesake.standin import NAME_BRAND, SPEC, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,46 @@ def fractional_year(spark, sf):
     return o.select("o_orderkey", year.alias("frac_year"))
 
 
+def _part_cells(spark, sf):
+    """Parts with quotes, commas and line-like texts in their cells."""
+    part = table(spark, sf, "part")
+    note = F.concat(F.lit('say "'), "p_name", F.lit('", size '), F.col("p_size").cast("string"), F.lit(','))
+    return part.select("p_partkey", note.alias("note"), F.when(F.col("p_size") % 7 > 0, F.col("p_brand")).alias("brand"), "p_retailprice")
+
+
+def csv_round_trip(spark, sf):
+    """Written in one column order, read in another by heading, numbered in the file's order."""
+    path = scratch(spark, "csv")
+    cells = _part_cells(spark, sf)
+    sources.write_csv(cells.select("p_retailprice", "note", "p_partkey", "brand").coalesce(1).sortWithinPartitions("p_partkey"), path)
+    return sources.read_csv(spark, path, cells.schema, row_number="line").select("line", *cells.columns)
+
+
+def edition_files(spark, sf):
+    """Records written by edition; three editions read back from their files alone."""
+    path = scratch(spark, "records")
+    sources.write_records(standin.records(spark, sf), path)
+    return sources.read_edition_window(spark, path, 10, 3).select("record_id", "edition", F.col("edition_seq").cast("long").alias("edition_seq"), "year", "xing")
+
+
+def json_values(spark, sf):
+    path = scratch(spark, "json")
+    cells = _part_cells(spark, sf)
+    sources.write_json(cells, path)
+    return sources.read_json(spark, path, cells.schema)
+
+
+def label_round_trip(spark, sf):
+    """Cells exported for a person, filled in and read back with their labels."""
+    folder = scratch(spark, "labels")
+    pairs = label_pairs(spark, sf)
+    write_to_label(label_cells(pairs), f"{folder}/to_label")
+    shown = read_labels(spark, f"{folder}/to_label", with_scores=False)
+    answered = shown.select(*[c for c in shown.columns if c not in ("label", "pair_id")], (F.col("pair_id") % 2).cast("int").alias("oracle"), F.col("pair_id").alias("index"))
+    write_to_label(answered.select(*label_schema(False).names), f"{folder}/labelled")
+    return read_labels(spark, f"{folder}/labelled", with_scores=False).select("pair_id", "label", "name", "year")
+
+
 def edition_key(spark, sf):
     o = table(spark, sf, "orders")
     status = F.nullif("o_orderstatus", F.lit("P"))
@@ -67,7 +107,7 @@ def missing_mask(spark, sf):
     d = table(spark, sf, "documents")
     value = (
         F.when(F.col("lang") == "fr", "? ?").when(F.col("lang") == "de", "??")
-        .when(F.col("source") == "src1", F.lit(None)).when(F.col("source") == "src2", "?").otherwise(F.substring("text", 1, 2))
+        .when(F.col("source") == "src1", F.lit(None)).when(F.col("source") == "src2", "?").otherwise(F.col("text"))
     )
     d = d.select("doc_id", value.alias("value"))
     return d.select(
@@ -318,15 +358,18 @@ def next_label_round(spark, sf):
     )
 
 
-def label_cell_text(spark, sf):
-    """Cells of every record with its next record of the same name and brand."""
+def label_pairs(spark, sf):
+    """Every record with its next record of the same name and brand."""
     r = standin.records(spark, sf)
     nxt = ordered.with_next(r.select("record_id", "edition_seq", "xing", "ming", "ren_xian"), ["xing", "ming", "ren_xian"], ["edition_seq", "record_id"], ["record_id"])
     pairs = nxt.filter("next_record_id is not null").select(F.col("record_id").alias("left_id"), F.col("next_record_id").alias("right_id"))
     a = r.select(F.col("record_id").alias("left_id"), *[F.col(c).alias(f"1_{c}") for c in ("year", *SPEC.match_cols)])
     b = r.select(F.col("record_id").alias("right_id"), *[F.col(c).alias(f"2_{c}") for c in ("year", *SPEC.match_cols)])
-    wide = pairs.join(a, "left_id").join(b, "right_id").withColumn("pair_id", F.col("left_id"))
-    return label_cells(wide).select("name", "jigou", "rensheng&xian", "year", F.col("index").alias("pair_id"))
+    return pairs.join(a, "left_id").join(b, "right_id").withColumn("pair_id", F.col("left_id"))
+
+
+def label_cell_text(spark, sf):
+    return label_cells(label_pairs(spark, sf)).select("name", "jigou", "rensheng&xian", "year", F.col("index").alias("pair_id"))
 
 
 # --- graph, clusters, ids ------------------------------------------------------
@@ -412,7 +455,7 @@ def split_clusters(spark, sf):
     clusters = cut(components.connected_components(found, r.select("record_id")))
     none = r.select("record_id", F.lit(None).cast("string").alias("gkey"))
     members = cut(resolution.temporal_members(r, none, clusters, SPEC))
-    return bisect.split_clusters(members, found, SPEC, rounds=6, restarts=2)
+    return bisect.split_clusters(members, found, SPEC, restarts=2)
 
 
 def split_name_groups(spark, sf):
@@ -422,7 +465,7 @@ def split_name_groups(spark, sf):
     clusters = r.join(r.groupBy("xing", "ming").agg(F.min("record_id").alias("cluster")), ["xing", "ming"]).select("record_id", "cluster")
     members = cut(resolution.temporal_members(r, t, clusters, NAME_BRAND))
     empty = spark.createDataFrame([], "src long, dst long, weight double")
-    return bisect.split_clusters(members, empty, NAME_BRAND, rounds=6, restarts=2)
+    return bisect.split_clusters(members, empty, NAME_BRAND, restarts=2)
 
 
 def resolve_entities(spark, sf):
@@ -444,13 +487,14 @@ def linkage_with_committee(spark, sf):
     rows = labelling.training_rows(pairs, cut(labels), SPEC.feature_names)
     models = committee.train_committee(rows, SPEC.feature_names, committee.TreeParams(maxIter=5), 3)
     scored = committee.score_committee(pairs, models, SPEC.feature_names)
-    return resolution.resolve(r, SPEC, scored, rounds=4, restarts=1)
+    return resolution.resolve(r, SPEC, scored, restarts=1)
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        edition_dimension, stride_sample_editions, edition_record_counts, fractional_year, edition_key, missing_mask,
+        edition_dimension, stride_sample_editions, edition_record_counts, fractional_year, csv_round_trip,
+        edition_files, json_values, label_round_trip, edition_key, missing_mask,
         ngrams_padded, bracket_compose, variant_translate, shape_and_phonetic_tokens, record_tokens, gram_embedding,
         cosine_topk, jaccard_topk, token_jaccard_documents, band_window_counts, guaranteed_pair_counts,
         blocked_candidates, blocked_candidates_unbuffered, pair_features, training_pool, vote_mean_entropy,

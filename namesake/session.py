@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "namesake", master: str | None = None, **conf) -> SparkSession:
+def build_session(app: str = "namesake", master: str | None = None, checkpoint_dir: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators rely on.
 
     Adaptive execution splits skewed join partitions and coalesces small ones;
-    partition counts are left to it unless the caller passes one.
+    partition counts are left to it unless the caller passes one. On a cluster
+    ``checkpoint_dir`` names the folder all executors share, unless the cluster does.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -27,6 +28,8 @@ def build_session(app: str = "namesake", master: str | None = None, **conf) -> S
         # Call sites of every column expression are costly to record.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
+    if checkpoint_dir:
+        settings["spark.checkpoint.dir"] = checkpoint_dir
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -73,6 +76,14 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the session ends."""
+    path = f"{shared_dir(spark)}/namesake-{name}-{uuid.uuid4().hex}"
+    target, fs = _file_system(spark, path)
+    fs.deleteOnExit(target)
+    return path
+
+
 def release(table: DataFrame) -> None:
     """Remove a table ``cut`` wrote, once a later one has replaced it.
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from namesake.functions import text
 from namesake.operators.editions import edition_dimension
+from namesake.operators.ordered import dense_index
 
 # Raw register headings and the names they get.
 RAW_COLUMNS = {
@@ -51,7 +52,7 @@ def rename_columns(df: DataFrame, names: dict[str, str], keep: tuple[str, ...] =
 
 
 def convert_raw(raw: DataFrame, record_id: str = "record_id") -> DataFrame:
-    """Raw register with a record id -> converted register."""
+    """Raw register with a record id (see ``read_csv``) -> converted register."""
     df = rename_columns(raw, RAW_COLUMNS, keep=(record_id,))
     return df.select(
         F.col(record_id).cast("long").alias("record_id"),
@@ -68,13 +69,41 @@ def convert_raw(raw: DataFrame, record_id: str = "record_id") -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = CONVERTED_SCHEMA) -> DataFrame:
-    """CSV with a header and an explicit schema; empty cells are null."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).csv(path)
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = CONVERTED_SCHEMA,
+    multi_line: bool = False,
+    names: dict[str, str] | None = None,
+    row_number: str | None = None,
+) -> DataFrame:
+    """CSV columns found by their headings, in the order and types of ``schema``.
+
+    ``names`` maps a column to its heading where they differ. Empty cells are
+    null, quotes inside cells are doubled, a value of another type is an error.
+    A file is split over tasks unless ``multi_line`` says that cells may hold
+    line breaks. ``row_number`` adds the number of each row, 0, 1, 2, ... in the
+    order of the files' names and lines: blocks of a file are put in order by
+    their place in it, whatever the order in which tasks take them.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    found = reader.csv(path).columns
+    wanted = {f.name: (names or {}).get(f.name, f.name) for f in schema}
+    missing = sorted(set(wanted.values()) - set(found))
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    kinds = {wanted[f.name]: f.dataType for f in schema}
+    text = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in found])
+    df = reader.schema(text).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
+    picked = [F.col(f"`{wanted[f.name]}`").alias(f.name) for f in schema]
+    if row_number is None:
+        return df.select(*picked)
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    return dense_index(df.select(*picked, *place), ["_file", "_block", "_place"], row_number).drop("_file", "_block", "_place")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def prepare_records(
@@ -116,9 +145,16 @@ def read_edition(spark: SparkSession, path: str, edition: str) -> DataFrame:
 
 
 def read_edition_window(spark: SparkSession, path: str, start: int, window: int) -> DataFrame:
-    """Records of ``window`` editions from position ``start`` on."""
+    """Records of ``window`` editions from position ``start`` on, from their folders alone.
+
+    The labels of those editions are looked up first, in one column of the
+    files; a window names few of them.
+    """
     seq = F.col("edition_seq")
-    return read_records(spark, path, (seq >= start) & (seq < start + window))
+    inside = (seq >= start) & (seq < start + window)
+    records = read_records(spark, path)
+    labels = [r[0] for r in records.filter(inside).select("edition").distinct().collect()]
+    return records.filter(F.col("edition").isin(labels) & inside)
 
 
 def edition_counts(records: DataFrame, edition: str = "edition") -> DataFrame:

@@ -16,8 +16,6 @@ from namesake.spec import LinkageSpec
 SPEC = LinkageSpec(window=3, top_k=5)
 # Exact key by name and brand; with the type too, small tables hold no match.
 NAME_BRAND = LinkageSpec(window=3, top_k=5, guarantee_cols=("xing", "ming", "ren_xian"))
-# Name alone: groups large enough to be tested for breaks.
-NAME_ONLY = LinkageSpec(window=3, top_k=5, guarantee_cols=("xing", "ming"))
 GRAM_DIMS = 8
 
 

@@ -87,11 +87,3 @@ def test_jaccard_pivots(spark, sets):
     right = spark.createDataFrame([(i, s, i, v) for i, s, v in sets], "r_item long, r_seq int, r_tie long, r_vec array<string>")
     found = got(nearest.nearest_join(left, right, K, "jaccard", WINDOW, 9))
     same(found, brute(sets, [(i, s, i, v) for i, s, v in sets], jac, K, WINDOW, True))
-
-
-def test_pairwise_is_bounded(spark, vectors):
-    left = spark.createDataFrame(vectors[:20], "l_item long, l_seq int, l_vec array<double>").withColumn("l_seq", F.lit(0))
-    right = left.select(F.col("l_item").alias("r_item"), F.lit(0).alias("r_seq"), F.col("l_item").alias("r_tie"), F.col("l_vec").alias("r_vec"))
-    assert nearest.pairwise_scores(left, right, "cosine").count() == 400
-    with pytest.raises(ValueError):
-        nearest.pairwise_scores(left, right, "cosine", max_cells=100)

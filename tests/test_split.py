@@ -54,7 +54,7 @@ def test_two_bridged_cliques(spark, grouped):
         edges += [(a, b, 1.0) for s in sides for a, b in combinations(s, 2)]
     m = spark.createDataFrame(rows, MEMBERS)
     e = spark.createDataFrame(edges, EDGES)
-    found = bisect.split_clusters(m, e, LinkageSpec(), rounds=8, restarts=3).collect()
+    found = bisect.split_clusters(m, e, LinkageSpec(), restarts=3).collect()
     parts = {}
     for r in found:
         parts.setdefault(r["path"], set()).add(r["record_id"])
@@ -69,3 +69,27 @@ def test_small_or_calm_clusters_stay(spark):
     found = bisect.split_clusters(m, spark.createDataFrame(ea, EDGES), LinkageSpec())
     assert {r["path"] for r in found.collect()} == {"1", "2"}
     assert found.count() == 50
+
+
+def test_split_runs_to_its_end(spark):
+    """No record would gain by moving to the other side, however long many move at once."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, 0, i, 1800.0 + i / 4, None) for i in range(60)]
+    edges = [(a, b, 1.0) for a, b in combinations(range(60), 2) if rng.random() < (0.35 if a % 2 == b % 2 else 0.05)]
+    nodes = spark.createDataFrame([(i, "0", None, s, y) for i, _, s, y, _ in rows], "record_id long, path string, gkey string, seq int, year double")
+    near = {i: {b for a, b, _ in edges if a == i} | {a for a, b, _ in edges if b == i} for i in range(60)}
+    total = 2 * len(edges)
+    for shared in (0, 3, 10):
+        found = bisect.bisect(nodes, spark.createDataFrame(edges, EDGES), 20.0, restarts=2, shared_steps=shared).collect()
+        side = {r["record_id"]: r["side"] for r in found}
+
+        def modularity(s):
+            ones = sum(len(near[i]) for i in s if s[i])
+            inner = sum(s[a] == s[b] for a, b, _ in edges) * 2
+            return inner / total - (ones**2 + (total - ones) ** 2) / total**2
+
+        q = modularity(side)
+        assert q > 0.2
+        assert all(modularity(side | {i: 1 - side[i]}) <= q + 1e-9 for i in range(60))

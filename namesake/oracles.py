@@ -263,7 +263,9 @@ ORACLES: dict[str, str] = {
       nxt AS (SELECT cluster, c.record_id AS a, lead(c.record_id) OVER (PARTITION BY cluster ORDER BY seq, c.record_id) AS b
         FROM comp c JOIN rec USING (record_id)),
       mis AS (SELECT cluster, b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM both_ways w WHERE w.a = nxt.a AND w.b = nxt.b) AS missing FROM nxt)
-      SELECT cluster, count(*) AS n_rows, sum(missing::INT)::BIGINT AS breaks, round(sum(missing::INT) / count(*), 6) AS ratio FROM mis GROUP BY 1""",
+      SELECT cluster, count(*) AS n_rows, sum(missing::INT)::BIGINT AS breaks, round(sum(missing::INT) / count(*), 6) AS ratio,
+        (sum(missing::INT) <= {SPEC.max_breaks} AND sum(missing::INT) / count(*) <= {SPEC.max_break_ratio}) OR count(*) <= {SPEC.min_size} AS leaf
+      FROM mis GROUP BY 1""",
     "person_ids_dense": f"""WITH RECURSIVE {_IDS} SELECT record_id, cluster AS new_person_id, number AS new_person_id_2
       FROM comp JOIN numbered USING (cluster)""",
     "cluster_size_stats": f"""{_SIZES} SELECT 'n_records' AS counted, {_stats("sizes", "n_records")}

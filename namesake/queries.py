@@ -416,7 +416,7 @@ def strange_ratio(spark, sf):
     r, found, t, clusters = _graph(spark, sf)
     members = cut(resolution.temporal_members(r, t, clusters, NAME_BRAND))
     return temporal.break_counts(members, found, "cluster", MAX_YEAR_DIFF).select(
-        "cluster", "n_rows", "breaks", F.round("ratio", 6).alias("ratio")
+        "cluster", "n_rows", "breaks", F.round("ratio", 6).alias("ratio"), temporal.is_leaf(NAME_BRAND).alias("leaf")
     )
 
 

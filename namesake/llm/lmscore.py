@@ -44,6 +44,8 @@ PIECES = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 END, START = 2, 1
 HEAD_WORDS = 1 << 18
+#: Letters of a word that travels or is remembered, at most.
+LONGEST = 64
 #: Letters of each training document that the attention is trained on, at a place drawn by hash.
 EXCERPT = 256
 ROUNDS = 3
@@ -56,7 +58,7 @@ _CHUNK = 8192
 
 
 class Subwords:
-    """Ids of words; words seen before are remembered up to a bound."""
+    """Ids of words; words seen before are remembered up to a bound, long ones aren't."""
 
     REMEMBERED = 300_000
 
@@ -75,9 +77,9 @@ class Subwords:
         if len(known) > self.REMEMBERED:
             known.clear()
         new = [w for w in words if w not in known]
-        for w, ids in zip(new, self.model.encode(new, num_threads=1) if new else []):
-            known[w] = np.array(ids or [0], np.uint16).tobytes()
-        parts = [known[w] for w in words]
+        found = {w: np.array(ids or [0], np.uint16).tobytes() for w, ids in zip(new, self.model.encode(new, num_threads=1) if new else [])}
+        parts = [found.get(w) or known[w] for w in words]
+        known.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST)
         return np.frombuffer(b"".join(parts), np.uint16).astype(np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) // 2
 
 
@@ -280,7 +282,11 @@ def _text_ids(ids: np.ndarray, n: np.ndarray, index: np.ndarray, owner: np.ndarr
 
 
 def head_counts(words: DataFrame, most: int = HEAD_WORDS) -> dict[str, int]:
-    """Counts of the most frequent words: all above a bound that at most ``most`` words exceed."""
+    """Counts of the most frequent words: all above a bound that at most ``most`` words exceed.
+
+    Words of more than LONGEST letters are left to the join.
+    """
+    words = words.filter(F.char_length("word") <= LONGEST)
     band = F.floor(F.log2(F.col("n")) * 8).cast("int")
     bands = words.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()
     left, bound = most, None

@@ -333,8 +333,8 @@ class WordTokenizer:
 
     # Special tokens and their ids.
     SPECIAL = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
-    #: Results kept for words seen before; forgotten together beyond this number.
-    REMEMBERED = 400_000
+    #: Results kept for words seen before; forgotten together beyond this number. Longer words aren't kept.
+    REMEMBERED, LONGEST = 400_000, 64
 
     def __init__(self, path: str) -> None:
         self.scanner = Scanner()
@@ -380,10 +380,14 @@ class WordTokenizer:
         known, count = self.counted, self.merger.count
         if len(known) > self.REMEMBERED:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = 0 if self._blank(w) else count(w)
-        by_word = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        by_word = np.empty(len(words), np.int64)
+        for i, w in enumerate(words):
+            n = known.get(w)
+            if n is None:
+                n = 0 if self._blank(w) else count(w)
+                if len(w) <= self.LONGEST:
+                    known[w] = n
+            by_word[i] = n
         sums = np.concatenate([[0], np.cumsum(by_word[index])])
         return sums[first[1:]] - sums[first[:-1]] + extra
 
@@ -392,10 +396,14 @@ class WordTokenizer:
         known, encode = self.encoded, self.merger.encode
         if len(known) > self.REMEMBERED:
             known.clear()
+        pieces = []
         for w in words:
-            if w not in known:
-                known[w] = b"" if self._blank(w) else array("H", encode(w)).tobytes()
-        pieces = list(map(known.__getitem__, words))
+            ids = known.get(w)
+            if ids is None:
+                ids = b"" if self._blank(w) else array("H", encode(w)).tobytes()
+                if len(w) <= self.LONGEST:
+                    known[w] = ids
+            pieces.append(ids)
         flat = np.frombuffer(b"".join(pieces), np.uint16)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
         start = np.cumsum(size) - size

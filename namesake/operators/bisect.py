@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namesake.operators.guarantee import follows_order, match_counts, matches
+from namesake.operators.guarantee import follows_order, match_counts, matches, placed
 from namesake.operators.temporal import break_counts, is_leaf
 from namesake.session import cut, release
 from namesake.spec import LinkageSpec
@@ -179,7 +179,10 @@ def split_clusters(
     """
     base = ["record_id", "cluster", "path", "seq", "year", "gkey"]
     active = cut(members.withColumn("path", F.col("cluster").cast("string")).select(*base))
-    ordered = follows_order(active, spec.max_year_diff)
+    # Places for matching; breaks are told by editions.
+    places = cut(placed(active.select("record_id", "seq", "year", "gkey"), spec.max_year_diff))
+    ordered = follows_order(places, spec.max_year_diff)
+    places = places.select("record_id", F.col("seq").alias("place"))
     done = []
     level = 0
     while True:
@@ -189,11 +192,12 @@ def split_clusters(
         if failing.isEmpty():
             break
         nodes = cut(active.join(failing, "path", "left_semi"))
-        sides = cut(bisect(nodes, edges, spec.max_year_diff, restarts, seed + level, weighted, ordered, shared_steps))
+        at = nodes.join(places, "record_id").withColumn("seq", F.col("place")).drop("place")
+        sides = cut(bisect(at, edges, spec.max_year_diff, restarts, seed + level, weighted, ordered, shared_steps))
         spread = sides.groupBy("path").agg((F.min("side") != F.max("side")).alias("divides"))
-        placed = nodes.join(sides, ["record_id", "path"]).join(spread, "path")
-        done.append(placed.filter(~F.col("divides")).select(*base))
-        parted = placed.filter("divides").withColumn("path", F.concat_ws("_", "path", "side"))
+        sided = nodes.join(sides, ["record_id", "path"]).join(spread, "path")
+        done.append(sided.filter(~F.col("divides")).select(*base))
+        parted = sided.filter("divides").withColumn("path", F.concat_ws("_", "path", "side"))
         active = cut(parted.select(*base))
         if active.isEmpty():
             break

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from namesake.functions.text import key_of
 from namesake.operators.tokens import convert_columns
+from namesake.session import cut
 from namesake.spec import LinkageSpec
 
 
@@ -75,20 +76,33 @@ def _behind(by: tuple[str, ...], max_diff: float) -> Column:
     return F.coalesce(F.max("year").over(earlier) - F.col("year") >= max_diff, F.lit(False))
 
 
-def follows_order(table: DataFrame, max_diff: float) -> bool:
-    """Whether no key has years that run against the row order by the bound.
+def placed(table: DataFrame, max_diff: float) -> DataFrame:
+    """``table`` with ``seq`` made fine enough that years of one place never span the bound.
 
-    An edition that spans the bound itself has no defined order within, and
-    stops the job.
+    Records of a key and edition normally stand in one place. Where their years
+    span the bound (a mistyped year does it), the order within the edition
+    decides over matches: then every run of records with one year, in the order
+    of their ids, is a place of its own, named by its first record.
     """
+    keyed = table.filter(F.col("gkey").isNotNull())
+    spread = F.max("year") - F.min("year")
+    wide = cut(keyed.groupBy("gkey", "seq").agg(spread.alias("spread")).filter(F.col("spread") >= max_diff).select("gkey", "seq"))
+    if wide.isEmpty():
+        return table
+    marked = table.join(wide.withColumn("_wide", F.lit(True)), ["gkey", "seq"], "left")
+    in_order = Window.partitionBy("gkey", "seq").orderBy("record_id")
+    starts = F.when(~F.col("year").eqNullSafe(F.lag("year").over(in_order)) | F.lag("record_id").over(in_order).isNull(), F.col("record_id"))
+    runs = marked.filter("_wide").withColumn("_start", starts)
+    first = F.last("_start", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fine = runs.withColumn("seq", F.struct("seq", first.cast("long").alias("run")))
+    coarse = marked.filter(F.col("_wide").isNull()).withColumn("seq", F.struct("seq", F.lit(0).cast("long").alias("run")))
+    return fine.select(*table.columns).unionByName(coarse.select(*table.columns))
+
+
+def follows_order(table: DataFrame, max_diff: float) -> bool:
+    """Whether no key of a ``placed`` table has years that run against the row order by the bound."""
     cells = table.filter(F.col("gkey").isNotNull()).select("gkey", "seq", "year").distinct()
-    whole = Window.partitionBy("gkey", "seq")
-    spread = F.max("year").over(whole) - F.min("year").over(whole)
-    found = cells.select(_behind(("gkey",), max_diff).alias("behind"), spread.alias("spread")).agg(
-        F.coalesce(F.max("behind"), F.lit(False)).alias("behind"), F.coalesce(F.max("spread"), F.lit(0.0)).alias("spread")
-    ).first()
-    if found["spread"] >= max_diff:
-        raise ValueError("an edition spans max_year_diff")
+    found = cells.select(_behind(("gkey",), max_diff).alias("behind")).agg(F.coalesce(F.max("behind"), F.lit(False)).alias("behind")).first()
     return not found["behind"]
 
 
@@ -141,6 +155,7 @@ def match_counts(
 
 def guarantee_degrees(table: DataFrame, max_diff: float) -> DataFrame:
     """(record_id, n_matches): exact-key matches of every record."""
+    table = cut(placed(table, max_diff))
     cells = table.groupBy("gkey", "seq", "year").agg(F.count("*").alias("n"))
     totals = match_counts(cells, ["n"], max_diff, ordered=follows_order(table, max_diff))
     return table.join(totals, ["gkey", "seq", "year"]).select("record_id", (F.col("n") - 1).alias("n_matches"))

@@ -65,10 +65,21 @@ def test_year_bound(spark):
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2}
 
 
-def test_edition_spanning_the_bound_fails(spark):
-    df = spark.createDataFrame([(1, 0, 1800.0, "k"), (2, 0, 1830.0, "k")], "record_id long, seq int, year double, gkey string")
-    with pytest.raises(Exception, match="spans max_year_diff"):
-        guarantee.guarantee_degrees(df, 20.0).collect()
+@pytest.mark.parametrize("seed", range(3))
+def test_edition_spanning_the_bound(spark, seed):
+    """Years that vary inside an edition by more than the bound: the order of ids decides."""
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(4), 1800.0 + rng.choice([0, 5, 19, 20, 45]), rng.choice("kj")) for i in rng.sample(range(500), 60)]
+    df = spark.createDataFrame(rows, "record_id long, seq int, year double, gkey string")
+    degree = {r[0]: 0 for r in rows}
+    pairs = all_pairs(rows, 20.0)
+    for a, b in pairs:
+        degree[a] += 1
+        degree[b] += 1
+    assert {r["record_id"]: r["n_matches"] for r in guarantee.guarantee_degrees(df, 20.0).collect()} == degree
+    links = [(r["src"], r["dst"]) for r in guarantee.guarantee_links(df, 20.0).collect()]
+    ids = [r[0] for r in rows]
+    assert closure(ids, links) == closure(ids, pairs)
 
 
 @pytest.mark.parametrize("parts", [1, 7])

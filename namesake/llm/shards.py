@@ -30,6 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -150,17 +152,23 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
     offsets = spark.createDataFrame(starts, "part long, _start long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for the sequences of a batch that go to one shard; their ids travel compressed together."""
+        pressed = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            number = batch.column("sequence_no")
-            slot = permute(number.to_numpy(), total, key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(slot // per_shard), *[batch.column(c) for c in ("sequence_no", "n_ids", "doc_ids", "ids")]],
-                names=["slot", "shard", "sequence_no", "n_ids", "doc_ids", "ids"],
-            )
+            slot = permute(batch.column("sequence_no").to_numpy(), total, key)
+            order = np.argsort(slot, kind="stable")
+            batch, slot = batch.take(pa.array(order)), slot[order]
+            shard = slot // per_shard
+            starts = np.flatnonzero(np.diff(shard, prepend=-1))
+            bounds = pa.array(np.append(starts, len(slot)), pa.int32())
+            ids = batch.column("ids").to_pylist()
+            packed = [pressed.compress(b"".join(ids[a:b])) for a, b in zip(starts, [*starts[1:], len(slot)])]
+            lists = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(slot), *(batch.column(c) for c in ("sequence_no", "n_ids", "doc_ids")))]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[starts]), *lists, pa.array(packed, pa.binary())], names=["shard", "slot", "sequence_no", "n_ids", "doc_ids", "ids"])
 
     kind = table.schema["doc_ids"].dataType.simpleString()
     numbered = table.join(F.broadcast(offsets), "part").select((F.col("_start") + F.col("at")).alias("sequence_no"), "n_ids", "doc_ids", "ids")
-    placed = numbered.mapInArrow(place, f"slot long, shard long, sequence_no long, n_ids int, doc_ids {kind}, ids binary")
+    placed = numbered.mapInArrow(place, f"shard long, slot array<long>, sequence_no array<long>, n_ids array<int>, doc_ids array<{kind}>, ids binary")
     write = _shard_writer(folder, length * 2, per_shard)
     index = placed.groupBy("shard").applyInArrow(write, f"slot long, sequence_no long, shard long, byte_offset long, n_ids int, doc_ids {kind}")
     listed = f"{base}/index-{uuid.uuid4().hex}"
@@ -177,20 +185,24 @@ def shard_path(folder: str, shard: int) -> str:
 
 def _shard_writer(folder: str, stride: int, per_shard: int):
     def write(table: pa.Table) -> pa.Table:
-        table = table.sort_by("slot")
+        table = table.combine_chunks()
+        slot, number, n_ids, docs = (pc.list_flatten(table.column(c)).combine_chunks() for c in ("slot", "sequence_no", "n_ids", "doc_ids"))
+        order = np.argsort(slot.to_numpy(), kind="stable")
         shard = table.column("shard")[0].as_py()
         system, path = _open(shard_path(folder, shard))
-        if system.get_file_info(path).size != table.num_rows * stride:
+        if system.get_file_info(path).size != len(slot) * stride:
+            opened = zstandard.ZstdDecompressor()
+            records = np.frombuffer(b"".join(opened.decompress(x) for x in table.column("ids").to_pylist()), np.uint8).reshape(-1, stride)
             system.create_dir(path.rpartition("/")[0], recursive=True)
             part = f"{path}.{uuid.uuid4().hex}"
             with system.open_output_stream(part) as out:
-                for ids in table.column("ids"):
-                    out.write(ids.as_buffer())
+                out.write(records[order].tobytes())
             system.move(part, path)
-        offset = [(s % per_shard) * stride for s in table.column("slot").to_pylist()]
+        at = pa.array(order)
+        placed = slot.take(at)
         return pa.table({
-            "slot": table.column("slot"), "sequence_no": table.column("sequence_no"), "shard": table.column("shard"),
-            "byte_offset": pa.array(offset, pa.int64()), "n_ids": table.column("n_ids"), "doc_ids": table.column("doc_ids"),
+            "slot": placed, "sequence_no": number.take(at), "shard": pa.repeat(shard, len(order)),
+            "byte_offset": pa.array(placed.to_numpy() % per_shard * stride, pa.int64()), "n_ids": n_ids.take(at), "doc_ids": docs.take(at),
         })
 
     return write

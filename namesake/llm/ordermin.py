@@ -35,8 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from namesake.llm.common import text_of
-from namesake.session import cut
+from namesake.llm.common import text_of, written as in_shared_folder
 
 K = 5
 BINS = 64
@@ -198,7 +197,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
             ends = [{"doc_id": first[0], "end": "first", "text": first[1]}, {"doc_id": last[0], "end": "last", "text": last[1]}]
             yield pa.RecordBatch.from_pylist([{f.name: (r | {"part": part}).get(f.name) for f in schema} for r in ends], schema=schema)
 
-    seen = cut(dealt.mapInArrow(run, f"doc_id {kind}, {_RESULT}, part long, end string, text string"))
+    seen = in_shared_folder(dealt.mapInArrow(run, f"doc_id {kind}, {_RESULT}, part long, end string, text string"))
     inner = seen.filter(F.col("end").isNull()).drop("part", "end", "text")
     # Two rows of each range: the numbers of ranges are put in order, the texts follow by a join.
     firsts = seen.filter("end = 'first'").select("part", F.col("text").alias("next_text"))

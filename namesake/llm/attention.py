@@ -189,11 +189,16 @@ def windows(flat: np.ndarray, sizes: np.ndarray, inv: Inventory, start: bool) ->
     return Windows(rows[span], letters[span[:, STRIDE:]], targets[span[:, STRIDE:]], text)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
+#: Exponents up to this one need no shift in 32 bits.
+_SAFE = 60.0
+
+
+def _weights(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """(unnormalised softmax weights in place of ``x``, their sums); ``bound`` is at least the largest exponent."""
+    if not bound < _SAFE:
+        x -= x.max(axis=-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+    return x, x.sum(axis=-1, keepdims=True)
 
 
 class Model:
@@ -211,6 +216,11 @@ class Model:
         # Projections of single ids are tables.
         self.tq, self.tk, self.tv = p["emb"] @ p["q"] * scale, p["emb"] @ p["k"], p["emb"] @ p["v"]
         self.th = p["emb"] @ p["he"] + p["hb"]
+        self.far = np.where(_SEEN, p["look"][_BACK], _FAR).astype(p["emb"].dtype)
+        # Largest exponents that the two softmaxes can meet; every text has an id to look at.
+        longest = [float(np.sqrt((t * t).sum(axis=1).max())) for t in (self.tq, self.tk)]
+        self.reach = longest[0] * longest[1] + float(abs(p["look"]).max())
+        self.lift = float(abs(p["out"]).sum(axis=0).max()) + float(abs(p["gate"]).max())
 
     def head(self, w: Windows) -> dict[str, np.ndarray]:
         """The mixture's weights at the second half of each window."""
@@ -221,10 +231,15 @@ class Model:
         past = np.where(past < 0, self.inv.start, past)
         q, k, v = self.tq[now], self.tk[here], self.tv[here]
         a = q @ k.transpose(0, 2, 1)
-        a += np.where(_SEEN, self.p["look"][_BACK], _FAR)
-        a += np.where(rows < 0, _FAR, np.float32(0))[:, None, :]
-        a = _softmax(a)
+        a += self.far
+        blank = rows[:, 0] < 0
+        if blank.any():
+            a[blank] += np.where(rows[blank] < 0, _FAR, np.float32(0))[:, None, :]
+        a, mass = _weights(a, self.reach)
+        # Places after the end of a text may see nothing; they aren't targets.
+        mass = np.maximum(mass, 1e-30)
         got = a @ v
+        got /= mass
         h = got @ self.p["hv"]
         h += self.th[now]
         h += self.p["hp"][past]
@@ -232,7 +247,8 @@ class Model:
         np.tanh(h, out=h)
         g = h @ self.p["out"]
         g += self.p["gate"][now]
-        return {"here": here, "now": now, "past": past, "q": q, "k": k, "v": v, "a": a, "got": got, "h": h, "g": _softmax(g)}
+        g, total = _weights(g, self.lift)
+        return {"here": here, "now": now, "past": past, "q": q, "k": k, "v": v, "a": a, "mass": mass, "got": got, "h": h, "g": g, "total": total}
 
     def outcomes(self, now: np.ndarray, aim: np.ndarray) -> np.ndarray:
         """Probability of ``aim`` under every distribution of the mixture."""
@@ -251,13 +267,15 @@ class Model:
             part = w.pick(slice(b, b + 256))
             c = self.head(part)
             ids = np.maximum(part.targets, 0)
-            p = np.einsum("wsk,wsk->ws", c["g"], self.outcomes(c["now"], self.inv.outcome[ids]))
+            p = np.einsum("wsk,wsk->ws", c["g"], self.outcomes(c["now"], self.inv.outcome[ids])) / c["total"][..., 0]
             out[b : b + 256] = np.where(part.targets < 0, 0, np.log(np.maximum(p, 1e-30)) + self.inv.rare_log[ids])
         return out
 
     def gradients(self, w: Windows) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the batch and the gradient of every parameter."""
         p, inv, c = self.p, self.inv, self.head(w)
+        c["g"] /= c["total"]
+        c["a"] /= c["mass"]
         real = w.targets >= 0
         aim = inv.outcome[np.maximum(w.targets, 0)]
         r = c["g"] * self.outcomes(c["now"], aim)
@@ -270,7 +288,6 @@ class Model:
         d["mix"] = self.mix * used.sum(axis=1, keepdims=True) - used
         dz = (c["g"] * weight - r).reshape(-1, r.shape[2])
         now, here = c["now"].reshape(-1), c["here"].reshape(-1)
-        d["gate"] = _sum_rows(dz, now, inv.rows)
         h = c["h"].reshape(-1, HIDDEN)
         d["out"] = h.T @ dz
         flat = (dz @ p["out"].T) * (1 - h**2)
@@ -278,8 +295,6 @@ class Model:
         d["hb"] = flat.sum(axis=0)
         d["hl"] = _sum_rows(flat, w.letters.reshape(-1), LETTERS)
         d["hp"] = _sum_rows(flat, c["past"].reshape(-1), inv.rows)
-        dth = _sum_rows(flat, now, inv.rows)
-        d["he"] = p["emb"].T @ dth
         dgot = (flat @ p["hv"].T).reshape(c["got"].shape)
         da = dgot @ c["v"].transpose(0, 2, 1)
         dv = c["a"].transpose(0, 2, 1) @ dgot
@@ -287,9 +302,14 @@ class Model:
         d["look"] = np.bincount(_BACK.reshape(-1), ds.sum(axis=0).reshape(-1), 2 * STRIDE).astype(np.float32)
         dq = ds @ c["k"]
         dk = ds.transpose(0, 2, 1) @ c["q"]
-        tq = _sum_rows(dq.reshape(-1, WIDTH), now, inv.rows) * np.float32(1 / np.sqrt(WIDTH))
-        tk = _sum_rows(dk.reshape(-1, WIDTH), here, inv.rows)
-        tv = _sum_rows(dv.reshape(-1, WIDTH), here, inv.rows)
+        # What goes to one row of the tables is summed together.
+        k = dz.shape[1]
+        at_now = _sum_rows(np.concatenate([dz, flat, dq.reshape(-1, WIDTH)], axis=1), now, inv.rows)
+        at_here = _sum_rows(np.concatenate([dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)], axis=1), here, inv.rows)
+        d["gate"], dth = at_now[:, :k], at_now[:, k : k + HIDDEN]
+        d["he"] = p["emb"].T @ dth
+        tq = at_now[:, k + HIDDEN :] * np.float32(1 / np.sqrt(WIDTH))
+        tk, tv = at_here[:, :WIDTH], at_here[:, WIDTH:]
         d["q"], d["k"], d["v"] = p["emb"].T @ tq, p["emb"].T @ tk, p["emb"].T @ tv
         d["emb"] = tq @ p["q"].T + tk @ p["k"].T + tv @ p["v"].T + dth @ p["he"].T
         return loss, d

@@ -25,6 +25,7 @@ empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,7 +61,7 @@ _CHUNK = 8192
 class Subwords:
     """Ids of words; words seen before are remembered up to a bound, long ones aren't."""
 
-    REMEMBERED = 300_000
+    REMEMBERED = 200_000
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -77,7 +78,7 @@ class Subwords:
         if len(known) > self.REMEMBERED:
             known.clear()
         new = [w for w in words if w not in known]
-        found = {w: np.array(ids or [0], np.uint16).tobytes() for w, ids in zip(new, self.model.encode(new, num_threads=1) if new else [])}
+        found = {w: array("H", ids or [0]).tobytes() for w, ids in zip(new, self.model.encode(new, num_threads=1) if new else [])}
         parts = [found.get(w) or known[w] for w in words]
         known.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST)
         return np.frombuffer(b"".join(parts), np.uint16).astype(np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) // 2

@@ -53,6 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+#: Paths of the tables ``cut`` and ``scratch`` made and nothing has removed, oldest first.
+WRITTEN: list[str] = []
+
+
 def _file_system(spark: SparkSession, path: str):
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -71,6 +75,7 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     target, fs = _file_system(spark, path)
     fs.deleteOnExit(target)
+    WRITTEN.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
@@ -81,6 +86,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/namesake-{name}-{uuid.uuid4().hex}"
     target, fs = _file_system(spark, path)
     fs.deleteOnExit(target)
+    WRITTEN.append(path)
     return path
 
 
@@ -89,5 +95,12 @@ def release(table: DataFrame) -> None:
 
     Only for a loop's former state: no plan that is still to run may read it.
     """
-    target, fs = _file_system(table.sparkSession, table.written_to)
+    remove(table.sparkSession, table.written_to)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a path of ours that no plan still to run reads."""
+    target, fs = _file_system(spark, path)
     fs.delete(target, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)

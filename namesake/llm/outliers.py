@@ -166,8 +166,8 @@ def robust_estimates(rows: DataFrame, floors: Sequence[float] = FLOORS, inner: f
 def judge(docs: DataFrame, keep: Sequence[str] = ("doc_id",), floors: Sequence[float] = FLOORS, inner: float = INNER, min_rows: int = MIN_ROWS, most_distance: float = MOST_DISTANCE) -> DataFrame:
     """``keep``, the counts, base_failed, distance (squared, of documents within the limits) and kept."""
     names = [f"_k{i}" for i in range(len(keep))]
-    table = cut(grouped(cut(measured(docs, keep)), min_rows))
-    rows = table.filter(~F.col("base_failed")).select("_group", *VECTOR)
+    table = grouped(cut(measured(docs, keep)), min_rows)
+    rows = cut(table.filter(~F.col("base_failed")).select("_group", *VECTOR))
     judged = _with_distance(table, robust_estimates(rows, floors, inner, min_rows))
     far = F.coalesce(F.col("_d") > most_distance, F.lit(False))
     return judged.select(

@@ -169,6 +169,6 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """The rows of ``docs`` that the classifier takes for good, with their own columns."""
     model = train(docs, labels)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
-    # Written first: a filter on the score would be moved before the statistics and work each out once per rule.
-    scored = cut(score(packed, model, keep=("_row",), threshold=threshold).select("_row", "predicted"))
-    return scored.filter("predicted = 1").select("_row.*")
+    # A row number beside the score keeps the filter above it: moved below, it would work each statistic out once per rule.
+    scored = score(packed, model, keep=("_row",), threshold=threshold).withColumn("_at", F.monotonically_increasing_id())
+    return scored.filter((F.col("predicted") == 1) & (F.col("_at") >= 0)).select("_row.*")

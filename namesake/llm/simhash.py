@@ -23,7 +23,7 @@ and text are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -45,16 +45,19 @@ _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _WORD = re.compile(WORD)
 
 
+def shingles_of(text: str | None, shingle_words: int) -> Iterable[str]:
+    """The runs of so many words of a text; all its words where they are fewer."""
+    words = _WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower()) if text else []
+    if len(words) < shingle_words:
+        return [" ".join(words)] if words else []
+    return map(" ".join, zip(*[words[i:] for i in range(shingle_words)]))
+
+
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     """The SimHash of a text as an unsigned number."""
-    words = _WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower()) if text else []
-    if not words:
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles_of(text, shingle_words)), np.uint64)
+    if not len(hashes):
         return 0
-    if len(words) < shingle_words:
-        shingles = [" ".join(words)]
-    else:
-        shingles = map(" ".join, zip(*[words[i:] for i in range(shingle_words)]))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
     # Sums of bytes stay below 256 within a block of 255 rows.
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)

@@ -72,3 +72,11 @@ def test_pipeline_survives_empty_tables(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_copies_are_dropped(spark, tmp_path):
+    """A copy with a tenth of its words replaced at the end goes, one with a fifth stays."""
+    words = [f"word{i}" for i in range(500)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:450] + [f"new{i}" for i in range(50)])), (3, " ".join(words[:400] + [f"other{i}" for i in range(100)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from namesake.llm import ordermin, simhash
+from namesake.llm import nearcopies, ordermin, simhash
 
 
 def slow_fingerprint(text):
@@ -185,3 +185,42 @@ def test_edited_pairs(spark, odd, odd_rows, none, parts):
         assert ordermin.edited_pairs(none).collect() == []
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def shingled(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_copies(spark, odd, none):
+    """Copies at every likeness from 0.8 on go, those below stay; chains and a crowd are one."""
+    r = random.Random(11)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, stays = [], []
+    for i in range(120):
+        words = say(300)
+        rows.append((10 * i, " ".join(words)))
+        stays.append(10 * i)
+        # A run of words at the end replaced: likeness is (296 - k) / (296 + k).
+        k = (32, 30, 20, 8, 3, 34)[i % 6]
+        copy = " ".join(words[: 300 - k] + say(k))
+        a, b = shingled(rows[-1][1]), shingled(copy)
+        rows.append((10 * i + 1, copy))
+        if 5 * len(a & b) < 4 * len(a | b):
+            stays.append(10 * i + 1)
+    assert len(stays) == 140
+    chain = say(300)
+    for step in range(6):
+        rows.append((5000 + step, " ".join(chain)))
+        chain[step * 28 : step * 28 + 28] = say(28)
+    crowd = say(120)
+    for i in range(200):
+        new = list(crowd)
+        new[r.randrange(120)] = f"x{i}"
+        rows.append((6000 + i, " ".join(new)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in nearcopies.keep_first(docs).collect()) == [*stays, 5000, 6000]
+    kept = nearcopies.keep_first(odd)
+    # Of the rows with no words the smallest id stays; the plain texts share 14 of 16 shingles.
+    assert kept.columns == odd.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["1", "2", "5", "6", "7", "9", "None"]
+    assert nearcopies.keep_first(none).collect() == []

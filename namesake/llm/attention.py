@@ -336,7 +336,8 @@ class Trainer:
         self.step, self.losses, self.windows = 0, [], 0
 
     def learn(self, flat: np.ndarray, sizes: np.ndarray, seed: int = 3) -> None:
-        w = windows(flat, sizes, self.model.inv, start=False)
+        """Steps over all windows of whole texts."""
+        w = windows(flat, sizes, self.model.inv, start=True)
         order = np.random.default_rng(seed + self.step).permutation(len(w.rows))
         for b in range(0, len(order), self.batch):
             which = order[b : b + self.batch]

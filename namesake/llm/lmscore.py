@@ -2,10 +2,12 @@
 
 Learning has two parts. Counts of all neighbouring subword ids of all training
 documents, summed by Spark, give the model's first tables. Then a causal
-self-attention model (``attention``) is trained from them on an excerpt of every
-training document: each scan partition runs its own steps from common
-parameters, the results are averaged by Spark, and the next round starts from
-the average. The driver meets parameter tables only, whose size is fixed.
+self-attention model (``attention``) is trained from them in one pass over every
+training document, whole and with its start and end. The pass is dealt over rounds
+by hash of the row: each scan partition runs its own steps from common parameters
+on the documents of the round, the results are averaged by Spark, and the next
+round starts from the average. The driver meets parameter tables only, whose size
+is fixed.
 
 All texts are scored whole in overlapping windows. Beside the model's score
 stands a base: word frequencies with one added. Counts of the most frequent
@@ -47,8 +49,7 @@ END, START = 2, 1
 HEAD_WORDS = 1 << 18
 #: Letters of a word that travels or is remembered, at most.
 LONGEST = 64
-#: Letters of each training document that the attention is trained on, at a place drawn by hash.
-EXCERPT = 256
+#: Parts of the one pass of training, with an average after each.
 ROUNDS = 3
 BATCH = 128
 SLICE = 1_000_000
@@ -205,35 +206,30 @@ def first_tables(pairs: DataFrame, path: str) -> tuple[attention.Inventory, dict
     return inv, attention.tables_from_counts(prev[order], nxt[order], n[order].astype(float), counts[END], inv)
 
 
-def excerpts(docs: DataFrame, letters: int = EXCERPT) -> DataFrame:
-    """A stretch of every text at a place drawn by the hash of the row."""
-    t = text_of()
-    room = F.greatest(F.lit(1), F.char_length(t) - letters)
-    at = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), t), room) + 1).cast("int")
-    return docs.select(t.substr(at, F.lit(letters)).alias("text"))
+def whole_texts(text: pa.Array, cut_words: Subwords, most: int = SLICE // 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, sizes) of runs of texts: every id of every text, and its end."""
+    for a, b in slices(pc.utf8_length(text).to_pylist(), most):
+        words, index, owner = split_words(text.slice(a, b - a))
+        yield _text_ids(*cut_words.words(words), index, owner, b - a, end=True)
 
 
 def train_attention(spark, table: DataFrame, inv: attention.Inventory, tables: dict[str, np.ndarray], path: str, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Rounds of training on the partitions of ``table(text)``, averaged in between."""
+    """One pass of training over ``table(doc_id, text)`` in rounds, averaged in between.
+
+    Each text is trained on whole, in the round that the hash of its row names.
+    """
+    turn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text_of()), F.lit(rounds))
     params = attention.fresh(tables, inv)
     shapes = {n: x.shape for n, x in params.items()}
     fixed = spark.sparkContext.broadcast((inv, tables["near"]))
-    for _ in range(rounds):
+    for number in range(rounds):
         sent = spark.sparkContext.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known, near = fixed.value
             trainer, cut_words = attention.Trainer(sent.value, near, known, batch=BATCH), subwords(path)
             for batch in batches:
-                text = batch.column("text")
-                for a, b in slices(pc.utf8_length(text).to_pylist(), SLICE // 2):
-                    words, index, owner = split_words(text.slice(a, b - a))
-                    # The first and the last word may be cut.
-                    edge = np.diff(owner, prepend=-1) != 0
-                    inner = ~edge & ~np.append(edge[1:], True)
-                    if not inner.any():
-                        continue
-                    flat, sizes = _text_ids(*cut_words.words(words), index[inner], owner[inner], b - a, end=False)
+                for flat, sizes in whole_texts(batch.column("text"), cut_words):
                     trainer.learn(flat, sizes)
             if trainer.windows:
                 for name, x in trainer.model.p.items():
@@ -241,10 +237,11 @@ def train_attention(spark, table: DataFrame, inv: attention.Inventory, tables: d
                     for c in range(0, len(values), _CHUNK):
                         yield pa.RecordBatch.from_pylist([{"name": name, "chunk": c, "weight": float(trainer.windows), "value": values[c : c + _CHUNK].tolist()}], schema=_PARTS)
 
-        parts = table.mapInArrow(run, "name string, chunk int, weight double, value array<float>")
+        parts = table.filter(turn == number).select(text_of().alias("text")).mapInArrow(run, "name string, chunk int, weight double, value array<float>")
         mean = parts.groupBy("name", "chunk").applyInArrow(_average, "name string, chunk int, weight double, value array<float>").toArrow()
         if not len(mean):
-            break
+            # No text's hash names this round.
+            continue
         got = {n: np.zeros(int(np.prod(s)), np.float32) for n, s in shapes.items()}
         for name, c, value in zip(mean["name"].to_pylist(), mean["chunk"].to_pylist(), mean["value"]):
             x = value.values.to_numpy()
@@ -312,7 +309,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     texts = counts.filter("pair = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     train_tokens, kinds = total + texts, distinct + (texts > 0)
     inv, tables = first_tables(cut(pair_counts(counts, path)), path)
-    params = train_attention(spark, cut(excerpts(training)), inv, tables, path)
+    params = train_attention(spark, training, inv, tables, path)
     head = head_counts(words)
     shipped = spark.sparkContext.broadcast((inv, tables["near"], params, head))
     unit = float(np.log10(train_tokens + kinds + 1))

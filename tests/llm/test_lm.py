@@ -103,6 +103,32 @@ def test_training_lowers_the_loss(small):
     assert np.mean(t.losses[-5:]) < 0.7 * np.mean(t.losses[:5])
 
 
+def test_training_reads_whole_texts():
+    """Every id of every text and its end, whatever its length."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    words = lmscore.subwords(public_tokenizers.path(lmscore.PIECES))
+    texts = ["", "one", "two words", " ".join(f"item{i} of" for i in range(20_000)), "the end."]
+    got = list(lmscore.whole_texts(pa.array(texts), words, most=1000))
+    want = [[*[i for w in t.split() for i in words.model.encode(w)], lmscore.END] for t in texts]
+    assert np.concatenate([s for _, s in got]).tolist() == [len(w) for w in want]
+    assert np.concatenate([f for f, _ in got]).tolist() == sum(want, [])
+
+
+def test_short_texts_are_trained_on(spark):
+    """Starts and ends are learned, also of texts of one and two words, and each text in one round."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(lmscore.PIECES)
+    docs = spark.createDataFrame([(i, "yes" if i % 2 else "no then") for i in range(60)], "doc_id long, text string")
+    counts = lmscore.cut(lmscore.corpus_counts(docs, path))
+    inv, tables = lmscore.first_tables(lmscore.cut(lmscore.pair_counts(counts, path)), path)
+    first, got = attention.fresh(tables, inv), lmscore.train_attention(spark, docs, inv, tables, path)
+    start, end = inv.start, inv.row[lmscore.subwords(path).model.encode("yes")[-1]]
+    assert all(abs(got["gate"][r] - first["gate"][r]).max() > 1e-3 for r in (start, end))
+
+
 def brute(rows):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) for _, t in rows]

@@ -38,10 +38,11 @@ MOST_REPEATED_PERCENT = 50
 #: Share of a group that the determinant is taken over.
 INNER = 0.75
 MIN_ROWS = 100
-#: Squared distance beyond which a document is rejected: the 0.99999 quantile of chi-square, 4 degrees of freedom.
-MOST_DISTANCE = 28.47
-#: Least scale of each part of the vector, in its own unit.
-FLOORS = (0.08, 0.35, 0.2, 0.2)
+#: Squared distance beyond which a document is rejected: the 0.999 quantile of chi-square, 4 degrees of freedom.
+MOST_DISTANCE = 18.47
+#: Least scale of each part of the vector, in its own unit. In a group without repetition the last two reject
+#: by themselves from 19% of duplicate lines and from 18% of repeated words on.
+FLOORS = (0.08, 0.35, 0.1, 0.1)
 #: The covariance of the inner three quarters of a normal sample is smaller than that of the whole by this factor (4 dimensions).
 CONSISTENCY = 1.87
 #: A fall of the log determinant below this ends the steps.

@@ -79,6 +79,29 @@ def test_minimum_covariance_determinant(spark):
     assert math.isclose(got.logdet, np.linalg.slogdet(cov)[1], abs_tol=0.05)
 
 
+def test_repetition_alone_rejects(spark):
+    """In a clean group 40% of repeated lines or words reject, each alone too; clean texts stay."""
+    rng = np.random.default_rng(8)
+    fresh = iter(rng.permutation(200_000))
+    line = lambda: " ".join(f"w{next(fresh):06d}" for _ in range(2))
+    rows = [(i, "\n".join(line() for _ in range(50))) for i in range(200)]
+    # Lines of two words, four of ten equal: every repeat of a line stands between others, so that no window of three repeats.
+    own = [line() for _ in range(30)]
+    rows.append((1000, "\n".join([*own[:10], *[x for i in range(20) for x in (own[i % 10], own[10 + i])]])))
+    # Forty of a hundred words in windows that come twice, on lines of their own.
+    w = [f"v{i}" for i in range(80)]
+    rows.append((1001, "\n".join([" ".join(w[:20]), " ".join(w[20:50]), " ".join(w[:20]) + " " + " ".join(w[50:80])])))
+    # Both: a block of ten lines comes twice, 20% of the lines and 40% of the words.
+    block = [line() for _ in range(20)]
+    rows.append((1002, "\n".join([*block[:10], *[line() for _ in range(15)], *block[:10], *[line() for _ in range(15)]])))
+    docs = spark.createDataFrame([(a, b, "en", "s") for a, b in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.judge(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert (got[1000].n_dup_lines, got[1000].n_repeat_words) == (20, 0) and got[1001].n_dup_lines == 0 and got[1001].n_repeat_words == 40
+    assert (got[1002].n_dup_lines, got[1002].n_repeat_words) == (10, 40)
+    assert all(got[i].kept for i in range(200)) and not any(got[i].kept for i in (1000, 1001, 1002))
+
+
 def test_kept_documents(odd, none):
     got = outliers.kept_documents(odd)
     assert got.columns == odd.columns and {r.doc_id for r in got.collect()} <= {1, 5, 8}

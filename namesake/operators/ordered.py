@@ -11,16 +11,19 @@ from namesake.session import cut
 _ROW_BITS = 33
 
 
-def dense_index(df: DataFrame, order: list[str], name: str = "idx", partitions: int | None = None) -> DataFrame:
+def dense_index(
+    df: DataFrame, order: list[str], name: str = "idx", partitions: int | None = None, carry: list[str] | None = None
+) -> DataFrame:
     """Number all rows 0, 1, 2, ... by a unique order.
 
     Range partitioning keeps every task bounded whatever the key skew; only the
-    row count of each partition meets on the driver.
+    row count of each partition meets on the driver. Only ``carry`` is kept
+    where it is given, so that long columns to order by aren't written.
     """
     spark = df.sparkSession
     placed = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     placed = placed.sortWithinPartitions(*order)
-    placed = cut(placed.withColumn("_row", F.monotonically_increasing_id()))
+    placed = cut(placed.select(*(carry or df.columns), F.monotonically_increasing_id().alias("_row")))
     row = F.col("_row")
     counts = (
         placed.groupBy(F.shiftright(row, _ROW_BITS).alias("part"))

@@ -12,7 +12,7 @@ sys.path.insert(0, ROOT)
 import corpus_pipeline  # noqa: E402
 from namesake.llm import queries  # noqa: E402
 
-NAMES = ["op1_token_counts", "op2_mixing", "op3_attention", "op4_packing", "op5_shards", "op6_quality_rules", "op7_language", "op8_simhash", "op9_order_minhash", "op10_outliers"]
+NAMES = ["op1_token_counts", "op2_mixing", "op3_attention", "op4_packing", "op5_shards", "op6_quality_rules", "op7_language", "op8_simhash", "op9_order_minhash", "op10_outliers", "op11_conversation_trie", "op12_pieces", "op13_runs"]
 
 
 @pytest.fixture(scope="module")

@@ -11,7 +11,9 @@ Ranges of slots are shards. A shard is a file of records of one size, in slot
 order: slot ``s`` lies in shard ``s // per_shard`` at byte ``(s % per_shard) *
 length * 2``, so a reader starts anywhere with one seek and reads on. A shard is
 written under a temporary name, then renamed; a repeated task writes the same
-bytes, and a shard that is already whole is not written again.
+bytes, and a shard that is already whole is not written again. Checksums in a
+folder beside the shards tell that, so that a folder that was filled under
+another key or from other texts is written anew.
 
 Ids are unsigned 16-bit little-endian numbers. The last sequence of a partition
 is filled up with the end id; ``n_ids`` says how many ids are its own.
@@ -31,6 +33,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -40,10 +43,12 @@ from pyspark.sql import functions as F
 from namesake.llm.common import slices, text_of
 from namesake.llm.tokencount import VOCABULARY
 from namesake.llm.transducer import tokenizer
-from namesake.session import _file_system, shared_dir
+from namesake.session import _file_system, scratch, shared_dir
 
 LENGTH = 1024
 END_ID = 2
+#: Records read at once, at most.
+RECORDS_READ = 512
 #: Sequences in a shard: 8 MB at this length.
 PER_SHARD = 4096
 KEY = 20_240_607
@@ -139,7 +144,8 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
     """
     spark = docs.sparkSession
     base = shared_dir(spark)
-    folder = folder or f"{base}/shards-{uuid.uuid4().hex}"
+    # A folder of our own is removed when the session ends.
+    folder = folder or scratch(spark, "shards") + "/data"
     staged = f"{base}/sequences-{uuid.uuid4().hex}"
     # Ids take three quarters of their room this way.
     sequences(docs, length).write.option("compression", "zstd").parquet(staged)
@@ -183,6 +189,25 @@ def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
 
+def _holds(system, path: str, data: bytes) -> bool:
+    if system.get_file_info(path).size != len(data):
+        return False
+    with system.open_input_file(path) as source:
+        return source.read() == data
+
+
+def _replace(system, path: str, data: bytes | None) -> None:
+    """Puts a file in place as a whole, or removes it."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    if data is not None:
+        with system.open_output_stream(part) as out:
+            out.write(data)
+    if system.get_file_info(path).size is not None:
+        system.delete_file(path)
+    if data is not None:
+        system.move(part, path)
+
+
 def _shard_writer(folder: str, stride: int, per_shard: int):
     def write(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -190,14 +215,17 @@ def _shard_writer(folder: str, stride: int, per_shard: int):
         order = np.argsort(slot.to_numpy(), kind="stable")
         shard = table.column("shard")[0].as_py()
         system, path = _open(shard_path(folder, shard))
-        if system.get_file_info(path).size != len(slot) * stride:
-            opened = zstandard.ZstdDecompressor()
-            records = np.frombuffer(b"".join(opened.decompress(x) for x in table.column("ids").to_pylist()), np.uint8).reshape(-1, stride)
-            system.create_dir(path.rpartition("/")[0], recursive=True)
-            part = f"{path}.{uuid.uuid4().hex}"
-            with system.open_output_stream(part) as out:
-                out.write(records[order].tobytes())
-            system.move(part, path)
+        opened = zstandard.ZstdDecompressor()
+        records = np.frombuffer(b"".join(opened.decompress(x) for x in table.column("ids").to_pylist()), np.uint8).reshape(-1, stride)
+        data = records[order].tobytes()
+        # What a shard holds is told by its checksum, so a folder of another key or other texts is never taken for this one.
+        mark, seal = _open(shard_path(f"{folder}-checksums", shard))[1], xxhash.xxh3_128_digest(data)
+        if system.get_file_info(path).size != len(data) or not _holds(system, mark, seal):
+            for file in (path, mark):
+                system.create_dir(file.rpartition("/")[0], recursive=True)
+            _replace(system, mark, None)
+            _replace(system, path, data)
+            _replace(system, mark, seal)
         at = pa.array(order)
         placed = slot.take(at)
         return pa.table({
@@ -216,12 +244,17 @@ def read_slots(index: DataFrame, folder: str, length: int = LENGTH, with_ids: bo
         table = table.sort_by("slot")
         system, path = _open(shard_path(folder, table.column("shard")[0].as_py()))
         ids, sums = [], []
+        offsets, sizes = table.column("byte_offset").to_numpy(), table.column("n_ids").to_pylist()
+        # Records that follow each other are read at once.
+        starts = np.flatnonzero((np.diff(offsets, prepend=-1) != stride) | (np.arange(len(offsets)) % RECORDS_READ == 0))
         with system.open_input_file(path) as source:
-            for offset, n in zip(table.column("byte_offset").to_pylist(), table.column("n_ids").to_pylist()):
-                source.seek(offset)
-                raw = source.read(stride)[: 2 * n]
-                sums.append(zlib.crc32(raw))
-                ids.append(raw if with_ids else None)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(offsets)]):
+                source.seek(int(offsets[a]))
+                records = source.read(stride * (b - a))
+                for k in range(a, b):
+                    raw = records[(k - a) * stride : (k - a) * stride + 2 * sizes[k]]
+                    sums.append(zlib.crc32(raw))
+                    ids.append(raw if with_ids else None)
         return pa.table({"slot": table.column("slot"), "ids": pa.array(ids, pa.binary()), "ids_crc32": pa.array(sums, pa.int64())})
 
     narrow = index.select("slot", "shard", "byte_offset", "n_ids")

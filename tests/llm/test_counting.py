@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from namesake.llm import packing, shards, tokencount
-from namesake.llm.transducer import Scanner, tokenizer
+from namesake.llm.transducer import Scanner, WordTokenizer, tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -158,3 +158,31 @@ def test_shards_round_trip(odd, odd_rows, none, tmp_path):
     again, _ = shards.write_shards(odd.coalesce(1), str(tmp_path / "out"), length=32, per_shard=50)
     assert sorted(map(tuple, again.drop("doc_ids").collect())) == sorted(map(tuple, index.drop("doc_ids").collect()))
     assert shards.write_shards(none, str(tmp_path / "none"))[0].collect() == []
+
+
+@pytest.mark.parametrize("change", ["key", "texts"])
+def test_a_filled_folder_is_never_taken_for_another(spark, tmp_path, change):
+    """Same folder, same number of ids, another key or other words: every slot reads its own ids."""
+    texts = lambda a, b: spark.createDataFrame([(i, f"{a} {b} " * (i % 9 + 1)) for i in range(80)], "doc_id long, text string").coalesce(2)
+    folder = str(tmp_path / "out")
+    shards.write_shards(texts("the", "cat"), folder, length=16, per_shard=7)
+    docs, key = (texts("the", "cat"), 5) if change == "key" else (texts("the", "dog"), shards.KEY)
+    index, _ = shards.write_shards(docs, folder, length=16, per_shard=7, key=key)
+    fresh, other = shards.write_shards(docs, str(tmp_path / "fresh"), length=16, per_shard=7, key=key)
+    read = lambda i, f: sorted((r.slot, r.ids) for r in shards.read_slots(i, f, length=16).collect())
+    assert read(index, folder) == read(fresh, other)
+
+
+def test_memory_generations_change_nothing():
+    words = transducer_of_few()
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choice(list("abcdef'1"), rng.integers(1, 9))) for _ in range(8)) for _ in range(3)]
+        assert words.counts(texts).tolist() == [len(ids_of(t)) for t in texts]
+        assert words.ids(texts)[0].tolist() == [i for t in texts for i in ids_of(t)]
+
+
+def transducer_of_few():
+    words = WordTokenizer(PATH)
+    words.REMEMBERED, words.merger.MOST = 5, 40
+    return words

@@ -2,12 +2,23 @@
 
 Five stages, each over all that its predecessor kept and each calling one
 operator: the quality classifier drops what it rejects, the quality rules drop
-failures and outliers, of near copies (five-word shingles alike to 0.8 or more)
-one document stays, the mix reads sources to their target weights in training order, and packing
-lays the ids of the result into sequences.
+failures and outliers, of each group of documents linked by SimHash (three-word
+shingles, at most two differing bits) one stays, the mix reads sources to their
+target weights in training order, and packing lays the ids of the result into
+sequences.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 result as Parquet in the shared folder and reads it again as the next ``docs``.
+
+Defined results, by stage: null and empty texts are scored as texts of no words
+by the classifier, rejected by the rules (fewer than 50 words), linked with each
+other by the near-duplicate stage if it is given any, not read by the mix, and
+one end id in packing. Texts of any length are handled whole. Repeated rows are
+rows of their own until the near-duplicate stage, which keeps one of them. Null
+ids, languages and sources are kept. Of a tie (equal fingerprints) the smallest
+doc_id stays, of equal ids the first row read. An empty table gives an empty
+result, and without labels the classifier rejects nothing. Stages carry whole rows in one
+struct, so columns of any name survive unchanged.
 """
 
 from __future__ import annotations
@@ -16,7 +27,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namesake.llm import mixing, nearcopies, outliers, packing, quality
+from namesake.llm import mixing, outliers, packing, quality, simhash
 from namesake.llm.common import documents
 from namesake.session import WRITTEN, cut, remove
 
@@ -61,12 +72,12 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @alone
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.keep_first(docs)
+    return simhash.keep_first(docs, max_bits=simhash.MAX_BITS, shingle_words=simhash.SHINGLE_WORDS)
 
 
 @alone
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.training_order(docs)
+    return mixing.training_order(docs, cut_last=True)
 
 
 @alone

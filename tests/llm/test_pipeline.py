@@ -75,8 +75,28 @@ def test_pipeline_survives_empty_tables(spark, tmp_path):
 
 
 def test_near_copies_are_dropped(spark, tmp_path):
-    """A copy with a tenth of its words replaced at the end goes, one with a fifth stays."""
-    words = [f"word{i}" for i in range(500)]
-    rows = [(1, " ".join(words)), (2, " ".join(words[:450] + [f"new{i}" for i in range(50)])), (3, " ".join(words[:400] + [f"other{i}" for i in range(100)]))]
+    """Of documents at most two fingerprint bits apart one stays, in chains too; all others stay."""
+    from .test_similar import slow_components, slow_fingerprint
+
+    words = [f"word{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words[:2999], "new"])), (4, " ".join(words[:2400] + [f"other{i}" for i in range(600)]))]
+    rows += [(10 + i, " ".join(words[i * 40 : i * 40 + 60])) for i in range(20)]
+    fps = {t: slow_fingerprint(t) for _, t in rows}
+    root = slow_components(list(fps.values()))
+    want = sorted({min(d for d, u in rows if root[fps[u]] == root[fps[t]]) for _, t in rows})
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == want
+    assert 2 not in want and 3 not in want and 4 in want
+
+
+def test_odd_rows_go_through_all_stages(spark, odd, odd_rows, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names; each stage also by itself."""
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (9, 0, None), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        rows = out.collect()
+        if name != "packing":
+            assert out.columns == odd.columns and {str(r.doc_id) for r in rows} <= {str(r[0]) for r in odd_rows}
+    # Each of them has fewer than 50 words or repeats itself.
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesake.functions.text import KEY_SEP, key_of
-from namesake.operators.nearest import nearest_join
+from namesake.operators.metric_tree import tree_join
 from namesake.operators.nearest_sets import nearest_sets
+from namesake.operators.suffix_sets import set_join
 from namesake.session import cut
 from namesake.spec import LinkageSpec
 
@@ -104,7 +105,7 @@ def _by_shape(left: DataFrame, right: DataFrame, spec: LinkageSpec, vectors: Dat
     return _one_method(
         left.join(own, "block_key"), right.join(own, "block_key"),
         vectors.select(F.col("block_key").alias("item"), "vec"), spec,
-        lambda a, b, k: nearest_join(a, b, k, "cosine", spec.window),
+        lambda a, b, k: tree_join(a, b, k, spec.window),
     )
 
 
@@ -113,13 +114,16 @@ def _by_sound(left: DataFrame, right: DataFrame, spec: LinkageSpec, tokens: Data
     named = tokens.select("block_key", F.array_join("tokens", KEY_SEP).alias("item"), F.col("tokens").alias("vec"))
     named = cut(named.filter(F.size("vec") > 0))
     own = named.select("block_key", "item")
-    return _one_method(
-        left.join(own, "block_key"), right.join(own, "block_key"), named.select("item", "vec").distinct(), spec,
-        lambda a, b, k: nearest_sets(a, b, k, spec.window, strategy),
-    )
+
+    def search(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+        if strategy == "suffixes":
+            return set_join(a, b, k, spec.window)
+        return nearest_sets(a, b, k, spec.window, strategy)
+
+    return _one_method(left.join(own, "block_key"), right.join(own, "block_key"), named.select("item", "vec").distinct(), spec, search)
 
 
-def neighbours(records: DataFrame, spec: LinkageSpec, described: DataFrame, metric: str, strategy: str = "auto") -> DataFrame:
+def neighbours(records: DataFrame, spec: LinkageSpec, described: DataFrame, metric: str, strategy: str = "suffixes") -> DataFrame:
     """(left_id, right_id, sim, rank): the ``top_k`` nearest records of every
     record in its window, itself and exact-key matches included.
 
@@ -143,13 +147,14 @@ def block(
     vectors: DataFrame,
     tokens: DataFrame,
     left_editions: DataFrame | None = None,
-    strategy: str = "auto",
+    strategy: str = "suffixes",
 ) -> DataFrame:
     """(left_id, right_id, by_shape, by_phon) for every record.
 
     ``vectors(block_key, vec)`` and ``tokens(block_key, tokens)`` describe the
     block values. Exact-key matches are no candidates. ``left_editions
-    (edition_seq)`` restricts the left side to those editions.
+    (edition_seq)`` restricts the left side to those editions. ``strategy`` is
+    ``suffixes``, or one of ``nearest_sets`` to compare with.
     """
     if not spec.buffered and not set(spec.block_cols) <= set(spec.guarantee_cols):
         raise ValueError("buffered=False needs the block columns among the guarantee columns")

@@ -13,8 +13,8 @@ from namesake import standin
 from namesake.functions import text
 from namesake.functions.vectors import vote_entropy
 from namesake.operators import (
-    bisect, blocking, committee, components, edges, editions, embed, features, guarantee, nearest, nearest_sets,
-    ordered, sampling, summary, temporal, tokens,
+    bisect, blocking, committee, components, edges, editions, embed, features, guarantee, metric_tree,
+    ordered, sampling, suffix_sets, summary, temporal, tokens,
 )
 from namesake.plans import labelling, pairing, resolution
 from namesake.plans.preparation import describe_values
@@ -197,13 +197,13 @@ def cosine_topk(spark, sf):
     vec = embed.unit(F.col("embedding").cast("array<double>"))
     left = e.select(F.col("vec_id").alias("l_item"), F.lit(0).alias("l_seq"), vec.alias("l_vec"))
     right = e.select(F.col("vec_id").alias("r_item"), F.lit(0).alias("r_seq"), F.col("vec_id").alias("r_tie"), vec.alias("r_vec"))
-    found = nearest.nearest_join(left, right, 10, "cosine")
+    found = metric_tree.tree_join(left, right, 10)
     return found.select(F.col("l_item").alias("left_id"), F.col("r_item").alias("right_id"), F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
 def jaccard_topk(spark, sf):
     r, v = _values(spark, sf)
-    found = blocking.neighbours(r, SPEC, v.block_tokens, "jaccard", "subsets")
+    found = blocking.neighbours(r, SPEC, v.block_tokens, "jaccard")
     return found.select("left_id", "right_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -217,7 +217,7 @@ def token_jaccard_documents(spark, sf):
     docs = cut(words(table(spark, sf, "documents"), "doc_id"))
     left = items.select(F.col("item_id").alias("l_item"), F.lit(0).alias("l_seq"), F.col("vec").alias("l_vec"))
     right = docs.select(F.col("doc_id").alias("r_item"), F.lit(0).alias("r_seq"), F.col("doc_id").alias("r_tie"), F.col("vec").alias("r_vec"))
-    found = nearest_sets.nearest_sets(left, right, 5, strategy="blocks")
+    found = suffix_sets.set_join(left, right, 5)
     return found.select(F.col("l_item").alias("item_id"), F.col("r_item").alias("doc_id"), F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -9,23 +9,33 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from namesake.operators.guarantee import follows_order, match_counts, matches, placed
+from namesake.operators.guarantee import follows_order, linked_runs, match_counts, matches, placed
 from namesake.operators.temporal import break_counts, is_leaf
 from namesake.session import cut, release
 from namesake.spec import LinkageSpec
 
 
-#: Steps in which a drawn half of the willing nodes moves; then, in each cluster, the one that gains most.
+#: First steps, in which a drawn half of the willing nodes moves whatever comes of it.
 SHARED_STEPS = 10
+#: Later a step must raise the modularity. After each that does not, half as many nodes are drawn;
+#: after so many only the one that gains most moves.
+HALVINGS = 7
+#: Least gain in modularity for which a node moves.
+LEAST_GAIN = 1e-9
 
 
 def _coin(*parts) -> F.Column:
     return F.pmod(F.xxhash64(*parts), F.lit(2)).cast("int")
 
 
+def drawn(halvings: F.Column, *parts) -> F.Column:
+    """A draw by hash: half of the rows for each halving."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) < F.lit(1 << 30) * F.pow(F.lit(0.5), halvings)
+
+
 def _listed_arcs(nodes: DataFrame, edges: DataFrame, max_diff: float, weighted: bool) -> DataFrame:
     """(record_id, other, weight) both ways, for edges inside a cluster that no
     exact key implies already."""
@@ -88,9 +98,11 @@ def bisect(
     reaches a positive modularity keeps side 0 throughout. ``ordered`` is what
     ``follows_order`` says about the keys.
 
-    The steps go on until no node of any start gains by moving. Many nodes move
-    at once at first; from ``shared_steps`` on only the node of a cluster that
-    gains most does, so every step raises the modularity and the end is certain.
+    The steps go on until no node of any start gains by moving. After
+    ``shared_steps`` every step starts from the best sides so far and counts only
+    if it is better; the draw grows after a step that is and shrinks after one
+    that is not, down to the single node that gains most. So the end is certain,
+    and many nodes of one cluster still move in one job.
     """
     base = ["record_id", "path", "gkey", "seq", "year"]
     nodes = nodes.select(*base)
@@ -103,7 +115,9 @@ def bisect(
         "*",
         *[_coin("record_id", "path", F.lit(seed + r)).alias(side[r]) for r in tries],
         *[F.lit(0).alias(b) for b in best],
-        *[F.lit(0.0).alias(f"q_{r}") for r in tries],
+        *[F.lit(0.0).alias(f"gain_{r}") for r in tries],
+        *[F.lit(-1.0).alias(f"q_{r}") for r in tries],
+        *[F.lit(0).alias(f"halved_{r}") for r in tries],
     )
     state = cut(state)
     step = 0
@@ -132,35 +146,65 @@ def bisect(
             ones = F.col(f"ones_{r}")
             own_total = F.when(F.col(side[r]) == 1, ones).otherwise(total - ones)
             pull = whole - 2 * own(r)
-            return pull - whole * ((total - own_total) - own_total + whole) / total
+            change = 2 * (pull - whole * ((total - own_total) - own_total + whole) / total) / total
+            return F.when(total > 0, change).otherwise(F.lit(0.0))
 
-        gains = [(total > 0) & (gain(r) > 1e-9) for r in tries]
-        willing = reduce(lambda a, b: a | b, gains)
-        if step < shared_steps:
-            moves = [gains[r] & (_coin("record_id", F.lit(seed + 1000 + step), F.lit(r)) == 0) for r in tries]
-        else:
-            firsts = joined.groupBy("path").agg(
-                *[F.max(F.when(gains[r], F.struct(gain(r).alias("gain"), "record_id")))["record_id"].alias(f"mover_{r}") for r in tries]
-            )
-            joined = joined.join(firsts, "path")
-            moves = [F.coalesce(F.col(f"mover_{r}") == F.col("record_id"), F.lit(False)) for r in tries]
+        shared = step < shared_steps
         better = [modularity(r) > F.col(f"q_{r}") + 1e-12 for r in tries]
-        former, state = state, cut(joined.select(
-            *base, "degree",
-            *[F.when(moves[r], 1 - F.col(side[r])).otherwise(F.col(side[r])).alias(side[r]) for r in tries],
+        # The sides to go on from, the gains of their nodes, and how many are drawn.
+        joined = joined.select(
+            *base, "degree", *side,
             *[F.when(better[r], F.col(side[r])).otherwise(F.col(best[r])).alias(best[r]) for r in tries],
+            *[F.when(better[r], gain(r)).otherwise(F.col(f"gain_{r}")).alias(f"gain_{r}") for r in tries],
             *[F.when(better[r], modularity(r)).otherwise(F.col(f"q_{r}")).alias(f"q_{r}") for r in tries],
-            willing.alias("willing"),
-        ))
+            *[(F.lit(1) if shared else F.when(better[r], F.greatest(F.lit(0), F.col(f"halved_{r}") - 1)).otherwise(F.least(F.lit(HALVINGS), F.col(f"halved_{r}") + 1))).alias(f"halved_{r}") for r in tries],
+            *[gain(r).alias(f"now_{r}") for r in tries],
+        )
+        came_from = [side[r] if shared else best[r] for r in tries]
+        gains = [F.col(f"now_{r}" if shared else f"gain_{r}") for r in tries]
+        willing = [g > LEAST_GAIN for g in gains]
+        leads = joined.groupBy("path").agg(*[F.max(F.when(willing[r], F.struct(gains[r].alias("gain"), "record_id")))["record_id"].alias(f"lead_{r}") for r in tries])
+        joined = joined.join(leads, "path")
+        moves = []
+        for r in tries:
+            lead = F.coalesce(F.col(f"lead_{r}") == F.col("record_id"), F.lit(False))
+            lot = (F.col(f"halved_{r}") < HALVINGS) & drawn(F.col(f"halved_{r}"), "record_id", F.lit(seed + 1000 + step), F.lit(r))
+            moves.append(willing[r] & (lot | lead))
+        former, state = state, cut(joined.select(
+            *base, "degree",
+            *[F.when(moves[r], 1 - F.col(came_from[r])).otherwise(F.col(came_from[r])).alias(side[r]) for r in tries],
+            *best, *[f"gain_{r}" for r in tries], *[f"q_{r}" for r in tries], *[f"halved_{r}" for r in tries],
+            reduce(lambda a, b: a | b, [F.col(f"gain_{r}") > LEAST_GAIN for r in tries] + (willing if shared else [])).alias("willing"),
+        ))
         release(former)
         if state.filter("willing").isEmpty():
             break
         step += 1
     top = F.greatest(*[F.col(f"q_{r}") for r in tries]) if restarts > 1 else F.col("q_0")
-    chosen = F.coalesce(*[F.when((F.col(f"q_{r}") == top) & (top > 0), F.col(best[r])) for r in tries], F.lit(0))
+    chosen = F.coalesce(*[F.when((F.col(f"q_{r}") == top) & (top > 1e-12), F.col(best[r])) for r in tries], F.lit(0))
     return state.select("record_id", "path", chosen.alias("side"))
 
 
+def _parts(nodes: DataFrame, edges: DataFrame, max_diff: float, seed: int, ordered: bool) -> DataFrame:
+    """(record_id, path, side): communities of each cluster, numbered from 0 by their smallest unit."""
+    from namesake.operators.communities import communities
+
+    own = F.concat_ws("\u0001", "path", "gkey")
+    keyed = nodes.filter(F.col("gkey").isNotNull()).select("record_id", "path", "seq", "year", own.alias("gkey"))
+    hubs = keyed.join(linked_runs(keyed, max_diff), ["gkey", "year"]).select("record_id", "hub")
+    cells = keyed.groupBy("gkey", "seq", "year").agg(F.count("*").alias("n"))
+    counts = match_counts(cells, ["n"], max_diff, ordered=ordered)
+    matched = keyed.join(counts, ["gkey", "seq", "year"]).select("record_id", (F.col("n") - 1).alias("matches"))
+    units = nodes.select("record_id", "path").join(hubs, "record_id", "left").join(matched, "record_id", "left")
+    units = cut(units.select("record_id", "path", F.coalesce("hub", "record_id").alias("unit"), F.coalesce("matches", F.lit(0)).alias("matches")))
+    # An edge that an exact key implies is among its matches.
+    listed = _listed_arcs(nodes, edges, max_diff, True).filter("record_id < other")
+    found = cut(communities(units, listed.select(F.col("record_id").alias("src"), F.col("other").alias("dst"), "weight"), seed))
+    number = F.row_number().over(Window.partitionBy("path").orderBy("community")) - 1
+    numbers = found.select("path", "community").distinct().withColumn("side", number)
+    return found.join(numbers, ["path", "community"]).select("record_id", "path", "side")
+
+
 def split_clusters(
     members: DataFrame,
     edges: DataFrame,
@@ -169,6 +213,7 @@ def split_clusters(
     seed: int = 0,
     weighted: bool = False,
     shared_steps: int = SHARED_STEPS,
+    multi: bool = False,
 ) -> DataFrame:
     """(record_id, cluster, path): clusters split until each is a leaf.
 
@@ -176,6 +221,9 @@ def split_clusters(
     dst, weight)``. All clusters of one depth are tested and split together; a
     path adds one step per split, so paths never collide. A cluster that does
     not divide stays whole, and every other gets smaller, so the levels end.
+    With ``multi`` a cluster falls into as many communities as raise its
+    modularity, weighted by the edges; records that one exact key holds together
+    then stay together. Otherwise it is cut in two.
     """
     base = ["record_id", "cluster", "path", "seq", "year", "gkey"]
     active = cut(members.withColumn("path", F.col("cluster").cast("string")).select(*base))
@@ -193,7 +241,10 @@ def split_clusters(
             break
         nodes = cut(active.join(failing, "path", "left_semi"))
         at = nodes.join(places, "record_id").withColumn("seq", F.col("place")).drop("place")
-        sides = cut(bisect(at, edges, spec.max_year_diff, restarts, seed + level, weighted, ordered, shared_steps))
+        if multi:
+            sides = cut(_parts(at, edges, spec.max_year_diff, seed + level, ordered))
+        else:
+            sides = cut(bisect(at, edges, spec.max_year_diff, restarts, seed + level, weighted, ordered, shared_steps))
         spread = sides.groupBy("path").agg((F.min("side") != F.max("side")).alias("divides"))
         sided = nodes.join(sides, ["record_id", "path"]).join(spread, "path")
         done.append(sided.filter(~F.col("divides")).select(*base))

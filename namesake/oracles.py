@@ -257,6 +257,10 @@ ORACLES: dict[str, str] = {
     "guaranteed_edges_year_bound": f"""WITH {REC}, {PAIRS} SELECT record_id, count(x.id) AS n_matches FROM rec
       LEFT JOIN (SELECT a AS id FROM exact UNION ALL SELECT b FROM exact) x ON x.id = record_id GROUP BY 1""",
     "connected_components": f"WITH RECURSIVE {GRAPH} SELECT record_id, cluster FROM comp",
+    "community_moves": f"""WITH RECURSIVE {EDGES}, {_reach("SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges")},
+      ties AS (SELECT src AS record_id, weight FROM edges UNION ALL SELECT dst, weight FROM edges)
+      SELECT record_id, cluster, round(coalesce(sum(weight), 0), 6) AS degree, false AS gains
+      FROM comp LEFT JOIN ties USING (record_id) GROUP BY record_id, cluster""",
     "induced_edges": f"""WITH {EDGES} SELECT src, dst, s.edition || '_' || s.ren_xian AS grp FROM edges
       JOIN rec s ON s.record_id = src JOIN rec d ON d.record_id = dst WHERE s.edition = d.edition AND s.ren_xian = d.ren_xian""",
     "strange_ratio": f"""WITH RECURSIVE {GRAPH},

@@ -13,7 +13,7 @@ from namesake import standin
 from namesake.functions import text
 from namesake.functions.vectors import vote_entropy
 from namesake.operators import (
-    bisect, blocking, committee, components, edges, editions, embed, features, guarantee, metric_tree,
+    bisect, blocking, committee, communities, components, edges, editions, embed, features, guarantee, metric_tree,
     ordered, sampling, suffix_sets, summary, temporal, tokens,
 )
 from namesake.plans import labelling, pairing, resolution
@@ -468,6 +468,17 @@ def split_name_groups(spark, sf):
     return bisect.split_clusters(members, empty, NAME_BRAND, restarts=2)
 
 
+def community_moves(spark, sf):
+    """Communities of the weighted model edges, and whether any record would raise its cluster's modularity by moving."""
+    r, scored = _scored(spark, sf)
+    found = cut(edges.model_edges(scored, EDGE_THRESHOLD))
+    clusters = cut(components.connected_components(found, r.select("record_id")))
+    parts = cut(communities.communities(clusters.select("record_id", F.col("cluster").alias("path")), found))
+    return communities.moves_left(parts, found).select(
+        "record_id", F.col("path").alias("cluster"), F.round("degree", 6).alias("degree"), (F.col("gain") > 1e-8).alias("gains")
+    )
+
+
 def resolve_entities(spark, sf):
     """Flagship: exact keys, components, break test, ids, statistics."""
     found = cut(resolution.resolve(standin.records(spark, sf), NAME_BRAND))
@@ -501,7 +512,7 @@ QUERIES: dict[str, Query] = {
         uncertain_topk_antijoin, random_sample, bootstrap_draws, class_weights, standardise_features,
         committee_fit_score, kmeans_diverse, k_centre_fill, word2vec_grams, next_label_round, label_cell_text,
         edge_dedup, guaranteed_edges_year_bound, connected_components, induced_edges, strange_ratio, person_ids_dense,
-        cluster_size_stats, cluster_size_histogram, split_clusters, split_name_groups, resolve_entities,
+        cluster_size_stats, cluster_size_histogram, split_clusters, split_name_groups, community_moves, resolve_entities,
         linkage_with_committee,
     )
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -9,11 +11,13 @@ from pyspark.sql import functions as F
 
 from namesake.functions.vectors import vote_entropy
 from namesake.operators.ordered import dense_index
-from namesake.session import cut
+from namesake.session import cut, release
 
 # Entropies and distances are ranked at this many decimals, so that equal ones
 # tie whatever order they were computed in.
 DECIMALS = 9
+#: Points that one job of the farthest-first fill brings to the driver.
+FARTHEST = 64
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -63,12 +67,15 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
-def k_centre_fill(points: DataFrame, chosen: DataFrame, total: int, key: str = "pair_id") -> DataFrame:
+def k_centre_fill(points: DataFrame, chosen: DataFrame, total: int, key: str = "pair_id", at_once: int = FARTHEST) -> DataFrame:
     """Extend ``chosen(key)`` to ``total`` rows, each time by the point farthest
     from all chosen so far; ties go to the lowest key.
 
     ``points(key, vec)``. Without a start the point farthest from the mean
-    opens. Only the picked point meets the driver; ``total`` is a round size.
+    opens. A job brings the ``at_once`` farthest points to the driver. Gaps only
+    shrink, so the last of these bounds all points that stayed behind: as long
+    as the best of those at hand is not below it, it is the next pick, and the
+    others at hand are measured again. Only then all points are.
     """
     picked = chosen.join(points, key).select(key, "vec")
     have = [(r[key], r["vec"]) for r in picked.orderBy(key).limit(total).collect()]
@@ -82,16 +89,27 @@ def k_centre_fill(points: DataFrame, chosen: DataFrame, total: int, key: str = "
     ids = [i for i, _ in have]
     fresh = not have
     while len(ids) < total:
-        far = state.orderBy(F.desc(F.round("gap", DECIMALS)), key).limit(1).collect()
-        if not far:
+        # The first pick of all is told by the mean, so what follows must be measured anew.
+        rows = state.orderBy(F.desc(F.round("gap", DECIMALS)), key).limit(1 if fresh else at_once).collect()
+        if not rows:
             break
-        ids.append(far[0][key])
-        reach = distance(F.col("vec"), F.array(*map(F.lit, far[0]["vec"])))
+        order = lambda gap, row: (-round(gap, DECIMALS), row[key])
+        whole = len(rows) < at_once and not fresh
+        least = order(rows[-1]["gap"], rows[-1])
+        at_hand = [(row["gap"], row) for row in rows]
+        new = []
+        while at_hand and len(ids) < total:
+            gap, row = min(at_hand, key=lambda x: order(*x))
+            if not whole and order(gap, row) > least:
+                break
+            ids.append(row[key])
+            new.append(row)
+            at_hand = [(min(g, math.dist(r["vec"], row["vec"])), r) for g, r in at_hand if r[key] != row[key]]
+        reach = F.array_min(F.array(*[distance(F.col("vec"), F.array(*map(F.lit, row["vec"]))) for row in new]))
         gap = reach if fresh else F.least("gap", reach)
         fresh = False
-        state = state.filter(F.col(key) != far[0][key]).withColumn("gap", gap)
-        if len(ids) % 10 == 0:
-            state = cut(state)
+        former, state = state, cut(state.filter(~F.col(key).isin([row[key] for row in new])).withColumn("gap", gap))
+        release(former)
     return points.sparkSession.createDataFrame([(i,) for i in ids], chosen.select(key).schema)
 
 

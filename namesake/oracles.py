@@ -252,6 +252,22 @@ ORACLES: dict[str, str] = {
       FROM n l JOIN rec r ON r.record_id = l.nxt""",
     "edition_files": f"WITH {REC} SELECT record_id, edition, seq::BIGINT AS edition_seq, year, xing FROM rec WHERE seq >= 10 AND seq < 13",
     "csv_round_trip": f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS line, {_CELLS} FROM part",
+    "one_edition": f"WITH {REC} SELECT record_id, edition, seq::BIGINT AS edition_seq, xing, ming FROM rec WHERE edition = 'e7'",
+    "all_editions": """WITH r AS (SELECT p_partkey AS record_id, 'e' || p_size AS edition, coalesce(nullif(p_type, 'SMALL'), '?') AS kind, p_brand AS maker
+        FROM part WHERE p_brand <> 'Brand#11'),
+      d AS (SELECT edition, row_number() OVER (ORDER BY min(record_id)) - 1 AS edition_seq FROM r GROUP BY edition)
+      SELECT record_id, edition, kind, maker, edition_seq FROM r JOIN d USING (edition)""",
+    "dictionary_files": """WITH c AS (SELECT DISTINCT unnest(string_split(p_name || p_brand, '')) AS char FROM part), n AS (SELECT char, ascii(char) AS k FROM c WHERE char <> ' ')
+      SELECT 'strokes' AS kind, char, substr('ABCDE', k % 5 + 1, 1) || substr('VWXYZ', k % 7 % 5 + 1, 1) AS value FROM n WHERE k % 11 <> 0
+      UNION ALL SELECT 'standard', char, 'e' FROM n WHERE char IN ('a', 'i', 'o', 'u')
+      UNION ALL SELECT 'syllable', char, 's' || (k % 6) FROM n WHERE k >= 97""",
+    "rank_features": """WITH g AS (SELECT p_partkey, p_size % 12 - 1 AS l, floor(p_retailprice)::BIGINT % 11 - 1 AS r FROM part),
+      t AS (SELECT p_partkey, CASE WHEN l = 0 THEN 10 ELSE l END AS l, CASE WHEN r = 0 THEN 10 ELSE r END AS r FROM g)
+      SELECT p_partkey, (CASE WHEN l <> -1 AND r <> -1 THEN abs(r - l) ELSE -1 END)::DOUBLE AS rank_diff, least(l, r)::DOUBLE AS rank_min FROM t""",
+    "candidate_files": f"""WITH {_features()} SELECT left_id, right_id, seq::BIGINT AS left_seq, ming_stroke
+      FROM feat JOIN rec ON record_id = left_id""",
+    "labelled_pairs": f"""WITH {_features()}, p AS (SELECT left_id * 100000 + right_id AS pair_id, ming_stroke, same_year FROM feat)
+      SELECT pair_id, ming_stroke, same_year::BIGINT AS same_year, (pair_id % 2)::INTEGER AS label FROM p WHERE pair_id % 3 > 0""",
     "json_values": f"SELECT {_CELLS} FROM part",
     "edge_dedup": f"WITH {EDGES} SELECT src, dst, weight FROM edges",
     "guaranteed_edges_year_bound": f"""WITH {REC}, {PAIRS} SELECT record_id, count(x.id) AS n_matches FROM rec

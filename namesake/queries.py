@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from namesake import standin
 from namesake.functions import text
+from namesake.functions.vectors import rank_features as rank_pair
 from namesake.functions.vectors import vote_entropy
 from namesake.operators import (
     bisect, blocking, committee, communities, components, edges, editions, embed, features, guarantee, metric_tree,
@@ -19,6 +20,7 @@ from namesake.operators import (
 from namesake.plans import labelling, pairing, resolution
 from namesake.plans.preparation import describe_values
 from namesake.session import cut, scratch
+from namesake.sources import candidates, dictionaries
 from namesake.sources import records as sources
 from namesake.sources.labels import label_cells, label_schema, read_labels, write_to_label
 from namesake.standin import NAME_BRAND, SPEC, table
@@ -68,7 +70,7 @@ def csv_round_trip(spark, sf):
     """Written in one column order, read in another by heading, numbered in the file's order."""
     path = scratch(spark, "csv")
     cells = _part_cells(spark, sf)
-    sources.write_csv(cells.select("p_retailprice", "note", "p_partkey", "brand").coalesce(1).sortWithinPartitions("p_partkey"), path)
+    sources.write_csv(cells.select("p_retailprice", "note", "p_partkey", "brand").repartitionByRange("p_partkey").sortWithinPartitions("p_partkey"), path)
     return sources.read_csv(spark, path, cells.schema, row_number="line").select("line", *cells.columns)
 
 
@@ -79,6 +81,46 @@ def edition_files(spark, sf):
     return sources.read_edition_window(spark, path, 10, 3).select("record_id", "edition", F.col("edition_seq").cast("long").alias("edition_seq"), "year", "xing")
 
 
+def one_edition(spark, sf):
+    """Records written by edition, those of one read back by its label."""
+    path = scratch(spark, "records")
+    sources.write_records(standin.records(spark, sf), path)
+    return sources.read_edition(spark, path, "e7").select("record_id", "edition", F.col("edition_seq").cast("long").alias("edition_seq"), "xing", "ming")
+
+
+def all_editions(spark, sf):
+    """The register from its raw headings: renamed, prepared, numbered, written by edition, all read back."""
+    path = scratch(spark, "records")
+    part = table(spark, sf, "part")
+    cells = part.select("p_partkey", F.nullif("p_type", F.lit("SMALL")).alias("type"), F.nullif("p_brand", F.lit("Brand#11")).alias("brand"), "p_size")
+    named = sources.rename_columns(cells, {"type": "kind", "brand": "maker"}, keep=("p_partkey", "p_size")).select(
+        F.col("p_partkey").alias("record_id"), F.concat(F.lit("e"), F.col("p_size").cast("string")).alias("edition"), "kind", "maker"
+    )
+    kept, _ = sources.prepare_records(named, ("kind", "maker"), "maker")
+    sources.write_records(kept, path)
+    return sources.read_records(spark, path).select("record_id", "edition", "kind", "maker", F.col("edition_seq").cast("long").alias("edition_seq"))
+
+
+def dictionary_files(spark, sf):
+    """Character tables written as lines of text and read back."""
+    folder = scratch(spark, "characters")
+    out = None
+    for name, frame in zip(("strokes", "standard", "syllable"), standin.dictionaries(spark, sf)):
+        # Later fields of a line are not read.
+        frame.select(F.concat_ws(" ", "char", name, F.lit("later")).alias("value")).write.text(f"{folder}/{name}")
+        found = dictionaries.read_char_table(spark, f"{folder}/{name}", name).select(F.lit(name).alias("kind"), "char", F.col(name).alias("value"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def rank_features(spark, sf):
+    """Distance and minimum of two grades from 0 (read as 10) to 9, -1 where missing."""
+    p = table(spark, sf, "part")
+    left, right = F.col("p_size") % 12 - 1, F.floor("p_retailprice") % 11 - 1
+    gap, least = rank_pair(left.cast("int"), right.cast("int"))
+    return p.select("p_partkey", gap.alias("rank_diff"), least.alias("rank_min"))
+
+
 def json_values(spark, sf):
     path = scratch(spark, "json")
     cells = _part_cells(spark, sf)
@@ -90,10 +132,10 @@ def label_round_trip(spark, sf):
     """Cells exported for a person, filled in and read back with their labels."""
     folder = scratch(spark, "labels")
     pairs = label_pairs(spark, sf)
-    write_to_label(label_cells(pairs), f"{folder}/to_label")
+    write_to_label(label_cells(pairs), f"{folder}/to_label", files=None)
     shown = read_labels(spark, f"{folder}/to_label", with_scores=False)
     answered = shown.select(*[c for c in shown.columns if c not in ("label", "pair_id")], (F.col("pair_id") % 2).cast("int").alias("oracle"), F.col("pair_id").alias("index"))
-    write_to_label(answered.select(*label_schema(False).names), f"{folder}/labelled")
+    write_to_label(answered.select(*label_schema(False).names), f"{folder}/labelled", files=None)
     return read_labels(spark, f"{folder}/labelled", with_scores=False).select("pair_id", "label", "name", "year")
 
 
@@ -257,6 +299,39 @@ def pair_features(spark, sf):
     return f.select("left_id", "right_id", *[F.round(c, 6).alias(c) for c in SPEC.feature_names])
 
 
+def candidate_files(spark, sf):
+    """Candidates with their features by left edition: a run that stops half way, leaves a torn folder, and is resumed."""
+    path = scratch(spark, "candidates")
+    r, f = _featured(spark, sf)
+    seqs = r.select(F.col("record_id").alias("left_id"), F.col("edition_seq").alias("left_seq"))
+    editions_ = [row[0] for row in seqs.select("left_seq").distinct().orderBy("left_seq").collect()]
+    asked = []
+
+    def make(some):
+        asked.append(some)
+        if len(asked) == 2:
+            # What a killed job leaves: rows of an edition that has no marker.
+            f.limit(3).withColumn("left_seq", F.lit(some[0])).write.mode("append").partitionBy("left_seq").parquet(f"{path}/candidates")
+            raise InterruptedError("stopped")
+        return f.join(seqs.filter(F.col("left_seq").isin(some)), "left_id")
+
+    try:
+        candidates.write_candidates(spark, path, editions_, make, at_once=20)
+    except InterruptedError:
+        candidates.write_candidates(spark, path, editions_, make, at_once=20)
+    found = candidates.read_candidates(spark, path)
+    return found.select("left_id", "right_id", F.col("left_seq").cast("long").alias("left_seq"), F.round("ming_stroke", 6).alias("ming_stroke"))
+
+
+def labelled_pairs(spark, sf):
+    """Label rows joined with the features of their pairs; answers still open don't count."""
+    _, f = _featured(spark, sf)
+    pool = f.select((F.col("left_id") * 100_000 + F.col("right_id")).alias("pair_id"), "ming_stroke", "same_year")
+    labels = pool.select("pair_id", F.when(F.col("pair_id") % 3 > 0, F.col("pair_id") % 2).cast("int").alias("label"))
+    rows = labelling.training_rows(pool, labels, ["ming_stroke", "same_year"])
+    return rows.select("pair_id", F.round("ming_stroke", 6).alias("ming_stroke"), F.col("same_year").cast("long").alias("same_year"), "label")
+
+
 def training_pool(spark, sf):
     r, v = _values(spark, sf)
     dim = r.select("edition_seq").distinct()
@@ -505,7 +580,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         edition_dimension, stride_sample_editions, edition_record_counts, fractional_year, csv_round_trip,
-        edition_files, json_values, label_round_trip, edition_key, missing_mask,
+        edition_files, one_edition, all_editions, dictionary_files, json_values, label_round_trip, rank_features, candidate_files, labelled_pairs, edition_key, missing_mask,
         ngrams_padded, bracket_compose, variant_translate, shape_and_phonetic_tokens, record_tokens, gram_embedding,
         cosine_topk, jaccard_topk, token_jaccard_documents, band_window_counts, guaranteed_pair_counts,
         blocked_candidates, blocked_candidates_unbuffered, pair_features, training_pool, vote_mean_entropy,

@@ -63,6 +63,11 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
+def file_system(spark: SparkSession, path: str):
+    """(path, file system) as the cluster's own objects."""
+    return _file_system(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

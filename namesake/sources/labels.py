@@ -56,9 +56,13 @@ def label_cells(pairs: DataFrame, cells: dict[str, tuple[str, ...]] = CELLS, glu
     )
 
 
-def write_to_label(cells: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A round for a person to label; its rows are bounded by the round size."""
-    cells.coalesce(1).write.mode(mode).option("header", True).option("quoteAll", True).option(
+def write_to_label(cells: DataFrame, path: str, mode: str = "errorifexists", files: int | None = 1) -> None:
+    """A round for a person to label: one file, as its rows are bounded by the round size.
+
+    ``files=None`` leaves the number of files to the table, for more than a round.
+    """
+    placed = cells if files is None else cells.coalesce(files)
+    placed.write.mode(mode).option("header", True).option("quoteAll", True).option(
         "escape", '"'
     ).csv(path)
 

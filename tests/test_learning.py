@@ -132,3 +132,18 @@ def test_label_rounds(spark, pool, tmp_path):
     assert rounds.finish_round(1).count() == 50
     models = rounds.fit_final(1, size=2, params=SMALL)
     assert len(models) == 2 and len(committee.load_committee(spark, f"{tmp_path}/committee", 2)) == 2
+
+
+def test_k_centre_picks_several_a_job(spark):
+    """Bounds decide when points must be measured again; ties and few points at hand change nothing."""
+    rng = np.random.default_rng(6)
+    pts = np.round(rng.random((80, 2)) * 4) / 4
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "pair_id long, vec array<double>")
+    first = spark.createDataFrame([(3,)], "pair_id long")
+    chosen = [3]
+    while len(chosen) < 12:
+        gaps = np.round(np.min([np.linalg.norm(pts - pts[c], axis=1) for c in chosen], axis=0), 9)
+        gaps[chosen] = -1
+        chosen.append(int(np.argmax(gaps)))
+    for at_once in (2, 7, 100):
+        assert [r[0] for r in sampling.k_centre_fill(df, first, 12, at_once=at_once).collect()] == chosen

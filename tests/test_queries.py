@@ -13,7 +13,7 @@ entry = importlib.import_module("__spark_entry__")
 # The blocking queries are compared with brute force in test_blocking.
 LIGHT = [
     "edition_dimension", "stride_sample_editions", "edition_record_counts", "fractional_year", "edition_key", "missing_mask",
-    "csv_round_trip", "edition_files", "json_values", "label_round_trip",
+    "csv_round_trip", "edition_files", "json_values", "label_round_trip", "one_edition", "all_editions", "dictionary_files", "rank_features",
     "ngrams_padded", "bracket_compose", "variant_translate", "shape_and_phonetic_tokens", "record_tokens", "gram_embedding",
     "token_jaccard_documents", "band_window_counts", "guaranteed_pair_counts", "vote_mean_entropy",
     "uncertain_topk_antijoin", "random_sample", "bootstrap_draws", "class_weights", "standardise_features",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesake.functions.text import key_of
+from namesake.operators.ordered import dense_index, run_starts, running_totals
 from namesake.operators.tokens import convert_columns
 from namesake.session import cut
 from namesake.spec import LinkageSpec
@@ -90,11 +91,8 @@ def placed(table: DataFrame, max_diff: float) -> DataFrame:
     if wide.isEmpty():
         return table
     marked = table.join(wide.withColumn("_wide", F.lit(True)), ["gkey", "seq"], "left")
-    in_order = Window.partitionBy("gkey", "seq").orderBy("record_id")
-    starts = F.when(~F.col("year").eqNullSafe(F.lag("year").over(in_order)) | F.lag("record_id").over(in_order).isNull(), F.col("record_id"))
-    runs = marked.filter("_wide").withColumn("_start", starts)
-    first = F.last("_start", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    fine = runs.withColumn("seq", F.struct("seq", first.cast("long").alias("run")))
+    runs = run_starts(marked.filter("_wide"), ["gkey", "seq"], ["record_id"], "year", "record_id", "_first")
+    fine = runs.withColumn("seq", F.struct("seq", F.col("_first").cast("long").alias("run")))
     coarse = marked.filter(F.col("_wide").isNull()).withColumn("seq", F.struct("seq", F.lit(0).cast("long").alias("run")))
     return fine.select(*table.columns).unionByName(coarse.select(*table.columns))
 
@@ -106,6 +104,38 @@ def follows_order(table: DataFrame, max_diff: float) -> bool:
     return not found["behind"]
 
 
+def _against_order(cells: DataFrame, counts: list[str], max_diff: float, by: tuple[str, ...]) -> DataFrame:
+    """(by, seq, year, extra_...): sums over cells that lie the bound or more ahead in year though earlier in order, or the reverse.
+
+    The editions of a key are ranked, and the ranks before one are ranges whose
+    lengths are powers of two. A cell is entered in one range of every length
+    and asked for in as many as its rank has bits, so n log n rows replace the
+    pairs; sums over the years within a range are running totals.
+    """
+    places = cut(dense_index(cells.select(*by, "seq").distinct(), [*by, "seq"], "_at"))
+    span = places.groupBy(*by).agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    ranked = cut(cells.join(places, [*by, "seq"]).join(span, list(by)))
+    most = ranked.agg(F.max(F.col("_high") - F.col("_low"))).first()[0] or 0
+    levels = range(int(most).bit_length())
+    if not levels:
+        return cells.limit(0).select(*by, "seq", "year", *[F.col(c).alias(f"extra_{c}") for c in counts])
+    lengths = F.array(*[F.lit(level) for level in levels])
+    sides = []
+    # Earlier in order and ahead in year; then the same with both turned round.
+    for rank, sign in ((F.col("_at") - F.col("_low"), 1), (F.col("_high") - F.col("_at"), -1)):
+        spread = ranked.withColumn("_rank", rank).withColumn("_level", F.explode(lengths))
+        own = F.call_function("shiftright", F.col("_rank"), F.col("_level"))
+        entered = spread.withColumn("_range", own).filter(F.col("_range") % 2 == 0)
+        asking = spread.withColumn("_range", own - 1).filter(F.col("_range") % 2 == 0)
+        nothing = [F.lit(0).cast(cells.schema[c].dataType).alias(c) for c in counts]
+        rows = entered.select(*by, "seq", "year", "_level", "_range", (-F.col("year") * sign).alias("_order"), F.lit(0).alias("_asks"), *counts).unionByName(
+            asking.select(*by, "seq", "year", "_level", "_range", (-(F.col("year") * sign + max_diff)).alias("_order"), F.lit(1).alias("_asks"), *nothing)
+        )
+        summed = running_totals(rows, [*by, "_level", "_range"], ["_order", "_asks", "seq", "year"], counts)
+        sides.append(summed.filter("_asks = 1").select(*by, "seq", "year", *counts))
+    return sides[0].unionByName(sides[1]).groupBy(*by, "seq", "year").agg(*[F.sum(c).alias(f"extra_{c}") for c in counts])
+
+
 def match_counts(
     cells: DataFrame, counts: list[str], max_diff: float, by: tuple[str, ...] = ("gkey",), ordered: bool = False
 ) -> DataFrame:
@@ -137,15 +167,7 @@ def match_counts(
         *by, "seq", "year", *[near(c).alias(f"near_{c}") for c in counts], *counts, _behind(by, max_diff).alias("_behind")
     )
     out = out.withColumn("_mixed", F.max("_behind").over(Window.partitionBy(*by)))
-    mixed = out.filter("_mixed")
-    other = mixed.select(*by, F.col("seq").alias("o_seq"), F.col("year").alias("o_year"), *[F.col(c).alias(f"o_{c}") for c in counts])
-    against = ((F.col("o_year") - F.col("year") >= max_diff) & (F.col("o_seq") < F.col("seq"))) | (
-        (F.col("year") - F.col("o_year") >= max_diff) & (F.col("o_seq") > F.col("seq"))
-    )
-    extra = (
-        mixed.select(*by, "seq", "year").join(other, list(by)).filter(against)
-        .groupBy(*by, "seq", "year").agg(*[F.sum(f"o_{c}").alias(f"extra_{c}") for c in counts])
-    )
+    extra = cut(_against_order(out.filter("_mixed").select(*by, "seq", "year", *counts), counts, max_diff, by))
     joined = out.join(extra, [*by, "seq", "year"], "left")
     return joined.select(
         *by, "seq", "year",

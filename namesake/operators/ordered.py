@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesake.session import cut
@@ -75,3 +75,45 @@ def renumber(df: DataFrame, key: str, first: Column, name: str) -> DataFrame:
     firsts = df.groupBy(key).agg(F.min(first).alias("_first"))
     numbers = dense_index(firsts, ["_first"], name).drop("_first")
     return df.join(numbers, key)
+
+
+#: Rows of one block of an order; a group in several blocks carries one row for each.
+BLOCK = 65_536
+
+
+def running_totals(df: DataFrame, group: list[str], order: list[str], sums: list[str], block: int = BLOCK) -> DataFrame:
+    """``df`` with ``sums`` as running totals of each group in a unique order.
+
+    Totals run within blocks of the whole order, and a group in several blocks
+    carries one row for each of them, so no task holds a group as a whole.
+    """
+    placed = dense_index(df, [*group, *order], "_idx").withColumn("_block", F.floor(F.col("_idx") / block))
+    key = F.struct(*group)
+    placed = placed.withColumn("_group", key)
+    parts = placed.groupBy("_block", "_group").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
+    before = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("_block", "_group", *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums])
+    within = Window.partitionBy("_block", "_group").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
+    inner = placed.select("*", *[F.sum(s).over(within).alias(f"_r_{s}") for s in sums])
+    joined = inner.join(carried, ["_block", "_group"])
+    return joined.select(
+        *[c for c in df.columns if c not in sums], *[(F.col(f"_b_{s}") + F.coalesce(f"_r_{s}", F.lit(0))).alias(s) for s in sums]
+    )
+
+
+def run_starts(df: DataFrame, group: list[str], order: list[str], value: str, key: str, name: str, block: int = BLOCK) -> DataFrame:
+    """Adds ``name``: the ``key`` of the first row of the run of equal ``value`` in which a row stands.
+
+    Runs are looked for in the whole order of (group, order), which must be
+    unique, so a group of any size spreads over all tasks.
+    """
+    placed = dense_index(df, [*group, *order], "_idx").withColumn("_block", F.floor(F.col("_idx") / block))
+    earlier = placed.select((F.col("_idx") + 1).alias("_idx"), F.struct(*group, value).alias("_was"))
+    goes_on = F.coalesce(F.struct(*group, value).eqNullSafe(F.col("_was")), F.lit(False))
+    marked = placed.join(earlier, "_idx", "left").withColumn("_start", F.when(~goes_on, F.struct("_idx", F.col(key).alias("_key")))).drop("_was")
+    # One row for each block.
+    lasts = marked.groupBy("_block").agg(F.max("_start").alias("_last"))
+    lasts = lasts.select("_block", F.max("_last").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    within = Window.partitionBy("_block").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
+    found = marked.withColumn("_here", F.max("_start").over(within)).join(lasts, "_block")
+    return found.select(*df.columns, F.coalesce("_here", "_before")["_key"].alias(name))

@@ -133,3 +133,36 @@ def test_renumber_first_seen(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 0)], "k string, o long")
     found = {r["o"]: r["n"] for r in ordered.renumber(df, "k", F.struct("o"), "n").collect()}
     assert found == {0: 0, 1: 1, 3: 1, 2: 2}
+
+
+def test_years_against_the_order_in_a_hot_key(spark):
+    """One key with most records, several mistyped years: counted by ranges, equal to all pairs."""
+    import random
+
+    r = random.Random(9)
+    rows = [(i, r.randrange(12), 0.0, "hot") for i in range(150)] + [(200 + i, r.randrange(6), 0.0, f"k{i % 5}") for i in range(40)]
+    rows = [(i, s, 1800.0 + 4 * s + (r.choice([-60, 60]) if r.random() < 0.1 else 0), k) for i, s, _, k in rows]
+    want = {}
+    for i, s, y, k in rows:
+        want[i] = sum(
+            (y2 - y if (s, i) < (s2, j) else y - y2) < 20.0 for j, s2, y2, k2 in rows if k2 == k and j != i
+        )
+    df = spark.createDataFrame(rows, "record_id long, seq int, year double, gkey string")
+    assert {x.record_id: x.n_matches for x in guarantee.guarantee_degrees(df, 20.0).collect()} == want
+
+
+def test_running_totals_and_runs_through_blocks(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, "a" if i < 70 else r.choice("bc"), r.randrange(3)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, g string, v long")
+    totals = {x.id: x.v for x in ordered.running_totals(df, ["g"], ["id"], ["v"], block=16).collect()}
+    firsts = {x.id: x.first for x in ordered.run_starts(df, ["g"], ["id"], "v", "id", "first", block=16).collect()}
+    for g in "abc":
+        mine, total, first, was = sorted(x for x in rows if x[1] == g), 0, None, None
+        for i, _, v in mine:
+            total += v
+            first = i if v != was else first
+            was = v
+            assert totals[i] == total and firsts[i] == first

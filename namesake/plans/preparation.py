@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from namesake.operators import embed, tokens
 from namesake.operators.blocking import block_keys
+from namesake.operators.factor import factor_gram_vectors
 from namesake.operators.features import feature_values
 from namesake.session import cut
 from namesake.spec import LinkageSpec
@@ -46,7 +47,7 @@ def describe_values(
     values = cut(feature_values(records, spec))
     symbols = cut(tokens.symbol_tokens(values, strokes, variants, phonetic))
     if gram_vectors is None:
-        gram_vectors = cut(embed.train_gram_vectors(symbols, vector_size, seed))
+        gram_vectors = factor_gram_vectors(symbols, vector_size, seed)
     value_tokens = cut(tokens.value_tokens(values, symbols))
     symbol_vecs = cut(embed.symbol_vectors(symbols, gram_vectors))
     blocks = cut(block_keys(records, spec))

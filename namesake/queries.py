@@ -14,7 +14,7 @@ from namesake.functions import text
 from namesake.functions.vectors import rank_features as rank_pair
 from namesake.functions.vectors import vote_entropy
 from namesake.operators import (
-    bisect, blocking, committee, communities, components, edges, editions, embed, features, guarantee, metric_tree,
+    bisect, blocking, committee, communities, components, edges, editions, embed, factor, features, guarantee, metric_tree,
     ordered, sampling, suffix_sets, summary, temporal, tokens,
 )
 from namesake.plans import labelling, pairing, resolution
@@ -424,6 +424,13 @@ def word2vec_grams(spark, sf):
     return embed.train_gram_vectors(symbols, size=16)
 
 
+def factor_grams(spark, sf):
+    """Gram vectors by factorisation, learnt from the symbols of all values as sentences."""
+    values = cut(tokens.distinct_values(standin.records(spark, sf), SPEC.match_cols))
+    symbols = cut(tokens.symbol_tokens(values, *standin.dictionaries(spark, sf)))
+    return factor.factor_gram_vectors(symbols, size=16)
+
+
 def next_label_round(spark, sf):
     """Train on labelled documents, then pick ten diverse undecided ones."""
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("pair_id"), F.col("quality").alias("label"))
@@ -585,7 +592,7 @@ QUERIES: dict[str, Query] = {
         cosine_topk, jaccard_topk, token_jaccard_documents, band_window_counts, guaranteed_pair_counts,
         blocked_candidates, blocked_candidates_unbuffered, pair_features, training_pool, vote_mean_entropy,
         uncertain_topk_antijoin, random_sample, bootstrap_draws, class_weights, standardise_features,
-        committee_fit_score, kmeans_diverse, k_centre_fill, word2vec_grams, next_label_round, label_cell_text,
+        committee_fit_score, kmeans_diverse, k_centre_fill, word2vec_grams, factor_grams, next_label_round, label_cell_text,
         edge_dedup, guaranteed_edges_year_bound, connected_components, induced_edges, strange_ratio, person_ids_dense,
         cluster_size_stats, cluster_size_histogram, split_clusters, split_name_groups, community_moves, resolve_entities,
         linkage_with_committee,

@@ -150,8 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> RuleM
     chosen = usable.select("doc_id", F.col("quality").cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
     # At most ``most`` rows of two numbers.
     rows = docs.select("doc_id", text_of().alias("_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "_text")
-    table = cut(with_statistics(rows, "_text").select("doc_id", *STATISTICS, "label").coalesce(8).sortWithinPartitions("doc_id", "label"))
-    return fit_rules(table)
+    # The scan keeps its own tasks; only the written statistics, ``most`` rows but for repeated ids, are put in order.
+    measured = cut(with_statistics(rows, "_text").select("doc_id", *STATISTICS, "label"))
+    return fit_rules(cut(measured.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id", "label", *STATISTICS)))
 
 
 def score(docs: DataFrame, model: RuleModel, keep: Sequence[str] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:

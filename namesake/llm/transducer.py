@@ -45,6 +45,9 @@ _START, _LETTERS, _OTHERS, _QUOTE, _QUOTE_R, _QUOTE_V, _QUOTE_L = range(7)
 # Marks: nothing, a pretoken begins here, one begins here and one at the code point before.
 _NONE, _HERE, _BOTH = range(3)
 _STEP = 256
+# Parts of a transition in one number: bits of the change of the count and of the token id, and what is added to the change.
+_WIDE, _ID, _CHANGE = 10, 16, 512
+_MASK, _LAST = (1 << _WIDE) - 1, (1 << _ID) - 1
 
 
 def _plain(cls: int) -> tuple[int, int]:
@@ -172,14 +175,20 @@ class Scanner:
 class Merger:
     """The transducer of merges within a pretoken; compiled as it is used."""
 
-    #: Compiled transitions are thrown away and built anew beyond this number.
-    MOST = 1_500_000
+    #: Compiled transitions are thrown away and built anew beyond this number. With the words
+    #: and verdicts remembered they bound what a worker holds.
+    MOST = 400_000
+    #: Verdicts on pairs of tokens, which outlive the transitions made from them, up to this number.
+    PAIRS = 200_000
 
     def __init__(self, path: str) -> None:
         model = json.load(open(path, encoding="utf-8"))["model"]
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.name = {i: t for t, i in self.vocab.items()}
+        #: Letters of a token, by id; the mark of a word's end is none.
+        self.width = [0] * (max(self.vocab.values()) + 1)
+        for t, i in self.vocab.items():
+            self.width[i] = len(t.removesuffix(self.suffix))
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(a, b): r for r, (a, b) in enumerate(merges)}
         self.open: set[str] = set()
@@ -197,9 +206,10 @@ class Merger:
     def reset(self) -> None:
         self.states: list[tuple] = [("", (("", 0),))]
         self.number: dict[tuple, int] = {self.states[0]: 0}
-        #: (state << 8 | byte) -> (next state, change of the count, last token)
-        self.step: dict[int, tuple[int, int, str]] = {}
-        self.stop: dict[int, tuple[int, str]] = {}
+        #: (state << 8 | byte) -> next state, change of the count plus _CHANGE, last token, in one number.
+        self.step: dict[int, int] = {}
+        #: The same without a next state, if the pretoken ends.
+        self.stop: dict[int, int] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """BPE by its definition: the best-ranked pair first, the leftmost among equals."""
@@ -244,6 +254,8 @@ class Merger:
             return True
         known = self.fits.get((before, token))
         if known is None:
+            if len(self.fits) > self.PAIRS:
+                self.fits.clear()
             known = self.fits[before, token] = self.merge([*self._symbols(before), *self._symbols(token)]) == [before, token]
         return known
 
@@ -262,7 +274,7 @@ class Merger:
         """Lengths of the suffixes of ``tail`` that begin a longer token, longest first, and 0."""
         return tuple(len(tail) - s for s in range(len(tail)) if tail[s:] in self.open) + (0,)
 
-    def _compile_step(self, at: int) -> tuple[int, int, str]:
+    def _compile_step(self, at: int) -> int:
         state = self.states[at >> 8]
         letter = self.letter[at & 255]
         change, token = self._last(state, letter)
@@ -278,45 +290,44 @@ class Merger:
         if n is None:
             n = self.number[new] = len(self.states)
             self.states.append(new)
-        made = self.step[at] = (n, change, token)
+        made = self.step[at] = (n << _WIDE | change + _CHANGE) << _ID | self.vocab[token]
         return made
 
-    def _compile_stop(self, at: int) -> tuple[int, str]:
-        made = self.stop[at] = self._last(self.states[at >> 8], self.letter[at & 255] + self.suffix)
+    def _compile_stop(self, at: int) -> int:
+        change, token = self._last(self.states[at >> 8], self.letter[at & 255] + self.suffix)
+        made = self.stop[at] = change + _CHANGE << _ID | self.vocab[token]
         return made
 
     def count(self, word: bytes) -> int:
         """Number of tokens of a pretoken."""
         if len(self.step) + len(self.stop) > self.MOST:
             self.reset()
-            self.fits.clear()
         step, state, total = self.step, 0, 0
         for byte in word[:-1]:
             at = state << 8 | byte
             found = step.get(at) or self._compile_step(at)
-            state = found[0]
-            total += found[1]
+            state = found >> _WIDE + _ID
+            total += found >> _ID & _MASK
         at = state << 8 | word[-1]
-        return total + (self.stop.get(at) or self._compile_stop(at))[0]
+        return total + ((self.stop.get(at) or self._compile_stop(at)) >> _ID) - _CHANGE * len(word)
 
     def encode(self, word: bytes) -> list[int]:
         """Token ids of a pretoken: the last tokens of its prefixes, followed back from the end."""
         if len(self.step) + len(self.stop) > self.MOST:
             self.reset()
-            self.fits.clear()
-        step, state, lasts = self.step, 0, []
+        step, state, lasts, width = self.step, 0, [], self.width
         for byte in word[:-1]:
             at = state << 8 | byte
             found = step.get(at) or self._compile_step(at)
-            state = found[0]
-            lasts.append(found[2])
+            state = found >> _WIDE + _ID
+            lasts.append(found & _LAST)
         at = state << 8 | word[-1]
-        token = (self.stop.get(at) or self._compile_stop(at))[1]
-        out, left = [self.vocab[token]], len(word) - (len(token) - len(self.suffix))
+        token = (self.stop.get(at) or self._compile_stop(at)) & _LAST
+        out, left = [token], len(word) - width[token]
         while left:
             token = lasts[left - 1]
-            out.append(self.vocab[token])
-            left -= len(token)
+            out.append(token)
+            left -= width[token]
         return out[::-1]
 
 
@@ -333,14 +344,14 @@ class WordTokenizer:
 
     # Special tokens and their ids.
     SPECIAL = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
-    #: Results kept for words seen before; forgotten together beyond this number. Longer words aren't kept.
-    REMEMBERED, LONGEST = 400_000, 64
+    #: Results kept for words seen before, in each of two generations. Longer words aren't kept.
+    REMEMBERED, LONGEST = 170_000, 64
 
     def __init__(self, path: str) -> None:
         self.scanner = Scanner()
         self.merger = Merger(path)
-        self.counted: dict[bytes, int] = {}
-        self.encoded: dict[bytes, bytes] = {}
+        self.counted, self.counted_before = {}, {}
+        self.encoded, self.encoded_before = {}, {}
         self.special = re.compile("|".join(map(re.escape, self.SPECIAL)))
 
     def pretokens(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -377,14 +388,16 @@ class WordTokenizer:
                 t, extra[i] = self.special.subn(" ", t)
             plain.append(normalize(t))
         words, index, first = self.pretokens(plain)
-        known, count = self.counted, self.merger.count
-        if len(known) > self.REMEMBERED:
-            known.clear()
+        if len(self.counted) > self.REMEMBERED:
+            self.counted, self.counted_before = {}, self.counted
+        known, before, count = self.counted, self.counted_before, self.merger.count
         by_word = np.empty(len(words), np.int64)
         for i, w in enumerate(words):
             n = known.get(w)
             if n is None:
-                n = 0 if self._blank(w) else count(w)
+                n = before.get(w)
+                if n is None:
+                    n = 0 if self._blank(w) else count(w)
                 if len(w) <= self.LONGEST:
                     known[w] = n
             by_word[i] = n
@@ -393,14 +406,16 @@ class WordTokenizer:
 
     def _plain_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words, index, first = self.pretokens([normalize(t) for t in texts])
-        known, encode = self.encoded, self.merger.encode
-        if len(known) > self.REMEMBERED:
-            known.clear()
+        if len(self.encoded) > self.REMEMBERED:
+            self.encoded, self.encoded_before = {}, self.encoded
+        known, before, encode = self.encoded, self.encoded_before, self.merger.encode
         pieces = []
         for w in words:
             ids = known.get(w)
             if ids is None:
-                ids = b"" if self._blank(w) else array("H", encode(w)).tobytes()
+                ids = before.get(w)
+                if ids is None:
+                    ids = b"" if self._blank(w) else array("H", encode(w)).tobytes()
                 if len(w) <= self.LONGEST:
                     known[w] = ids
             pieces.append(ids)

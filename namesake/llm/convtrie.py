@@ -238,11 +238,11 @@ def _finish(parts: DataFrame, values: list[str]) -> DataFrame:
 
 def subtree_totals(nodes: DataFrame, visits: DataFrame, values: list[str], bound: int = BOUND) -> DataFrame:
     """(rep, depth, t_...): the sum of each value over the node and all below it."""
-    spark = nodes.sparkSession
-    root = F.struct(F.min("rep").alias("rep"), F.lit(0).cast("long").alias("depth"))
-    comp = nodes.filter("depth = 0").agg(root.alias("comp"))
     zeros = [F.lit(0).cast("long").alias(f"t_{v}") for v in values]
-    state = cut(nodes.select("rep", "depth", "parent_rep", "n_convs", "weight", *values, *zeros).crossJoin(F.broadcast(comp)))
+    # One tree, whose top is the root's only node.
+    top = nodes.filter("depth = 0").select("rep").first()
+    comp = F.struct(F.lit(top["rep"] if top else 0).cast("long").alias("rep"), F.lit(0).cast("long").alias("depth")).alias("comp")
+    state = cut(nodes.select("rep", "depth", "parent_rep", "n_convs", "weight", *values, *zeros, comp))
     following = visits.select("conv", (F.col("depth") - 1).alias("depth"), F.col("rep").alias("next_rep"))
     steps, n_steps = None, 0
     small, finished = [], []

@@ -31,8 +31,11 @@ from pyspark.sql import functions as F
 
 from namesake.llm import stats
 from namesake.llm.common import text_of
+from namesake.operators.components import join_counted
 from namesake.session import cut, release
 
+#: Tables of one row for each group are broadcast up to this number of rows, of some thirty numbers each.
+FEW_GROUPS = 50_000
 MIN_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 #: Share of a group that the determinant is taken over.
@@ -51,6 +54,14 @@ DIMS = len(FLOORS)
 VECTOR = [f"_x{i}" for i in range(DIMS)]
 
 
+def attach(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with their group's row of a written table, without moving a hot group into one task."""
+    if table.count() <= FEW_GROUPS:
+        return rows.join(F.broadcast(table), "_group", how)
+    sizes = rows.groupBy("_group").agg(F.count("*").alias("_n")).join(table, "_group", how)
+    return join_counted(rows, sizes, "_group", "_n", rows.count())
+
+
 def measured(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
     """``keep`` as _k0, ..., language and source, the counts, base_failed and the vector."""
     names = [f"_k{i}" for i in range(len(keep))]
@@ -88,9 +99,10 @@ def grouped(table: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     both = pairs.alias("p").join(langs.alias("l"), F.col("p._lang").eqNullSafe(F.col("l._lang")), "left").select("p.*", "m")
     pool = F.when(large, name).when(F.col("m") >= min_rows, F.to_json(F.array(F.coalesce("_lang", F.lit("\x00")))))
     chosen = cut(both.select("_lang", "_source", F.coalesce(pool, F.lit("*")).alias("_group")))
+    small = F.broadcast(chosen) if chosen.count() <= FEW_GROUPS else chosen
     return (
         table.alias("t")
-        .join(chosen.alias("g"), F.col("t._lang").eqNullSafe(F.col("g._lang")) & F.col("t._source").eqNullSafe(F.col("g._source")), "left")
+        .join(small.alias("g"), F.col("t._lang").eqNullSafe(F.col("g._lang")) & F.col("t._source").eqNullSafe(F.col("g._source")), "left")
         .select("t.*", F.coalesce("_group", F.lit("*")).alias("_group"))
     )
 
@@ -113,7 +125,7 @@ def _factor(estimates: DataFrame) -> DataFrame:
 
 def _with_distance(df: DataFrame, estimates: DataFrame) -> DataFrame:
     """Adds _d: the squared Mahalanobis distance from the row's group (null without an estimate)."""
-    df = df.join(estimates, "_group", "left")
+    df = attach(df, estimates, "left")
     for i in range(DIMS):
         z: Column = F.col(VECTOR[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -141,7 +153,7 @@ def robust_estimates(rows: DataFrame, floors: Sequence[float] = FLOORS, inner: f
         F.count("*").alias("rows"), *[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(VECTOR)]
     ).filter(F.col("rows") >= min_rows)
     medians = cut(medians)
-    spread = rows.join(medians, "_group").groupBy("_group").agg(
+    spread = attach(rows, medians).groupBy("_group").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)],
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000).alias(f"a{i}") for i, x in enumerate(VECTOR)],
     )
@@ -153,8 +165,8 @@ def robust_estimates(rows: DataFrame, floors: Sequence[float] = FLOORS, inner: f
     first = True
     while True:
         near = _with_distance(rows, current)
-        limits = near.groupBy("_group").agg(F.percentile_approx("_d", inner, 10000).alias("_limit")).filter(F.col("_limit").isNotNull())
-        closest = near.select("_group", *VECTOR, "_d").join(limits, "_group").filter(F.col("_d") <= F.col("_limit"))
+        limits = cut(near.groupBy("_group").agg(F.percentile_approx("_d", inner, 10000).alias("_limit")).filter(F.col("_limit").isNotNull()))
+        closest = attach(near.select("_group", *VECTOR, "_d"), limits).filter(F.col("_d") <= F.col("_limit"))
         following = cut(_estimate(closest, floors, CONSISTENCY))
         fall = following.alias("a").join(current.alias("b"), "_group").agg(F.max(F.col("b.logdet") - F.col("a.logdet"))).first()[0]
         if not first and (fall is None or fall < SETTLED):

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namesake.llm.common import WORD
-from namesake.operators.components import connected_components
+from namesake.operators.components import connected_components, join_counted
 from namesake.session import cut
 
 SHINGLE_WORDS = 3
@@ -149,13 +149,14 @@ def components(docs: DataFrame, keep: Sequence[str] = ("doc_id",), max_bits: int
     their number.
     """
     table = cut(fingerprints(docs, keep, shingle_words))
-    nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")))
     found = connected_components(links(nodes.select("fp"), max_bits))
     grouped = nodes.join(found.withColumnRenamed("record_id", "fp"), "fp", "left")
     grouped = grouped.withColumn("cluster", F.coalesce("cluster", "fp"))
     low = grouped.groupBy("cluster").agg(F.min("first").alias("component_id"))
-    named = grouped.select("fp", "cluster").join(low, "cluster").select("fp", "component_id", "cluster")
-    return table.join(named, "fp").select(*keep, "fp", "component_id", "cluster")
+    named = cut(grouped.select("fp", "cluster", "_n").join(low, "cluster").select("fp", "component_id", "cluster", "_n"))
+    # A fingerprint may stand for a third of all documents.
+    return join_counted(table, named, "fp", "_n", table.count()).select(*keep, "fp", "component_id", "cluster")
 
 
 def keep_first(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -164,7 +165,9 @@ def keep_first(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = S
     Rows without an id stand behind those with one.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    numbered = cut(docs.select(row, "doc_id", "text", F.monotonically_increasing_id().alias("_uid")))
-    found = components(numbered, ("_uid", "doc_id"), max_bits, shingle_words)
+    # Texts are written once, within their rows.
+    numbered = cut(docs.select(row, F.monotonically_increasing_id().alias("_uid")))
+    given = numbered.select("_uid", F.col("_row")["doc_id"].alias("doc_id"), F.col("_row")["text"].alias("text"))
+    found = components(given, ("_uid", "doc_id"), max_bits, shingle_words)
     best = found.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("best"))
     return numbered.join(best.select("best._uid"), "_uid", "left_semi").select("_row.*")

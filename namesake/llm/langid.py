@@ -41,8 +41,8 @@ FOLDS, HELD_OUT = 4, 2
 ROUNDS = 1
 #: Added to the expected count of each piece of the vocabulary.
 SMOOTHING = 0.5
-#: Letters of a piece, and of a run, at most.
-WIDEST, LONGEST = 12, 100
+#: Letters of the longest piece, its mark included, and of a run at most.
+WIDEST, LONGEST = 17, 100
 #: Probability of a letter that the vocabulary lacks.
 UNKNOWN = 1e-7
 #: Keeps products near one: about the inverse of the probability of a letter.
@@ -61,7 +61,7 @@ def vocabulary(path: str) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size())}
     bodies = ((p, p.removeprefix(_START)) for p in pieces)
-    return sorted(p for p, b in bodies if p == _START or (b.isalpha() and b == b.lower() and len(p) <= WIDEST))
+    return sorted(p for p, b in bodies if p == _START or (b.isalpha() and b == b.lower()))
 
 
 class Pieces:
@@ -69,6 +69,8 @@ class Pieces:
 
     def __init__(self, names: list[str]) -> None:
         self.size = len(names)
+        if max(map(len, names)) > WIDEST:
+            raise ValueError("a piece is longer than words are searched")
         self.keys = np.zeros(1 << _BITS, np.uint64)
         self.ids = np.full(1 << _BITS, -1, np.int32)
         self.single = {n for n in names if len(n) == 1}

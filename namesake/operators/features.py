@@ -42,9 +42,26 @@ def _attributes(records: DataFrame, spec: LinkageSpec, side: str, n: int) -> Dat
         F.col(spec.year).cast("double").alias(f"{n}_year"),
         *[F.col(c).alias(f"{n}_{c}") for c in spec.match_cols],
         *rank,
+        *[F.col(f"_slot_{name}").alias(f"_{n}_{name}") for name in _slots(spec)],
     )
 
 
+def _slots(spec: LinkageSpec) -> list[str]:
+    """What is compared: the attributes, then the name symbols."""
+    return [*spec.match_cols, *[f"sim{i}" for i in range(1, NAME_SYMBOLS + 1)]]
+
+
+def _with_slots(records: DataFrame, spec: LinkageSpec) -> DataFrame:
+    """``records`` with the value of each slot, null where it cannot be compared."""
+    values = [F.when(~text.is_missing(F.col(c)), F.col(c)).alias(f"_slot_{c}") for c in spec.match_cols]
+    for i in range(1, NAME_SYMBOLS + 1):
+        symbol = _name_symbol(F.col(spec.name_col), i)
+        values.append(F.when(~symbol.isin(*text.UNKNOWN_CHARS), text.symbol_value(symbol)).alias(f"_slot_sim{i}"))
+    rank = [spec.rank_col] if spec.rank_col else []
+    kept = dict.fromkeys([spec.record_id, spec.year, *spec.match_cols, *rank])
+    return records.select(*kept, *values)
+
+
 def value_pair_scores(pairs: DataFrame, vectors: DataFrame, tokens: DataFrame, mode: str = "tokens") -> DataFrame:
     """(a, b) -> (a, b, shape, phon): cosine and Jaccard of two values."""
     def side(name: str) -> DataFrame:
@@ -64,49 +81,40 @@ def pair_features(pairs: DataFrame, records: DataFrame, spec: LinkageSpec, vecto
     ``vectors(value, vec)`` are unit vectors and ``tokens(value, phon)`` the
     syllables of ``feature_values``. Missing similarities are -1.
     """
+    # Patterns and symbols are looked at once for each record, not for each pair.
+    known = cut(_with_slots(records, spec))
     wide = cut(
-        pairs.join(_attributes(records, spec, "left", 1), "left_id").join(_attributes(records, spec, "right", 2), "right_id")
+        pairs.join(_attributes(known, spec, "left", 1), "left_id").join(_attributes(known, spec, "right", 2), "right_id")
     )
-    # (slot, a, b, unusable) of the attributes, then of the name symbols.
-    slots = []
-    for c in spec.match_cols:
-        a, b = F.col(f"1_{c}"), F.col(f"2_{c}")
-        slots.append((c, a, b, text.is_missing(a) | text.is_missing(b)))
-    for i in range(1, NAME_SYMBOLS + 1):
-        a, b = (_name_symbol(F.col(f"{n}_{spec.name_col}"), i) for n in (1, 2))
-        unknown = a.isin(*text.UNKNOWN_CHARS) | b.isin(*text.UNKNOWN_CHARS)
-        gone = a.isNull() | b.isNull() | F.coalesce(unknown, F.lit(False))
-        slots.append((f"sim{i}", text.symbol_value(a), text.symbol_value(b), gone))
-
+    shown = [c for c in wide.columns if not c.startswith(("_1_", "_2_"))]
+    slots = [(name, F.col(f"_1_{name}"), F.col(f"_2_{name}")) for name in _slots(spec)]
     asked = [
-        F.when(~gone & (a != b), F.struct(F.lit(name).alias("slot"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
-        for name, a, b, gone in slots
+        F.when(a != b, F.struct(F.lit(i).alias("slot"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
+        for i, (_, a, b) in enumerate(slots)
     ]
-    cells = wide.select(
-        "left_id", "right_id", F.explode(F.filter(F.array(*asked), lambda s: s.isNotNull())).alias("s")
-    ).select("left_id", "right_id", "s.*")
+    cells = wide.select("left_id", "right_id", F.explode(F.array(*asked)).alias("s")).filter("s is not null").select("left_id", "right_id", "s.*")
     scores = cut(value_pair_scores(cells.select("a", "b").distinct(), vectors, tokens, spec.phonetic_mode))
     found = cells.join(scores, ["a", "b"]).groupBy("left_id", "right_id").agg(
-        *[F.max(F.when(F.col("slot") == name, F.col("shape"))).alias(f"_{name}_shape") for name, *_ in slots],
-        *[F.max(F.when(F.col("slot") == c, F.col("phon"))).alias(f"_{c}_phon") for c in spec.match_cols],
+        *[F.max(F.when(F.col("slot") == i, F.col("shape"))).alias(f"_{name}_shape") for i, (name, *_) in enumerate(slots)],
+        *[F.max(F.when(F.col("slot") == i, F.col("phon"))).alias(f"_{c}_phon") for i, c in enumerate(spec.match_cols)],
     )
     full = wide.join(found, ["left_id", "right_id"], "left")
 
-    def scored(a, b, gone, looked_up: str):
+    def scored(a, b, looked_up: str):
         same = F.when(a == "", F.lit(0.0)).otherwise(F.lit(1.0))
-        known = F.when(a == b, same).otherwise(F.coalesce(F.col(looked_up), F.lit(0.0)))
-        return F.when(gone, F.lit(-1.0)).otherwise(known)
+        likeness = F.when(a == b, same).otherwise(F.coalesce(F.col(looked_up), F.lit(0.0)))
+        return F.when(a.isNull() | b.isNull(), F.lit(-1.0)).otherwise(likeness)
 
     attrs = slots[: len(spec.match_cols)]
-    features = [scored(a, b, gone, f"_{c}_shape").alias(f"{c}_stroke") for c, a, b, gone in attrs]
-    features += [scored(a, b, gone, f"_{c}_phon").alias(f"{c}_pinyin") for c, a, b, gone in attrs]
+    features = [scored(a, b, f"_{c}_shape").alias(f"{c}_stroke") for c, a, b in attrs]
+    features += [scored(a, b, f"_{c}_phon").alias(f"{c}_pinyin") for c, a, b in attrs]
     if spec.rank_col:
         diff, lower = rank_features(F.col(f"1_{spec.rank_col}"), F.col(f"2_{spec.rank_col}"))
         features += [diff.alias(f"{spec.rank_col}_diff"), lower.alias(f"{spec.rank_col}_lower")]
     n1, n2 = F.col(f"1_{spec.name_col}"), F.col(f"2_{spec.name_col}")
     features.append(F.abs(F.length(n1) - F.length(n2)).cast("double").alias(f"{spec.name_col}_cnt_diff"))
     features += [
-        scored(a, b, gone, f"_{name}_shape").alias(f"{spec.name_col}_{name}") for name, a, b, gone in slots[len(attrs):]
+        scored(a, b, f"_{name}_shape").alias(f"{spec.name_col}_{name}") for name, a, b in slots[len(attrs):]
     ]
     features.append(F.coalesce(F.col("1_year") == F.col("2_year"), F.lit(False)).cast("double").alias("same_year"))
-    return full.select(*wide.columns, *features)
+    return full.select(*shown, *features)

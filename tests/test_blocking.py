@@ -148,6 +148,28 @@ def test_features(spark, prepared):
         assert r["same_year"] == float(a[2] == b[2])
 
 
+def test_features_look_at_patterns_once_for_each_record(spark, prepared, capsys):
+    df, v = prepared
+    pairs = spark.createDataFrame([(0, 1), (1, 2)], "left_id long, right_id long")
+    features.pair_features(pairs, df, SPEC, v.vectors, v.tokens).explain("extended")
+    plan = capsys.readouterr().out
+    assert "Physical Plan" in plan and "RLIKE" not in plan and "split(" not in plan
+
+
+def test_features_of_odd_values(spark, prepared):
+    """Nulls, missing markers, empty values and empty brackets, each with itself and with a name."""
+    _, v = prepared
+    values = [None, "", "?", "？", "? ?", "（）", "王"]
+    data = [(i, 0, 1800.0, "王", value, "x") for i, value in enumerate(values)]
+    df = spark.createDataFrame(data, "record_id long, edition_seq int, year double, xing string, ming string, town string")
+    pairs = spark.createDataFrame([(i, j) for i in range(7) for j in (i, 6)][:-1], "left_id long, right_id long")
+    found = {(r.left_id, r.right_id): r for r in features.pair_features(pairs, df, SPEC, v.vectors, v.tokens).collect()}
+    same = [(found[i, i].ming_stroke, found[i, i].ming_sim1) for i in range(7)]
+    # An empty value has no symbol; the full-width mark is a value, but no known symbol.
+    assert same == [(-1.0, -1.0), (0.0, -1.0), (-1.0, -1.0), (1.0, -1.0), (-1.0, -1.0), (1.0, 1.0), (1.0, 1.0)]
+    assert [found[i, 6].ming_stroke for i in (0, 2, 4)] == [-1.0] * 3 and found[0, 6].ming_cnt_diff is None
+
+
 def test_char_repr_mode(spark, prepared):
     df, v = prepared
     pairs = spark.createDataFrame([(1, 2)], "a string, b string").select(F.lit("de").alias("a"), F.lit("ying").alias("b"))

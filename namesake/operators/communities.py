@@ -8,15 +8,19 @@ that gains most. When no node of a level gains, communities become the nodes of
 the next level, whose arcs and inner weights are sums. When no level gains any
 more, single nodes are tried again, so that in the end none gains by moving.
 
-Nothing is collected but one flag per step.
+A cluster of bounded size goes through the same steps within one task, all such
+clusters in one job; steps are jobs only for larger ones. Nothing is collected
+but one flag per step.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namesake.operators.bisect import HALVINGS, LEAST_GAIN, drawn
+from namesake.operators.bisect import HALVINGS, IN_TASK, LEAST_GAIN, drawn, drawn_rows, places_of, within_tasks
 from namesake.session import cut, release
 
 
@@ -81,14 +85,94 @@ def _moved(nodes: DataFrame, arcs: DataFrame, seed: int) -> DataFrame:
         step += 1
 
 
-def communities(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
+def _moved_rows(node, degree, inner, comm, src, dst, weight, seed: int) -> np.ndarray:
+    """The communities after the local moves of one level of one cluster, as ``_moved`` finds them.
+
+    ``node`` rises; ``src`` and ``dst`` are places in it.
+    """
+    total, n = degree.sum(), len(node)
+    if total <= 0:
+        return comm
+    trial, gain, goal, q, halved, step = comm, None, None, -2.0, 0, 0
+    while True:
+        names, at = np.unique(trial, return_inverse=True)
+        sums = np.bincount(at, degree)
+        pairs, which = np.unique(src * len(names) + at[dst], return_inverse=True)
+        tied, there, w = pairs // len(names), pairs % len(names), np.bincount(which, weight, len(pairs))
+        own = np.zeros(n)
+        mine = there == at[tied]
+        own[tied[mine]] = w[mine]
+        apart = np.flatnonzero(~np.isin(-node - 1, names))
+        way_node = np.concatenate([tied[~mine], apart])
+        way_to = np.concatenate([names[there[~mine]], -node[apart] - 1])
+        way_w = np.concatenate([w[~mine], np.zeros(len(apart))])
+        way_sum = np.concatenate([sums[there[~mine]], np.zeros(len(apart))])
+        deg = degree[way_node]
+        change = 2 * (way_w - own[way_node] - deg * (way_sum - sums[at[way_node]] + deg) / total) / total
+        # Of each node the way that gains most; of equal ones the least name.
+        order = np.lexsort([-way_to, change, way_node])
+        last = order[np.flatnonzero(np.diff(way_node[order], append=-1))]
+        now_gain, now_goal = np.zeros(n), trial.copy()
+        now_gain[way_node[last]], now_goal[way_node[last]] = change[last], way_to[last]
+        now_q = (own + inner).sum() / total - (sums * sums).sum() / (total * total)
+        if now_q > q + 1e-12:
+            comm, gain, goal, q, halved = trial, now_gain, now_goal, now_q, max(1, halved - 1)
+        else:
+            halved = min(HALVINGS, halved + 1)
+        willing = gain > LEAST_GAIN
+        if not willing.any():
+            return comm
+        moves = willing & drawn_rows(halved, node, seed + step) if halved < HALVINGS else np.zeros(n, bool)
+        moves[np.flatnonzero(gain == gain.max())[-1]] = True
+        trial = np.where(moves, goal, comm)
+        step += 1
+
+
+def _named_rows(node: np.ndarray, comm: np.ndarray) -> np.ndarray:
+    """Communities named by their smallest node; ``node`` rises."""
+    _, first, at = np.unique(comm, return_index=True, return_inverse=True)
+    return node[first][at]
+
+
+def _communities_rows(rows: pa.Table, arcs: pa.Table, seed: int) -> pa.Table:
+    """(node, path, comm) of one cluster: the levels and rounds of ``communities``."""
+    rows = rows.sort_by("node")
+    node, degree, inner = (rows[c].to_numpy() for c in ("node", "degree", "inner"))
+    order = np.arange(len(node))
+    src, dst = (places_of(node, order, arcs[c].to_numpy()) for c in ("node", "other"))
+    weight = arcs["weight"].to_numpy()
+    comm = node
+    while True:
+        comm = _named_rows(node, _moved_rows(node, degree, inner, comm, src, dst, weight, seed))
+        level = (node, degree, inner, comm, src, dst, weight)
+        while True:
+            below, d, i, of, a, b, w = level
+            above, to = np.unique(of, return_inverse=True)
+            pairs, which = np.unique(to[a] * len(above) + to[b], return_inverse=True)
+            one, other, summed = pairs // len(above), pairs % len(above), np.bincount(which, w, len(pairs))
+            loop = one == other
+            up_inner = np.bincount(to, i) + np.bincount(one[loop], summed[loop], len(above))
+            up = (above, np.bincount(to, d), up_inner, above, one[~loop], other[~loop], summed[~loop])
+            higher = _named_rows(above, _moved_rows(*up, seed))
+            if np.array_equal(higher, above):
+                break
+            comm = higher[np.searchsorted(above, comm)]
+            level = (*up[:3], higher, *up[4:])
+        again = _named_rows(node, _moved_rows(node, degree, inner, comm, src, dst, weight, seed + 1))
+        changed, comm = not np.array_equal(again, comm), again
+        if not changed:
+            return pa.table([rows["node"], rows["path"], pa.array(comm)], names=["node", "path", "comm"])
+
+
+def communities(nodes: DataFrame, edges: DataFrame, seed: int = 0, in_task: int = IN_TASK) -> DataFrame:
     """(record_id, path, community): the communities within each ``path``, named by their smallest unit.
 
     ``nodes(record_id, path)`` and undirected ``edges(src, dst, weight)`` with
     positive weights, one row per pair; edges between paths are left out, nodes
     without an edge are communities of their own. With ``unit`` and ``matches``
     in ``nodes``, records of one unit stay together; ``matches`` is the weight
-    that ties a record to others of its unit and is in no edge.
+    that ties a record to others of its unit and is in no edge. Clusters of at
+    most ``in_task`` units and arcs are done within tasks.
     """
     if "unit" not in nodes.columns:
         nodes = nodes.select("record_id", "path", F.col("record_id").alias("unit"), F.lit(0.0).alias("matches"))
@@ -106,6 +190,22 @@ def communities(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
     ground = cut(
         units.join(degrees, "node", "left").select("node", "path", (F.coalesce("degree", F.lit(0.0)) + F.col("inner")).alias("degree"), "inner", F.col("node").alias("comm"))
     )
+    small, large = within_tasks(ground, arcs, "node", in_task)
+    rows = ground.join(small, "path").select("node", "path", "degree", "inner")
+    own = arcs.join(rows.select("node", F.col("path").alias("_path")), "node")
+    kinds = {f.name: f.dataType.simpleString() for f in ground.schema.fields}
+    found = cut(rows.groupBy("path").cogroup(own.groupBy("_path")).applyInArrow(
+        lambda a, b: _communities_rows(a, b, seed), f"node {kinds['node']}, path {kinds['path']}, comm {kinds['node']}"
+    ))
+    if not large.isEmpty():
+        some = cut(ground.join(large, "path").select(*ground.columns))
+        some_arcs = cut(arcs.join(some.select("node"), "node", "left_semi"))
+        found = found.unionByName(_by_jobs(some, some_arcs, seed).select(*found.columns))
+    return named.join(found.select("node", F.col("comm").alias("community")), "node").select("record_id", "path", "community")
+
+
+def _by_jobs(ground: DataFrame, arcs: DataFrame, seed: int) -> DataFrame:
+    """(node, path, degree, inner, comm): the steps of ``communities`` as jobs over clusters of any size."""
     while True:
         settled = cut(_named(_moved(ground, arcs, seed)))
         moved = settled
@@ -133,7 +233,7 @@ def communities(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
         changed = not again.join(moved.select("node", F.col("comm").alias("_was")), "node").filter("comm <> _was").isEmpty()
         ground = again
         if not changed:
-            return named.join(again.select("node", F.col("comm").alias("community")), "node").select("record_id", "path", "community")
+            return again
 
 
 def _named(moved: DataFrame) -> DataFrame:

@@ -83,3 +83,19 @@ def test_split_into_several(spark):
     for x in out:
         parts.setdefault(x.path, []).append(x.record_id)
     assert {p: sorted(v) for p, v in parts.items()} == {f"0_{g}": list(groups[g]) for g in range(3)}
+
+
+def test_clusters_within_tasks_fare_as_by_jobs(spark):
+    """Weights are binary fractions, so that no order of summing shows."""
+    r = random.Random(8)
+    nodes, edges = [], []
+    for path, n in (("a", 20), ("b", 12), ("c", 2), ("d", 1)):
+        base = len(nodes)
+        nodes += [(base + i, path) for i in range(n)]
+        edges += [(base + a, base + b, r.randrange(1, 9) / 8) for a, b in combinations(range(n), 2) if n == 2 or r.random() < (0.5 if a % 4 == b % 4 else 0.06)]
+    n, e = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
+    by_jobs, both, within = (
+        {(x.record_id, x.path): x.community for x in communities.communities(n, e, in_task=some).collect()} for some in (0, 80, 100_000)
+    )
+    assert len(by_jobs) == 35 and len(set(by_jobs.values())) > 5
+    assert by_jobs == both == within

@@ -29,8 +29,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Vector scaled to length 1; a zero vector stays zero."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    # As a variable the length is worked out once, not for each dimension.
+    norms = F.array(F.sqrt(dot(v, v)))
+    return F.transform(norms, lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))[0]
 
 
 def rows_of(column: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarray:

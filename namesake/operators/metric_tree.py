@@ -17,8 +17,9 @@ after each turn the radius has shrunk and rules out more.
 A node's rows are cut into blocks of bounded size on both sides, so that no task
 receives a node as a whole however many items share it. Equal vectors cannot be
 told apart by pivots; they stay together in one leaf of many blocks. Where
-vectors are spread evenly in many dimensions no bound rules anything out, and
-the search compares most pairs, as any exact one does.
+vectors are spread evenly in many dimensions no bound rules anything out. A few
+left items tell how much their radius leaves; if it is much, the second descent
+is left out and all pairs are compared in large blocks, still by the radius.
 """
 
 from __future__ import annotations
@@ -41,6 +42,13 @@ FAN, LEAF = 24, 512
 BEAM = 3
 #: Rows of the two sides of one block.
 LEFT_BLOCK, RIGHT_BLOCK = 2048, 4096
+#: Left items that are tried, and the share of all pairs left to them from which on all are compared in blocks of this many rows.
+TRIED, DENSE = 256, 0.2
+DENSE_LEFT, DENSE_RIGHT = 4096, 16384
+#: Partitions of the blocks at most.
+DENSE_PARTITIONS = 2000
+#: Left rows whose likenesses stand in memory at once.
+CHUNK = 512
 #: Similarities are compared at this many decimals, so that ties break the same way whatever order a sum was taken in.
 DECIMALS = 9
 #: Slack against rounding of distances.
@@ -201,8 +209,11 @@ def _descend(queries: DataFrame, nodes: DataFrame, beam: int | None, fan: int) -
     return out
 
 
-def _compare(visits: DataFrame, queries: DataFrame, placed: DataFrame, k: int, window: int, compared: list | None) -> DataFrame:
-    """The k best hits per (l_item, l_seq) within each leaf block that ``visits(l_item, node)`` name."""
+def _compare(
+    visits: DataFrame, queries: DataFrame, placed: DataFrame, k: int, window: int, compared: list | None,
+    left_block: int | None = None, right_block: int | None = None, partitions: int | None = None,
+) -> DataFrame:
+    """The k best hits per (l_item, l_seq) within each leaf block that ``visits(l_item, node)`` name, none beyond the radius."""
     kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *placed.schema.fields)}
     shape = f"l_item {kinds['l_item']}, l_seq long, r_item {kinds['r_item']}, r_seq long, r_tie {placed.schema['met'].dataType.elementType['tie'].dataType.simpleString()}, sim double"
 
@@ -213,28 +224,32 @@ def _compare(visits: DataFrame, queries: DataFrame, placed: DataFrame, k: int, w
         flat = met.flatten()
         tie_order = pa.compute.sort_indices(flat.field("tie")).to_numpy()
         owner, seqs, ties = owner[tie_order], flat.field("seq").to_numpy()[tie_order], flat.field("tie").take(pa.array(tie_order))
-        sims = np.round(rows_of(_whole(left["l_vec"])) @ rows_of(_whole(right["r_vec"])).T, DECIMALS)
+        l_vecs, r_vecs = rows_of(_whole(left["l_vec"])), rows_of(_whole(right["r_vec"]))
+        radius = left["radius"].to_numpy()
+        floor = np.where(np.isinf(radius), -np.inf, np.cos(np.minimum(radius, np.pi)) - 10.0**-DECIMALS)
         asked = _whole(left["l_seqs"])
         row_of, asked_seq = np.repeat(np.arange(len(left)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
         parts = []
-        for s in np.unique(asked_seq):
-            rows = row_of[asked_seq == s]
-            columns = np.flatnonzero((seqs >= s) & (seqs < s + window))
-            if not len(columns):
-                continue
-            some = sims[rows][:, owner[columns]]
-            if some.shape[1] > k:
-                kth = -np.partition(-some, k - 1, axis=1)[:, k - 1 : k]
-                i, j = np.nonzero(some >= kth)
-            else:
-                i, j = (x.reshape(-1) for x in np.indices(some.shape))
-            # By row, likeness and tie; of each row the first k.
-            order = np.lexsort([j, -some[i, j], i])
-            i, j = i[order], j[order]
-            first = np.searchsorted(i, i)
-            kept = np.arange(len(i)) - first < k
-            i, j = i[kept], j[kept]
-            parts.append((rows[i], np.full(len(i), s), columns[j], some[i, j]))
+        for at in range(0, len(left), CHUNK):
+            sims = np.round(l_vecs[at : at + CHUNK] @ r_vecs.T, DECIMALS)
+            mine = (row_of >= at) & (row_of < at + CHUNK)
+            for s in np.unique(asked_seq[mine]):
+                rows = row_of[mine & (asked_seq == s)]
+                columns = np.flatnonzero((seqs >= s) & (seqs < s + window))
+                if not len(columns):
+                    continue
+                some = sims[rows - at][:, owner[columns]]
+                near = some >= floor[rows][:, None]
+                if some.shape[1] > k and np.count_nonzero(near) > 4 * k * len(rows):
+                    near &= some >= -np.partition(-some, k - 1, axis=1)[:, k - 1 : k]
+                i, j = np.nonzero(near)
+                # By row, likeness and tie; of each row the first k.
+                order = np.lexsort([j, -some[i, j], i])
+                i, j = i[order], j[order]
+                first = np.searchsorted(i, i)
+                kept = np.arange(len(i)) - first < k
+                i, j = i[kept], j[kept]
+                parts.append((rows[i], np.full(len(i), s), columns[j], some[i, j]))
         if not parts:
             empty = [left["l_item"].slice(0, 0), pa.array([], pa.int64()), right["r_item"].slice(0, 0), pa.array([], pa.int64()), ties.slice(0, 0), pa.array([], pa.float64())]
             return pa.table(empty, names=names)
@@ -247,7 +262,7 @@ def _compare(visits: DataFrame, queries: DataFrame, placed: DataFrame, k: int, w
     # Blocks of both sides, worked out where the counts are.
     n_left = visits.groupBy("node").agg(F.count("*").alias("_l"))
     n_right = placed.groupBy("node").agg(F.count("*").alias("_r"))
-    layout = cut(n_left.join(n_right, "node").select("node", "_l", "_r", F.ceil(F.col("_l") / LEFT_BLOCK).alias("_lb"), F.ceil(F.col("_r") / RIGHT_BLOCK).alias("_rb")))
+    layout = cut(n_left.join(n_right, "node").select("node", "_l", "_r", F.ceil(F.col("_l") / (left_block or LEFT_BLOCK)).alias("_lb"), F.ceil(F.col("_r") / (right_block or RIGHT_BLOCK)).alias("_rb")))
     if compared is not None:
         compared.append(layout.agg(F.coalesce(F.sum(F.col("_l") * F.col("_r")), F.lit(0))).first()[0])
 
@@ -260,8 +275,11 @@ def _compare(visits: DataFrame, queries: DataFrame, placed: DataFrame, k: int, w
         )
 
     keys = ["node", "_lb_no", "_rb_no"]
-    lefts = dealt(visits.select("l_item", "node").join(queries.select("l_item", "l_vec", "l_seqs"), "l_item"), "l_item", "_lb", "_rb")
+    lefts = dealt(visits.select("l_item", "node").join(queries.select("l_item", "l_vec", "l_seqs", "radius"), "l_item"), "l_item", "_lb", "_rb")
     rights = dealt(placed, "r_item", "_rb", "_lb")
+    if partitions:
+        # A block is little to read but much to compare, so small partitions must not be put together.
+        lefts, rights = (t.repartition(partitions, *keys) for t in (lefts, rights))
     return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(kernel, shape)
 
 
@@ -298,6 +316,12 @@ def tree_join(
     first = cut(_descend(queries, nodes, BEAM, fan))
     hits = cut(_best(_compare(first, queries, placed, k, window, compared), k).drop("rank"))
     radius = _radii(hits, queries, k)
+    n_items = placed.count()
+    if _much_is_left(radius, nodes, n_items, fan):
+        n_blocks = math.ceil(queries.count() / DENSE_LEFT) * math.ceil(n_items / DENSE_RIGHT)
+        every = radius.select("l_item", F.lit(0).cast("long").alias("node"))
+        everything = placed.withColumn("node", F.lit(0).cast("long"))
+        return result(_best(_compare(every, radius, everything, k, window, compared, DENSE_LEFT, DENSE_RIGHT, min(2 * n_blocks, DENSE_PARTITIONS)), k))
     open_ = cut(_descend(radius, nodes, None, fan).join(first.select("l_item", "node"), ["l_item", "node"], "left_anti"))
     turn = 1
     while True:
@@ -307,7 +331,7 @@ def tree_join(
         now = ranked.filter(F.col("_j") <= turn)
         if now.isEmpty():
             return result(_best(hits, k))
-        more = _compare(now, queries, placed, k, window, compared)
+        more = _compare(now, radius, placed, k, window, compared)
         former, hits = hits, cut(_best(hits.unionByName(more), k).drop("rank"))
         release(former)
         open_ = cut(ranked.filter(F.col("_j") > turn).drop("_j"))
@@ -322,3 +346,11 @@ def _radii(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     full = worst.filter(F.col("_n") >= k).groupBy("l_item").agg(F.count("*").alias("_full"), F.min("_sim").alias("_sim"))
     reach = F.when(F.col("_full") == F.size("l_seqs"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "_sim"))) + SLACK)
     return cut(queries.join(full, "l_item", "left").withColumn("radius", F.coalesce(reach, F.lit(math.inf))).drop("_full", "_sim"))
+
+
+def _much_is_left(queries: DataFrame, nodes: DataFrame, n_items: int, fan: int) -> bool:
+    """Whether the radius leaves to a few ``queries`` so many pairs that going by leaves does not pay."""
+    tried = cut(queries.orderBy(F.xxhash64("l_item"), "l_item").limit(TRIED))
+    reached = _descend(tried, nodes, None, fan).join(nodes.select("node", "n"), "node")
+    pairs = reached.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return pairs >= DENSE * n_items * tried.count()

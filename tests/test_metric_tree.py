@@ -73,3 +73,15 @@ def test_rare_editions(spark):
 
 def test_empty(spark):
     assert metric_tree.tree_join(spark.createDataFrame([], LEFT), spark.createDataFrame([], RIGHT), 3).collect() == []
+
+
+@pytest.mark.parametrize("window", [1, 3])
+def test_spread_evenly(spark, window, monkeypatch):
+    """No bound rules anything out: all are compared once, in blocks beyond the leaves, and none is visited by turns."""
+    monkeypatch.setattr(metric_tree, "DENSE_LEFT", 50)
+    monkeypatch.setattr(metric_tree, "DENSE_RIGHT", 70)
+    monkeypatch.setattr(metric_tree, "CHUNK", 16)
+    rows = clustered(200, 200, 1.0, 40, 5, dims=32)
+    compared = []
+    same(search(spark, rows, 5, window, fan=4, leaf=12, compared=compared), brute(rows, 5, window))
+    assert len(compared) == 2 and compared[1] == 200 * 200

@@ -213,16 +213,18 @@ class Merger:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """BPE by its definition: the best-ranked pair first, the leftmost among equals."""
-        rank = self.rank
+        rank = self.rank.get
         while len(symbols) > 1:
-            best, where = None, -1
-            for i in range(len(symbols) - 1):
-                r = rank.get((symbols[i], symbols[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, where = r, i
-            if best is None:
+            ranks = list(map(rank, zip(symbols, symbols[1:])))
+            found = [r for r in ranks if r is not None]
+            if not found:
                 break
+            best = min(found)
+            where = ranks.index(best)
             a, b = symbols[where], symbols[where + 1]
+            if found.count(best) == 1:
+                symbols[where : where + 2] = [a + b]
+                continue
             out, i = [], 0
             while i < len(symbols):
                 if i < len(symbols) - 1 and symbols[i] == a and symbols[i + 1] == b:
@@ -315,12 +317,13 @@ class Merger:
         """Token ids of a pretoken: the last tokens of its prefixes, followed back from the end."""
         if len(self.step) + len(self.stop) > self.MOST:
             self.reset()
-        step, state, lasts, width = self.step, 0, [], self.width
+        step, state, lasts, width = self.step.get, 0, [], self.width
+        past, last, keep = _WIDE + _ID, _LAST, lasts.append
         for byte in word[:-1]:
             at = state << 8 | byte
-            found = step.get(at) or self._compile_step(at)
-            state = found >> _WIDE + _ID
-            lasts.append(found & _LAST)
+            found = step(at) or self._compile_step(at)
+            state = found >> past
+            keep(found & last)
         at = state << 8 | word[-1]
         token = (self.stop.get(at) or self._compile_stop(at)) & _LAST
         out, left = [token], len(word) - width[token]
@@ -373,7 +376,11 @@ class WordTokenizer:
         spans = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = spans.dictionary_encode()
         first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
-        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), first
+        # Cut from the bytes at once, as a scalar for each word would cost as much as its lookup.
+        _, bounds, held = coded.dictionary.buffers()
+        bounds = np.frombuffer(bounds, np.int32, len(coded.dictionary) + 1).tolist()
+        held = held.to_pybytes() if held else b""
+        return [held[a:b] for a, b in zip(bounds, bounds[1:])], coded.indices.to_numpy(), first
 
     @staticmethod
     def _blank(span: bytes) -> bool:
@@ -409,16 +416,15 @@ class WordTokenizer:
         if len(self.encoded) > self.REMEMBERED:
             self.encoded, self.encoded_before = {}, self.encoded
         known, before, encode = self.encoded, self.encoded_before, self.merger.encode
-        pieces = []
-        for w in words:
-            ids = known.get(w)
+        pieces = list(map(known.get, words))
+        for i in [i for i, ids in enumerate(pieces) if ids is None]:
+            w = words[i]
+            ids = before.get(w)
             if ids is None:
-                ids = before.get(w)
-                if ids is None:
-                    ids = b"" if self._blank(w) else array("H", encode(w)).tobytes()
-                if len(w) <= self.LONGEST:
-                    known[w] = ids
-            pieces.append(ids)
+                ids = b"" if self._blank(w) else array("H", encode(w)).tobytes()
+            if len(w) <= self.LONGEST:
+                known[w] = ids
+            pieces[i] = ids
         flat = np.frombuffer(b"".join(pieces), np.uint16)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
         start = np.cumsum(size) - size

@@ -186,3 +186,35 @@ def transducer_of_few():
     words = WordTokenizer(PATH)
     words.REMEMBERED, words.merger.MOST = 5, 40
     return words
+
+
+def test_distinct_spans_are_cut_from_their_bytes_once():
+    """The words of ``pretokens`` are the bytes between their bounds; no scalar is made for each of them."""
+    import public_tokenizers
+
+    from namesake.llm.tokencount import VOCABULARY
+    from namesake.llm.transducer import tokenizer
+
+    words = tokenizer(public_tokenizers.path(VOCABULARY))
+    texts = ["", "aa aa aaa aaaa bbb", "Größe ΣΑΣ naïve 東京 12", "it's  we've", "x" * 70 + " y"]
+    spans, index, first = words.pretokens([t.lower() for t in texts])
+    assert len(set(spans)) == len(spans)
+    joined = b"".join(spans[i] for i in index)
+    assert joined == ("\n".join(texts) + "\n").lower().encode()
+    merger = words.merger
+
+    def by_definition(symbols):
+        while True:
+            ranked = [(merger.rank[p], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in merger.rank]
+            if not ranked:
+                return symbols
+            a, b = symbols[min(ranked)[1]], symbols[min(ranked)[1] + 1]
+            out, i = [], 0
+            while i < len(symbols):
+                pair = symbols[i : i + 2] == [a, b]
+                out.append(a + b if pair else symbols[i])
+                i += 2 if pair else 1
+            symbols = out
+
+    for word in ("aaaaaaa", "banana", "lalala", "mississippi", "hahahahaha", "tttttt"):
+        assert merger.merge(list(word)) == by_definition(list(word))

@@ -136,19 +136,15 @@ def value_tokens(values: DataFrame, symbols: DataFrame) -> DataFrame:
 def attach_tokens(records: DataFrame, tokens: DataFrame, cols: tuple[str, ...], record_id: str) -> DataFrame:
     """Record table with ``{col}_stroke`` and ``{col}_pinyin`` columns.
 
-    All columns share one join: (record, column) rows are looked up together
-    and folded back per record.
+    Each column looks its values up by itself. Folding (record, column) rows
+    back together would sort every record with its token arrays.
     """
-    cells = records.select(
-        record_id,
-        F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in cols])).alias("cell"),
-    ).select(record_id, "cell.*")
-    found = cells.join(tokens, "value", "left").groupBy(record_id)
-    wide = found.agg(
-        *[F.first(F.when(F.col("col") == c, F.col("shape")), ignorenulls=True).alias(f"{c}_stroke") for c in cols],
-        *[F.first(F.when(F.col("col") == c, F.col("phon")), ignorenulls=True).alias(f"{c}_pinyin") for c in cols],
-    )
-    return records.join(wide, record_id)
+    def attach(acc: DataFrame, c: str) -> DataFrame:
+        named = tokens.select(F.col("value").alias(c), F.col("shape").alias(f"{c}_stroke"), F.col("phon").alias(f"{c}_pinyin"))
+        return acc.join(named, c, "left")
+
+    others = [c for c in records.columns if c != record_id]
+    return reduce(attach, cols, records).select(record_id, *others, *[f"{c}_stroke" for c in cols], *[f"{c}_pinyin" for c in cols])
 
 
 def flat_shape(shape):

@@ -113,3 +113,18 @@ def test_word2vec_is_repeatable(spark):
     symbols = spark.createDataFrame([("a", ["x", "y"]), ("b", ["y", "z"])], "symbol string, grams array<string>")
     a, b = (sorted(map(tuple, embed.train_gram_vectors(symbols, 4).select("gram", F.array_join(F.transform("vec", lambda x: x.cast("string")), ",")).collect())) for _ in range(2))
     assert a == b and [g for g, _ in a] == ["x", "y", "z"]
+
+
+def test_tokens_are_attached_without_gathering_records(spark):
+    """Every record keeps its tokens, nulls and repeats included, and none is sorted or grouped with its arrays."""
+    rows = [(1, "ab", "c"), (2, None, "ab"), (3, "ab", None), (4, "zz", "c")]
+    records = spark.createDataFrame(rows, "record_id long, xing string, ming string")
+    found = spark.createDataFrame([("ab", [["x"], ["y"]], ["p"]), ("c", [["z"]], [])], "value string, shape array<array<string>>, phon array<string>")
+    out = tokens.attach_tokens(records, found, ("xing", "ming"), "record_id")
+    assert out.columns == ["record_id", "xing", "ming", "xing_stroke", "ming_stroke", "xing_pinyin", "ming_pinyin"]
+    ab, c = [["x"], ["y"]], [["z"]]
+    assert sorted(map(tuple, out.collect())) == [
+        (1, "ab", "c", ab, c, ["p"], []), (2, None, "ab", None, ab, None, ["p"]), (3, "ab", None, ab, None, ["p"], None), (4, "zz", "c", None, c, None, []),
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan

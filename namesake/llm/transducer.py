@@ -16,7 +16,8 @@ place in it at which a token may begin, the token before that place and the
 number of tokens up to there. A transition carries the change of the number of
 tokens, which may be negative, as a merge undoes earlier boundaries; a second
 table carries the number if the pretoken ends. States are compiled when first
-reached and shared by all words that reach them.
+reached and shared by all words that reach them. The words of a batch that were
+not seen before advance together, letter by letter.
 
 That states suffice follows from a property of BPE: a row of tokens is the
 encoding of its text if and only if every two neighbours are the encoding of
@@ -29,7 +30,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -48,6 +48,8 @@ _STEP = 256
 # Parts of a transition in one number: bits of the change of the count and of the token id, and what is added to the change.
 _WIDE, _ID, _CHANGE = 10, 16, 512
 _MASK, _LAST = (1 << _WIDE) - 1, (1 << _ID) - 1
+# Marks the number of a transition at a pretoken's end among the others.
+_END = 1 << 62
 
 
 def _plain(cls: int) -> tuple[int, int]:
@@ -172,9 +174,53 @@ class Scanner:
         return starts, kinds[starts] != SPACE
 
 
+class Moves:
+    """Numbers by numbers, many looked up at once: places by a product, linear probes, at most half full."""
+
+    def __init__(self, bits: int = 12) -> None:
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        self.bits, self.size = bits, 0
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where there is none."""
+        at = self._place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], -1)
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        while len(todo):
+            at[todo] = at[todo] + 1 & len(self.keys) - 1
+            held = self.keys[at[todo]]
+            same = held == keys[todo]
+            out[todo[same]] = self.values[at[todo[same]]]
+            todo = todo[~same & (held >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that are not held yet."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            larger = Moves((2 * (self.size + len(keys))).bit_length())
+            used = self.keys >= 0
+            larger.put(self.keys[used], self.values[used])
+            self.keys, self.values, self.bits = larger.keys, larger.values, larger.bits
+        self.size += len(keys)
+        at, todo = self._place(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] < 0]
+            # Of several keys that want a free place the one written last has it.
+            self.keys[at[free]] = keys[free]
+            todo = todo[self.keys[at[todo]] != keys[todo]]
+            at[todo] = at[todo] + 1 & len(self.keys) - 1
+        self.values[at] = values
+
+
 class Merger:
     """The transducer of merges within a pretoken; compiled as it is used."""
 
+    #: Words that advance together.
+    TOGETHER = 4096
     #: Compiled transitions are thrown away and built anew beyond this number. With the words
     #: and verdicts remembered they bound what a worker holds.
     MOST = 400_000
@@ -191,6 +237,12 @@ class Merger:
             self.width[i] = len(t.removesuffix(self.suffix))
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(a, b): r for r, (a, b) in enumerate(merges)}
+        self.width = np.array(self.width)
+        #: Rank of the merge that makes a token, and its parts.
+        self.made = {a + b: r for r, (a, b) in enumerate(merges)}
+        self.parts = {a + b: (a, b) for a, b in merges}
+        #: Every token has one merge, later than those of its parts.
+        self.treelike = len(self.made) == len(merges) and all(max(self.made.get(a, -1), self.made.get(b, -1)) < r for r, (a, b) in enumerate(merges))
         self.open: set[str] = set()
         for t in self.vocab:
             body = t.removesuffix(self.suffix)
@@ -210,6 +262,11 @@ class Merger:
         self.step: dict[int, int] = {}
         #: The same without a next state, if the pretoken ends.
         self.stop: dict[int, int] = {}
+        #: Both for words that advance together; ends are marked.
+        self.moves = Moves()
+
+    def _full(self) -> bool:
+        return len(self.step) + len(self.stop) + self.moves.size > self.MOST
 
     def merge(self, symbols: list[str]) -> list[str]:
         """BPE by its definition: the best-ranked pair first, the leftmost among equals."""
@@ -246,9 +303,36 @@ class Merger:
     def _alone(self, token: str) -> bool:
         known = self.itself.get(token)
         if known is None:
-            known = self.itself[token] = self.merge(self._symbols(token)) == [token]
+            if not self.treelike:
+                known = self.merge(self._symbols(token)) == [token]
+            elif token in self.parts:
+                a, b = self.parts[token]
+                known = self._alone(a) and self._alone(b) and self._apart(a, b, self.made[token])
+            else:
+                known = len(self._symbols(token)) == 1
+            self.itself[token] = known
         return known
 
+    def _apart(self, a: str, b: str, limit: int) -> bool:
+        """Whether no merge below ``limit`` joins parts of two neighbouring tokens.
+
+        The later of the two merges that made what stands at the boundary is
+        undone, again and again; a pair across it must not have come before.
+        """
+        rank, made, parts = self.rank.get, self.made.get, self.parts
+        made_a, made_b = made(a, -1), made(b, -1)
+        while rank((a, b), limit) >= limit:
+            if made_a > made_b:
+                limit, a = made_a, parts[a][1]
+                made_a = made(a, -1)
+            elif made_b >= 0:
+                # Of two equal pairs the left one comes first.
+                limit, b = made_b + 1, parts[b][0]
+                made_b = made(b, -1)
+            else:
+                return True
+        return False
+
     def _follows(self, before: str, token: str) -> bool:
         if not self._alone(token):
             return False
@@ -258,7 +342,11 @@ class Merger:
         if known is None:
             if len(self.fits) > self.PAIRS:
                 self.fits.clear()
-            known = self.fits[before, token] = self.merge([*self._symbols(before), *self._symbols(token)]) == [before, token]
+            if self.treelike:
+                known = self._apart(before, token, len(self.rank))
+            else:
+                known = self.merge([*self._symbols(before), *self._symbols(token)]) == [before, token]
+            self.fits[before, token] = known
         return known
 
     def _last(self, state: tuple, end: str) -> tuple[int, str]:
@@ -292,46 +380,85 @@ class Merger:
         if n is None:
             n = self.number[new] = len(self.states)
             self.states.append(new)
-        made = self.step[at] = (n << _WIDE | change + _CHANGE) << _ID | self.vocab[token]
-        return made
+        return (n << _WIDE | change + _CHANGE) << _ID | self.vocab[token]
 
     def _compile_stop(self, at: int) -> int:
         change, token = self._last(self.states[at >> 8], self.letter[at & 255] + self.suffix)
-        made = self.stop[at] = change + _CHANGE << _ID | self.vocab[token]
-        return made
+        return change + _CHANGE << _ID | self.vocab[token]
 
-    def count(self, word: bytes) -> int:
-        """Number of tokens of a pretoken."""
-        if len(self.step) + len(self.stop) > self.MOST:
+    def encode(self, word: bytes) -> bytes:
+        """Token ids of a pretoken, 16 bits each: the last tokens of its prefixes, followed back from the end."""
+        if self._full():
             self.reset()
-        step, state, total = self.step, 0, 0
+        step, stop, state, lasts = self.step, self.stop, 0, []
         for byte in word[:-1]:
             at = state << 8 | byte
-            found = step.get(at) or self._compile_step(at)
+            found = step.get(at)
+            if found is None:
+                found = step[at] = self._compile_step(at)
             state = found >> _WIDE + _ID
-            total += found >> _ID & _MASK
-        at = state << 8 | word[-1]
-        return total + ((self.stop.get(at) or self._compile_stop(at)) >> _ID) - _CHANGE * len(word)
-
-    def encode(self, word: bytes) -> list[int]:
-        """Token ids of a pretoken: the last tokens of its prefixes, followed back from the end."""
-        if len(self.step) + len(self.stop) > self.MOST:
-            self.reset()
-        step, state, lasts, width = self.step.get, 0, [], self.width
-        past, last, keep = _WIDE + _ID, _LAST, lasts.append
-        for byte in word[:-1]:
-            at = state << 8 | byte
-            found = step(at) or self._compile_step(at)
-            state = found >> past
-            keep(found & last)
+            lasts.append(found & _LAST)
         at = state << 8 | word[-1]
-        token = (self.stop.get(at) or self._compile_stop(at)) & _LAST
-        out, left = [token], len(word) - width[token]
+        if at not in stop:
+            stop[at] = self._compile_stop(at)
+        lasts.append(stop[at] & _LAST)
+        out, left = [], len(word)
         while left:
-            token = lasts[left - 1]
-            out.append(token)
-            left -= width[token]
-        return out[::-1]
+            out.append(lasts[left - 1])
+            left -= int(self.width[out[-1]])
+        return np.array(out[::-1], np.uint16).tobytes()
+
+    def _advance(self, at: np.ndarray) -> np.ndarray:
+        """Transitions by their numbers; what is missing is compiled."""
+        found = self.moves.find(at)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            keys, where = np.unique(at[new], return_inverse=True)
+            made = np.array([self._compile_stop(k - _END) if k >= _END else self._compile_step(k) for k in keys.tolist()], np.int64)
+            self.moves.put(keys, made)
+            found[new] = made[where]
+        return found
+
+    def encode_all(self, words: list[bytes]) -> list[bytes]:
+        """``encode`` of short words, all of them advancing together."""
+        out = []
+        for a in range(0, len(words), self.TOGETHER):
+            out += self._encode_some(words[a : a + self.TOGETHER])
+        return out
+
+    def _encode_some(self, words: list[bytes]) -> list[bytes]:
+        if self._full():
+            self.reset()
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable")
+        begin = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        letters = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        # Words of more letters than a place has before it.
+        going = np.searchsorted(-sizes, -np.arange(sizes[0] + 1)).tolist()
+        lasts = np.empty((sizes[0], len(words)), np.uint16)
+        total = np.zeros(len(words), np.int64)
+        state = np.zeros(len(words), np.int64)
+        for place, (now, later) in enumerate(zip(going, going[1:])):
+            at = state[:now] << 8 | letters[begin[:now] + place]
+            at[later:] |= _END
+            found = self._advance(at)
+            lasts[place, :now] = found & _LAST
+            total[:now] += (found >> _ID & _MASK) - _CHANGE
+            state = found >> _WIDE + _ID
+        ends = np.cumsum(total)
+        flat, live, left, at = np.empty(ends[-1], np.uint16), np.arange(len(words)), sizes, ends - 1
+        while len(live):
+            token = lasts[left - 1, live]
+            flat[at] = token
+            left = left - self.width[token]
+            on = left > 0
+            live, left, at = live[on], left[on], at[on] - 1
+        raw, out = flat.tobytes(), [b""] * len(words)
+        ends = (2 * ends).tolist()
+        for i, a, b in zip(order.tolist(), [0, *ends], ends):
+            out[i] = raw[a:b]
+        return out
 
 
 def normalize(text: str) -> str:
@@ -353,16 +480,15 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         self.scanner = Scanner()
         self.merger = Merger(path)
-        self.counted, self.counted_before = {}, {}
         self.encoded, self.encoded_before = {}, {}
         self.special = re.compile("|".join(map(re.escape, self.SPECIAL)))
 
-    def pretokens(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(distinct spans, span -> distinct, text -> first span). White space spans are in it too."""
+    def pretokens(self, texts: list[str], white: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(distinct spans, span -> distinct, text -> first span). White space spans are in it too, unless left out."""
         joined = "\n".join(texts) + "\n"
         lengths = np.array([len(t) for t in texts], np.int64) + 1
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        starts, _ = self.scanner.spans(codes)
+        starts, solid = self.scanner.spans(codes)
         if joined.isascii():
             at = starts
             size = len(codes)
@@ -373,7 +499,12 @@ class WordTokenizer:
             size = int(ends[-1])
         data = joined.encode("utf-8", "surrogatepass")
         offsets = np.append(at, size).astype(np.int32)
-        spans = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        if not white:
+            # What is left is moved together.
+            sizes = np.diff(offsets)
+            data = np.frombuffer(data, np.uint8)[np.repeat(solid, sizes)]
+            starts, offsets = starts[solid], np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes[solid], dtype=np.int32)])
+        spans = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = spans.dictionary_encode()
         first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
         # Cut from the bytes at once, as a scalar for each word would cost as much as its lookup.
@@ -382,9 +513,28 @@ class WordTokenizer:
         held = held.to_pybytes() if held else b""
         return [held[a:b] for a, b in zip(bounds, bounds[1:])], coded.indices.to_numpy(), first
 
-    @staticmethod
-    def _blank(span: bytes) -> bool:
-        return span.isspace() or span[0] > 127 and not span.decode("utf-8", "surrogatepass").strip()
+    def _pieces(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, 16 bits each."""
+        if len(self.encoded) > self.REMEMBERED:
+            self.encoded, self.encoded_before = {}, self.encoded
+        known, before = self.encoded, self.encoded_before
+        pieces = list(map(known.get, words))
+        new = []
+        for i in [i for i, ids in enumerate(pieces) if ids is None]:
+            w = words[i]
+            ids = before.get(w)
+            if ids is not None:
+                known[w] = pieces[i] = ids
+            elif len(w) <= self.LONGEST:
+                new.append(i)
+            else:
+                pieces[i] = self.merger.encode(w)
+        found = [words[i] for i in new]
+        made = self.merger.encode_all(found)
+        known.update(zip(found, made))
+        for i, ids in zip(new, made):
+            pieces[i] = ids
+        return pieces
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
@@ -394,37 +544,14 @@ class WordTokenizer:
             if "<|" in t:
                 t, extra[i] = self.special.subn(" ", t)
             plain.append(normalize(t))
-        words, index, first = self.pretokens(plain)
-        if len(self.counted) > self.REMEMBERED:
-            self.counted, self.counted_before = {}, self.counted
-        known, before, count = self.counted, self.counted_before, self.merger.count
-        by_word = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            n = known.get(w)
-            if n is None:
-                n = before.get(w)
-                if n is None:
-                    n = 0 if self._blank(w) else count(w)
-                if len(w) <= self.LONGEST:
-                    known[w] = n
-            by_word[i] = n
+        words, index, first = self.pretokens(plain, white=False)
+        by_word = np.fromiter(map(len, self._pieces(words)), np.int64, len(words)) // 2
         sums = np.concatenate([[0], np.cumsum(by_word[index])])
         return sums[first[1:]] - sums[first[:-1]] + extra
 
     def _plain_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words, index, first = self.pretokens([normalize(t) for t in texts])
-        if len(self.encoded) > self.REMEMBERED:
-            self.encoded, self.encoded_before = {}, self.encoded
-        known, before, encode = self.encoded, self.encoded_before, self.merger.encode
-        pieces = list(map(known.get, words))
-        for i in [i for i, ids in enumerate(pieces) if ids is None]:
-            w = words[i]
-            ids = before.get(w)
-            if ids is None:
-                ids = b"" if self._blank(w) else array("H", encode(w)).tobytes()
-            if len(w) <= self.LONGEST:
-                known[w] = ids
-            pieces[i] = ids
+        words, index, first = self.pretokens([normalize(t) for t in texts], white=False)
+        pieces = self._pieces(words)
         flat = np.frombuffer(b"".join(pieces), np.uint16)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
         start = np.cumsum(size) - size

@@ -218,3 +218,36 @@ def test_spans_and_merges_by_definition():
 
     for word in ("aaaaaaa", "banana", "lalala", "mississippi", "hahahahaha", "tttttt"):
         assert merger.merge(list(word)) == by_definition(list(word))
+
+
+def test_pairs_without_merging():
+    """What merges at the boundary of two tokens say is what merging their letters says."""
+    merger = tokenizer(PATH).merger
+    rng = np.random.default_rng(5)
+    tokens = sorted(merger.vocab)
+    for t in [tokens[i] for i in rng.integers(0, len(tokens), 3000)]:
+        assert merger._alone(t) == (merger.merge(merger._symbols(t)) == [t])
+    inner = [t for t in tokens if not t.endswith(merger.suffix) and merger._alone(t)]
+    short = [t for t in inner if len(t) < 4]
+    met = set()
+    for firsts, lasts in ((inner, tokens), (short, short), (["a", "aa", "aaa", "ha", "haha", "l", "ll"], ["a", "aa", "aaa", "ha", "haha", "ll", "aa</w>"])):
+        for _ in range(3000):
+            a, b = firsts[rng.integers(len(firsts))], lasts[rng.integers(len(lasts))]
+            if b in merger.vocab and a in merger.vocab and merger._alone(b):
+                met.add(apart := merger._apart(a, b, len(merger.rank)))
+                assert apart == (merger.merge([*merger._symbols(a), *merger._symbols(b)]) == [a, b]), (a, b)
+    assert met == {True, False}
+
+
+def test_words_advance_together():
+    """Words of a batch take no step one by one, and have the ids that they have alone."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("etaoinshr'é1日"), rng.integers(1, 20))) for _ in range(500)]
+    whole, alone = WordTokenizer(PATH), WordTokenizer(PATH)
+    whole.merger.TOGETHER = 64
+    flat, offsets = whole.ids(words)
+    assert not whole.merger.step and not whole.merger.stop
+    alone.LONGEST = 0
+    assert not alone.merger.moves.size
+    for i, w in enumerate(words):
+        assert flat[offsets[i] : offsets[i + 1]].tolist() == alone.ids([w])[0].tolist() == ids_of(w)

@@ -35,11 +35,15 @@ LIMITS = (0.6, 0.3, 0.1, 0.0)
 DECIMALS = 9
 
 
-def _numbered(sets: DataFrame, item: str, ranks: DataFrame) -> DataFrame:
-    """(item, size, toks): the numbers of a set's tokens, rising; those without a number only count in the size."""
+def _numbered(sets: DataFrame, item: str, ranks: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(item, size, toks): the numbers of a set's tokens, rising; those without a number only count in the size.
+
+    ``held(token, n)``, if known, says how many of the sets have a token.
+    """
     tokens = sets.select(item, F.size("vec").alias("size"), F.explode("vec").alias("token"))
-    held = cut(tokens.groupBy("token").agg(F.count("*").alias("_n")))
-    known = held.join(ranks, "token")
+    if held is None:
+        held = cut(tokens.groupBy("token").agg(F.count("*").alias("n")))
+    known = held.withColumnRenamed("n", "_n").join(ranks, "token")
     found = join_counted(tokens, known, "token", "_n", tokens.count())
     return found.groupBy(item, "size").agg(F.sort_array(F.collect_list("idx")).alias("toks"))
 
@@ -77,9 +81,12 @@ def _prefix(size: Column, limit: float) -> Column:
     return size - F.ceil(size * limit - 1e-9) + 1
 
 
-def _index(sets: DataFrame, occurs: DataFrame, k: int, window: int) -> DataFrame:
-    """Suffixes of one token with the first k sets per edition that have them."""
-    rows = _suffixes(sets).join(occurs, "r_item")
+def _index(sets: DataFrame, asked: DataFrame, occurs: DataFrame, k: int, window: int) -> DataFrame:
+    """Suffixes of one token with the first k sets per edition that have them, for the tokens that left sets ask for.
+
+    Places and suffixes are those within the whole sets.
+    """
+    rows = _suffixes(sets).join(asked, "token", "left_semi").join(occurs, "r_item")
     first = Window.partitionBy("token", "suffix", "r_size", "r_seq").orderBy("r_tie")
     kept = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k)
     return kept.withColumn("bucket", bucket_of(F.col("r_seq"), window)).groupBy("token", "bucket", "suffix", "r_size", "r_place").agg(
@@ -97,10 +104,13 @@ def set_join(left: DataFrame, right: DataFrame, k: int, window: int = 1, limits:
     """
     rights = cut(right.groupBy("r_item").agg(F.first("r_vec").alias("vec")))
     lefts = cut(left.groupBy("l_item").agg(F.first("l_vec").alias("vec")))
-    frequency = rights.select(F.explode("vec").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    frequency = cut(rights.select(F.explode("vec").alias("token")).groupBy("token").agg(F.count("*").alias("n")))
     ranks = cut(dense_index(frequency, ["n", "token"]).select("token", "idx"))
-    r_sets, l_sets = cut(_numbered(rights, "r_item", ranks)), cut(_numbered(lefts, "l_item", ranks))
-    index = cut(_index(r_sets, right.select("r_item", "r_seq", "r_tie"), k, window))
+    r_sets, l_sets = cut(_numbered(rights, "r_item", ranks, frequency)), cut(_numbered(lefts, "l_item", ranks))
+    asked_for = cut(l_sets.select(F.explode("toks").alias("token")).distinct())
+    index = cut(_index(r_sets, asked_for, right.select("r_item", "r_seq", "r_tie"), k, window))
+    # What can be shared of a right set.
+    r_asked = cut(r_sets.select(F.col("r_item").alias("like"), F.explode("toks").alias("token")).join(asked_for, "token", "left_semi").groupBy("like").agg(F.collect_list("token").alias("_r")))
     probes = l_sets.select("l_item", F.col("size").alias("l_size"), F.size("toks").alias("l_known"), F.posexplode("toks").alias("l_place", "token"))
     # Queries with their k-th likeness so far; those that are done are left out.
     open_ = cut(left.select("l_item", "l_seq").withColumn("floor", F.lit(0.0)))
@@ -112,7 +122,8 @@ def set_join(left: DataFrame, right: DataFrame, k: int, window: int = 1, limits:
         def admitted(t: float) -> Column:
             return (i < _prefix(m, t)) & (j < _prefix(n, t))
 
-        asked = open_.join(probes, "l_item").filter(i < _prefix(m, limit)).withColumn("bucket", F.explode(window_buckets(F.col("l_seq"), window)))
+        # Written, so that its size is known: where few ask, the index stays where it lies.
+        asked = cut(open_.join(probes, "l_item").filter(i < _prefix(m, limit)).withColumn("bucket", F.explode(window_buckets(F.col("l_seq"), window))))
         met = asked.join(index.filter(j < _prefix(n, limit)), ["token", "bucket"])
         most = F.least(F.col("l_known") - i, n - j)
         bound = most / (m + n - most)
@@ -121,12 +132,13 @@ def set_join(left: DataFrame, right: DataFrame, k: int, window: int = 1, limits:
             bound_before = (bound >= before - 1e-9) & admitted(before)
             met = met.filter(~bound_before)
         met = cut(met.withColumn("entries", F.filter("entries", lambda e: in_window(F.col("l_seq"), e["r_seq"], window))).filter(F.size("entries") > 0)
-                  .select("l_item", "l_seq", "l_size", "l_place", "r_size", "r_place", "like", "floor", "entries"))
-        pairs = met.select("l_item", "like", "l_place", "r_place").distinct()
+                  .select("l_item", "l_seq", "l_size", "l_place", "token", "r_size", "r_place", "like", "floor", "entries"))
+        pairs = met.select("l_item", "like", "l_place", "r_place", "token").distinct()
         if compared is not None:
             compared.append(pairs.count())
-        sided = pairs.join(l_sets.select("l_item", F.col("toks").alias("_l")), "l_item").join(r_sets.select(F.col("r_item").alias("like"), F.col("toks").alias("_r")), "like")
-        shared = F.size(F.array_intersect(F.slice("_l", i + 1, F.size("_l")), F.slice("_r", j + 1, F.size("_r"))))
+        sided = pairs.join(l_sets.select("l_item", F.col("toks").alias("_l")), "l_item").join(r_asked, "like")
+        # Tokens behind the one they met at have higher numbers.
+        shared = F.size(F.filter(F.array_intersect("_l", "_r"), lambda t: t >= F.col("token")))
         counted = sided.select("l_item", "like", "l_place", "r_place", shared.alias("shared"))
         alike = met.join(counted, ["l_item", "like", "l_place", "r_place"])
         alike = alike.withColumn("sim", F.round(F.col("shared") / (m + n - F.col("shared")), DECIMALS))
@@ -137,6 +149,7 @@ def set_join(left: DataFrame, right: DataFrame, k: int, window: int = 1, limits:
         every = every.groupBy("l_item", "l_seq", "r_item", "r_seq", "r_tie").agg(F.max("sim").alias("sim"))
         former, hits = hits, cut(_best(every, k).drop("rank"))
         release(met)
+        release(asked)
         if former is not None:
             release(former)
         worst = hits.groupBy("l_item", "l_seq").agg(F.count("*").alias("_n"), F.min("sim").alias("_least"))

@@ -256,7 +256,7 @@ def token_jaccard_documents(spark, sf):
         return df.select(F.col(key), F.sort_array(F.array_distinct(split)).alias("vec"))
 
     items = cut(words(table(spark, sf, "benchmark"), "item_id"))
-    docs = cut(words(table(spark, sf, "documents"), "doc_id"))
+    docs = words(table(spark, sf, "documents"), "doc_id")
     left = items.select(F.col("item_id").alias("l_item"), F.lit(0).alias("l_seq"), F.col("vec").alias("l_vec"))
     right = docs.select(F.col("doc_id").alias("r_item"), F.lit(0).alias("r_seq"), F.col("doc_id").alias("r_tie"), F.col("vec").alias("r_vec"))
     found = suffix_sets.set_join(left, right, 5)

@@ -70,3 +70,22 @@ def test_a_frequent_token_stays_cheap(spark):
 
 def test_empty(spark):
     assert suffix_sets.set_join(spark.createDataFrame([], LEFT), spark.createDataFrame([], RIGHT), 3).collect() == []
+
+
+def test_index_holds_asked_tokens_alone(spark, monkeypatch):
+    """Words that no left set has are in no row of the index, yet count in sizes and places."""
+    left = [(i, 0, sorted({f"c{i}", f"c{i + 1}", "common"})) for i in range(4)]
+    right = [(i, 0, i, sorted({f"c{i % 6}", "common", *[f"own{i}-{j}" for j in range(i % 9)]})) for i in range(40)]
+    built = []
+    index = suffix_sets._index
+    monkeypatch.setattr(suffix_sets, "_index", lambda *a: built.append(index(*a)) or built[-1])
+    got = suffix_sets.set_join(
+        spark.createDataFrame(left, "l_item long, l_seq int, l_vec array<string>"),
+        spark.createDataFrame(right, "r_item long, r_seq int, r_tie long, r_vec array<string>"), 3,
+    )
+    want = []
+    for l, _, a in left:
+        sims = sorted((-round(len(set(a) & set(b)) / len(set(a) | set(b)), 9), t, r) for r, _, t, b in right if set(a) & set(b))
+        want += [(l, r, -s) for s, _, r in sims[:3]]
+    assert sorted((r.l_item, r.r_item, r.sim) for r in got.collect()) == sorted(want)
+    assert built[0].select("token").distinct().count() <= 6

@@ -23,6 +23,11 @@ That states suffice follows from a property of BPE: a row of tokens is the
 encoding of its text if and only if every two neighbours are the encoding of
 theirs. So the last token of a prefix is the only one that fits its
 predecessor, whatever comes before.
+
+Counts go through both transducers. Where ids are asked for, short words take their
+merges by the definition, all words of a batch together: to compile a transition
+that one rare word needs costs more than that word's merges, and so does looking
+for a word among those remembered.
 """
 
 from __future__ import annotations
@@ -461,6 +466,72 @@ class Merger:
         return out
 
 
+class Merges:
+    """BPE by its definition, of many words at once: in each round every word merges its best-ranked pair."""
+
+    def __init__(self, merger: Merger) -> None:
+        vocab, suffix = merger.vocab, merger.suffix
+        self.inner = np.array([vocab[x] for x in merger.letter], np.int64)
+        self.final = np.array([vocab[x + suffix] for x in merger.letter], np.int64)
+        #: Two ids -> rank of their merge and the id it makes, in one number.
+        self.pairs = Moves()
+        keys = [vocab[a] << _ID | vocab[b] for a, b in merger.rank]
+        values = [r << _ID | vocab[a + b] for (a, b), r in merger.rank.items()]
+        self.pairs.put(np.array(keys, np.int64), np.array(values, np.int64))
+        #: The same by two bytes within a word, and by the two at its end.
+        left = np.repeat(self.inner, 256)
+        self.within, self.ending = (self._best(left, np.tile(right, 256)) for right in (self.inner, self.final))
+
+    def _best(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        found = self.pairs.find(left << _ID | right)
+        return np.where(found < 0, _END, found)
+
+    def encode(self, letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each); ``letters`` are the words' bytes end to end, no word is empty."""
+        if not len(sizes):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        ends = np.cumsum(sizes) - 1
+        ids, owner = self.inner[letters], np.repeat(np.arange(len(sizes)), sizes)
+        ids[ends] = self.final[letters[ends]]
+        # By place: the merge of its id with the next one of its word.
+        both = letters[:-1].astype(np.int32) << 8 | letters[1:]
+        pair = np.append(self.within[both], _END)
+        before = ends[sizes > 1] - 1
+        pair[before] = self.ending[both[before]]
+        pair[ends] = _END
+        done = []
+        while len(ids):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            best = np.minimum.reduceat(pair, first)
+            best = np.repeat(best, np.diff(first, append=len(ids)))
+            going = best < _END
+            if not going.all():
+                over = ~going
+                done.append((owner[over], ids[over].astype(np.uint16)))
+                ids, owner, pair, best = ids[going], owner[going], pair[going], best[going]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(pair == best)
+            # Of equal pairs that overlap the left one comes first.
+            begins = np.diff(at, prepend=-2) != 1
+            if not begins.all():
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+            ids[at] = pair[at] & _LAST
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            at -= np.arange(len(at))
+            ids, owner, pair = ids[kept], owner[kept], pair[kept]
+            # What stands beside a new id is looked up again.
+            beside = np.concatenate([at, at[at > 0] - 1])
+            pair[beside] = _END
+            beside = beside[beside + 1 < len(ids)]
+            beside = beside[owner[beside] == owner[beside + 1]]
+            pair[beside] = self._best(ids[beside], ids[beside + 1])
+        owner, ids = (np.concatenate(x) for x in zip(*done))
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(sizes))
+
+
 def normalize(text: str) -> str:
     """Composed, lower case code point by code point. White space is left as it is, as any of it only separates."""
     if text.isascii():
@@ -480,11 +551,12 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         self.scanner = Scanner()
         self.merger = Merger(path)
+        self.merges = Merges(self.merger)
         self.encoded, self.encoded_before = {}, {}
         self.special = re.compile("|".join(map(re.escape, self.SPECIAL)))
 
-    def pretokens(self, texts: list[str], white: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(distinct spans, span -> distinct, text -> first span). White space spans are in it too, unless left out."""
+    def _spans(self, texts: list[str], white: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """``pretokens`` with the bytes of distinct spans end to end, and the place of each and of their end."""
         joined = "\n".join(texts) + "\n"
         lengths = np.array([len(t) for t in texts], np.int64) + 1
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -507,11 +579,16 @@ class WordTokenizer:
         spans = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = spans.dictionary_encode()
         first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
-        # Cut from the bytes at once, as a scalar for each word would cost as much as its lookup.
         _, bounds, held = coded.dictionary.buffers()
-        bounds = np.frombuffer(bounds, np.int32, len(coded.dictionary) + 1).tolist()
         held = held.to_pybytes() if held else b""
-        return [held[a:b] for a, b in zip(bounds, bounds[1:])], coded.indices.to_numpy(), first
+        return held, np.frombuffer(bounds, np.int32, len(coded.dictionary) + 1), coded.indices.to_numpy(), first
+
+    def pretokens(self, texts: list[str], white: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(distinct spans, span -> distinct, text -> first span). White space spans are in it too, unless left out."""
+        held, bounds, index, first = self._spans(texts, white)
+        # Cut from the bytes at once, as a scalar for each word would cost as much as its lookup.
+        bounds = bounds.tolist()
+        return [held[a:b] for a, b in zip(bounds, bounds[1:])], index, first
 
     def _pieces(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, 16 bits each."""
@@ -549,12 +626,26 @@ class WordTokenizer:
         sums = np.concatenate([[0], np.cumsum(by_word[index])])
         return sums[first[1:]] - sums[first[:-1]] + extra
 
+    def _word_ids(self, held: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of each word's first one, number of each word's)."""
+        lengths = np.diff(bounds)
+        letters, short = np.frombuffer(held, np.uint8, bounds[-1]), lengths <= self.LONGEST
+        if short.all():
+            flat, size = self.merges.encode(letters, lengths)
+            return flat, np.cumsum(size) - size, size
+        size = np.empty(len(lengths), np.int64)
+        flat, size[short] = self.merges.encode(letters[np.repeat(short, lengths)], lengths[short])
+        long = np.flatnonzero(~short)
+        pieces = [np.frombuffer(self.merger.encode(held[bounds[i] : bounds[i + 1]]), np.uint16) for i in long]
+        size[long] = [len(p) for p in pieces]
+        order = np.concatenate([np.flatnonzero(short), long])
+        start = np.empty(len(lengths), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([flat, *pieces]), start, size
+
     def _plain_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words, index, first = self.pretokens([normalize(t) for t in texts], white=False)
-        pieces = self._pieces(words)
-        flat = np.frombuffer(b"".join(pieces), np.uint16)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
-        start = np.cumsum(size) - size
+        held, bounds, index, first = self._spans([normalize(t) for t in texts], white=False)
+        flat, start, size = self._word_ids(held, bounds)
         n = size[index]
         ends = np.cumsum(n)
         # Each span's ids: its word's start, counted on.

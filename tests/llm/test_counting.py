@@ -251,3 +251,17 @@ def test_words_advance_together():
     assert not alone.merger.moves.size
     for i, w in enumerate(words):
         assert flat[offsets[i] : offsets[i + 1]].tolist() == alone.ids([w])[0].tolist() == ids_of(w)
+
+
+def test_ids_of_rare_words_compile_nothing():
+    """Short words take their merges together, also where equal pairs overlap; longer ones have their places among them."""
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("aaalhno'1é"), rng.integers(1, 40))) for _ in range(400)]
+    texts += ["a" * n for n in range(1, 65)] + ["", "ha" * 31, " ".join(["z" * 80, "aaaa", "z" * 65, "b", "z" * 80])]
+    words = WordTokenizer(PATH)
+    flat, offsets = words.ids(texts)
+    for i, t in enumerate(texts):
+        assert flat[offsets[i] : offsets[i + 1]].tolist() == ids_of(t), t
+    words = WordTokenizer(PATH)
+    words.ids(texts[:400])
+    assert not words.merger.moves.size and not words.merger.step

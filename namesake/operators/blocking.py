@@ -176,7 +176,8 @@ def block(
     lists = merged.groupBy("block_key", "gkey", "seq").agg(
         F.collect_list(F.struct("right_id", "by_shape", "by_phon")).alias("found")
     )
-    pairs = left.join(lists, ["block_key", "gkey", "seq"]).select(
+    # The lists of few groups would else stand in one task, which then makes all pairs.
+    pairs = left.hint("merge").join(lists, ["block_key", "gkey", "seq"]).select(
         F.col("record_id").alias("left_id"), F.inline("found")
     )
     return pairs.filter(F.col("left_id") != F.col("right_id"))

@@ -3,7 +3,12 @@
 Shape and sound likeness of an attribute depend on its two values only. Equal
 values need no lookup, and the unequal ones are scored once per distinct pair
 of values, whichever attribute and however many record pairs they come from.
-Vectors are never attached to record pairs.
+Vectors are never attached to record pairs. Scores of few value pairs are sent to
+the record pairs; those of many meet them in a join by value.
+
+Joins with records are sorted on both sides: as files, columns of few values are
+so small that the planner would send all records to every task, and the pairs
+made from a few lists would stay in one.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from namesake.spec import LinkageSpec
 
 # Name symbols compared one by one.
 NAME_SYMBOLS = 2
+#: Scores of value pairs that are sent to all tasks, at most, in bytes: letters and 64 a row.
+SENT = 4 << 20
 
 
 def _name_symbol(name, i: int):
@@ -75,6 +82,29 @@ def value_pair_scores(pairs: DataFrame, vectors: DataFrame, tokens: DataFrame, m
     return both.select("a", "b", cosine_of_units("a_vec", "b_vec").alias("shape"), jaccard(set_a, set_b).alias("phon"))
 
 
+def _few(scores: DataFrame) -> bool:
+    size = scores.agg(F.sum(F.octet_length("a") + F.octet_length("b") + 64)).first()[0]
+    return (size or 0) <= SENT
+
+
+def _sent_scores(wide: DataFrame, scores: DataFrame, slots: list, attributes: int) -> DataFrame:
+    """``wide`` with the scores of each slot's two values."""
+    for i, (name, a, b) in enumerate(slots):
+        found = [F.col("shape").alias(f"_{name}_shape"), *([F.col("phon").alias(f"_{name}_phon")] if i < attributes else [])]
+        side = scores.select(F.col("a").alias("_a"), F.col("b").alias("_b"), *found)
+        wide = wide.join(F.broadcast(side), (F.least(a, b) == F.col("_a")) & (F.greatest(a, b) == F.col("_b")), "left").drop("_a", "_b")
+    return wide
+
+
+def _joined_scores(wide: DataFrame, cells: DataFrame, scores: DataFrame, slots: list, attributes: int) -> DataFrame:
+    """The same by one join of all cells and one grouping by pair."""
+    found = cells.join(scores, ["a", "b"]).groupBy("left_id", "right_id").agg(
+        *[F.max(F.when(F.col("slot") == i, F.col("shape"))).alias(f"_{name}_shape") for i, (name, *_) in enumerate(slots)],
+        *[F.max(F.when(F.col("slot") == i, F.col("phon"))).alias(f"_{name}_phon") for i, (name, *_) in enumerate(slots[:attributes])],
+    )
+    return wide.join(found, ["left_id", "right_id"], "left")
+
+
 def pair_features(pairs: DataFrame, records: DataFrame, spec: LinkageSpec, vectors: DataFrame, tokens: DataFrame) -> DataFrame:
     """Attribute values and similarity features of ``pairs(left_id, right_id, ...)``.
 
@@ -83,9 +113,8 @@ def pair_features(pairs: DataFrame, records: DataFrame, spec: LinkageSpec, vecto
     """
     # Patterns and symbols are looked at once for each record, not for each pair.
     known = cut(_with_slots(records, spec))
-    wide = cut(
-        pairs.join(_attributes(known, spec, "left", 1), "left_id").join(_attributes(known, spec, "right", 2), "right_id")
-    )
+    left, right = (_attributes(known, spec, side, n).hint("merge") for side, n in (("left", 1), ("right", 2)))
+    wide = cut(pairs.join(left, "left_id").join(right, "right_id"))
     shown = [c for c in wide.columns if not c.startswith(("_1_", "_2_"))]
     slots = [(name, F.col(f"_1_{name}"), F.col(f"_2_{name}")) for name in _slots(spec)]
     asked = [
@@ -94,11 +123,10 @@ def pair_features(pairs: DataFrame, records: DataFrame, spec: LinkageSpec, vecto
     ]
     cells = wide.select("left_id", "right_id", F.explode(F.array(*asked)).alias("s")).filter("s is not null").select("left_id", "right_id", "s.*")
     scores = cut(value_pair_scores(cells.select("a", "b").distinct(), vectors, tokens, spec.phonetic_mode))
-    found = cells.join(scores, ["a", "b"]).groupBy("left_id", "right_id").agg(
-        *[F.max(F.when(F.col("slot") == i, F.col("shape"))).alias(f"_{name}_shape") for i, (name, *_) in enumerate(slots)],
-        *[F.max(F.when(F.col("slot") == i, F.col("phon"))).alias(f"_{c}_phon") for i, c in enumerate(spec.match_cols)],
-    )
-    full = wide.join(found, ["left_id", "right_id"], "left")
+    if _few(scores):
+        full = _sent_scores(wide, scores, slots, len(spec.match_cols))
+    else:
+        full = _joined_scores(wide, cells, scores, slots, len(spec.match_cols))
 
     def scored(a, b, looked_up: str):
         same = F.when(a == "", F.lit(0.0)).otherwise(F.lit(1.0))

@@ -156,6 +156,28 @@ def test_features_look_at_patterns_once_for_each_record(spark, prepared, capsys)
     assert "Physical Plan" in plan and "RLIKE" not in plan and "split(" not in plan
 
 
+def test_features_by_sent_and_by_joined_scores(spark, prepared, monkeypatch, capsys):
+    """Scores of few value pairs need no shuffle of the record pairs; both ways give the same rows."""
+    df, v = prepared
+    pairs = spark.createDataFrame([(i, (i * k + 1) % 150) for i in range(150) for k in (0, 3, 7)], "left_id long, right_id long")
+    got = []
+    for most in (features.SENT, -1):
+        monkeypatch.setattr(features, "SENT", most)
+        found = features.pair_features(pairs, df, SPEC, v.vectors, v.tokens)
+        found.explain()
+        got.append((sorted(map(str, found.collect())), "hashpartitioning" in capsys.readouterr().out))
+    assert got[0][0] == got[1][0] and len(got[0][0]) == 450
+    assert [shuffled for _, shuffled in got] == [False, True]
+
+
+def test_records_are_not_sent_to_every_task(spark, prepared, capsys):
+    """Pairs are made where the records lie: the join of records with the lists of their group is sorted."""
+    df, v = prepared
+    blocking.block(df, SPEC, v.block_vectors, v.block_tokens).explain()
+    plan = capsys.readouterr().out
+    assert [line for line in plan.splitlines() if "Join" in line][0].count("SortMergeJoin") == 1
+
+
 def test_features_of_odd_values(spark, prepared):
     """Nulls, missing markers, empty values and empty brackets, each with itself and with a name."""
     _, v = prepared

@@ -36,11 +36,11 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namesake.llm import attention
-from namesake.llm.common import crc_fold, slices, text_of
+from namesake.llm.common import crc_fold, slices, text_of, written
 from namesake.session import cut
 
 PIECES = "piece_bpe_32k.model"
@@ -105,12 +105,28 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
 
 
-def corpus_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(word, pair, n): counts of words, and of neighbouring ids across words.
+def corpus_rows(docs: DataFrame, path: str) -> DataFrame:
+    """What one reading of ``docs(doc_id, text, held_out)`` gives: rows of documents and rows of counts.
 
-    ``pair`` is the earlier id times 65536 plus the later; the pair -1 counts
-    documents. Each row has either a word or a pair.
+    A document's row has doc_id, held_out, text, ``place``, which is the hash of
+    its row, and ``ids``: its ids and its end, two bytes each. Counts are those of
+    a scan partition over documents that aren't held out, and have either a word
+    or a pair of neighbouring ids across words. ``pair`` is the earlier id times
+    65536 plus the later; the pair -1 counts documents.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def ids_of(batch: pa.RecordBatch, flat: np.ndarray, sizes: np.ndarray) -> pa.Table:
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 2
+        ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<u2"))])
+        own = {name: batch.column(name) for name in ("doc_id", "held_out", "text", "place")}
+        return pa.table({"word": pa.nulls(len(ids), pa.string()), "pair": pa.nulls(len(ids), pa.int64()), "n": pa.nulls(len(ids), pa.int64()), **own, "ids": ids})
+
+    def counts_of(table: dict, schema: pa.Schema) -> pa.Table:
+        size = len(table["n"])
+        either = {"word": pa.nulls(size, pa.string()), "pair": pa.nulls(size, pa.int64()), **table}
+        others = {name: pa.nulls(size, schema.field(name).type) for name in ("doc_id", "held_out", "text", "place")}
+        return pa.table({**either, **others, "ids": pa.nulls(size, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_words, documents = subwords(path), 0
@@ -121,23 +137,27 @@ def corpus_counts(docs: DataFrame, path: str) -> DataFrame:
         def passed_on() -> Iterator[pa.RecordBatch]:
             if tables:
                 t = pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")])
-                yield from pa.table({"word": t["word"], "pair": pa.nulls(len(t), pa.int64()), "n": t["n_sum"]}).to_batches(100_000)
+                yield from counts_of({"word": t["word"], "n": t["n_sum"]}, batch.schema).to_batches(100_000)
             if keys:
                 k, n = _summed(keys, sums)
-                yield from pa.table({"word": pa.nulls(len(k), pa.string()), "pair": k, "n": n}).to_batches(100_000)
+                yield from counts_of({"pair": pa.array(k), "n": pa.array(n)}, batch.schema).to_batches(100_000)
             tables.clear(), keys.clear(), sums.clear()
 
         for batch in batches:
-            text = batch.column("text")
-            documents += len(text)
+            text, learnt = batch.column("text"), ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            documents += int(learnt.sum())
             for a, b in slices(pc.utf8_length(text).to_pylist(), SLICE):
                 words, index, owner = split_words(text.slice(a, b - a))
-                if not words:
+                ids, n = cut_words.words(words)
+                yield from ids_of(batch.slice(a, b - a), *_text_ids(ids, n, index, owner, b - a, end=True)).to_batches()
+                texts, kept = int(learnt[a:b].sum()), learnt[a:b][owner]
+                index, owner = index[kept], owner[kept]
+                if not len(index):
                     keys.append(np.array([START << _SHIFT | END]))
-                    sums.append(np.array([b - a]))
+                    sums.append(np.array([texts]))
                     continue
-                tables.append(pa.table({"word": pa.array(words, pa.string()), "n": np.bincount(index, minlength=len(words))}))
-                ids, n = cut_words.words(words)
+                times = np.bincount(index, minlength=len(words))
+                tables.append(pa.table({"word": pa.array(words, pa.string()), "n": times}).filter(pa.array(times > 0)))
                 ends = np.cumsum(n)
                 first, last = ids[ends - n][index], ids[ends - 1][index]
                 fresh = np.diff(owner, prepend=-1) != 0
@@ -145,15 +165,31 @@ def corpus_counts(docs: DataFrame, path: str) -> DataFrame:
                 right = np.concatenate([first, np.full(fresh.sum(), END)])
                 k, c = np.unique(left.astype(np.int64) << _SHIFT | right, return_counts=True)
                 keys.append(np.append(k, START << _SHIFT | END))
-                sums.append(np.append(c, b - a - fresh.sum()))
+                sums.append(np.append(c, texts - fresh.sum()))
                 if sum(map(len, tables)) + sum(map(len, keys)) > GATHERED:
                     yield from passed_on()
         if documents:
             yield from passed_on()
-            yield from pa.table({"word": pa.nulls(1, pa.string()), "pair": pa.array([-1], pa.int64()), "n": pa.array([documents], pa.int64())}).to_batches()
+            yield from counts_of({"pair": pa.array([-1], pa.int64()), "n": pa.array([documents], pa.int64())}, batch.schema).to_batches()
 
-    emitted = docs.select(text_of().alias("text")).mapInArrow(run, "word string, pair long, n long")
-    return emitted.groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "held_out", text_of().alias("text"), _place()).mapInArrow(
+        run, f"word string, pair long, n long, doc_id {kind}, held_out boolean, text string, place long, ids binary"
+    )
+
+
+def _place() -> Column:
+    """The hash of a document's row, which names its round."""
+    return F.xxhash64(F.col("doc_id").cast("string"), text_of()).alias("place")
+
+
+def counts_in(rows: DataFrame) -> DataFrame:
+    """(word, pair, n) from ``corpus_rows``."""
+    return rows.filter(F.col("n").isNotNull()).groupBy("word", "pair").agg(F.sum("n").alias("n"))
+
+
+def corpus_counts(docs: DataFrame, path: str) -> DataFrame:
+    """(word, pair, n): counts of words, and of neighbouring ids across words, as in ``corpus_rows``, over all of ``docs``."""
+    return counts_in(corpus_rows(docs.withColumn("held_out", F.lit(False)), path))
 
 
 def pair_counts(counts: DataFrame, path: str) -> DataFrame:
@@ -213,12 +249,36 @@ def whole_texts(text: pa.Array, cut_words: Subwords, most: int = SLICE // 2) ->
         yield _text_ids(*cut_words.words(words), index, owner, b - a, end=True)
 
 
+def read_bytes(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts end to end, sizes) from two bytes for each id."""
+    return np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype(np.int32), pc.binary_length(ids).to_numpy().astype(np.int64) // 2
+
+
+def read_ids(table: DataFrame, path: str) -> DataFrame:
+    """(place, ids) of ``table(doc_id, text)``, as in ``corpus_rows``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut_words = subwords(path)
+        for batch in batches:
+            at = 0
+            for flat, sizes in whole_texts(batch.column("text"), cut_words):
+                texts = np.split(flat.astype("<u2"), np.cumsum(sizes)[:-1])
+                ids = pa.array([t.tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("place").slice(at, len(sizes)), ids], names=["place", "ids"])
+                at += len(sizes)
+
+    return table.select(text_of().alias("text"), _place()).mapInArrow(run, "place long, ids binary")
+
+
 def train_attention(spark, table: DataFrame, inv: attention.Inventory, tables: dict[str, np.ndarray], path: str, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """One pass of training over ``table(doc_id, text)`` in rounds, averaged in between.
+    """One pass of training over ``table(place, ids)`` in rounds, averaged in between.
 
     Each text is trained on whole, in the round that the hash of its row names.
+    A table of ``doc_id`` and ``text`` is cut into ids first.
     """
-    turn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text_of()), F.lit(rounds))
+    if "ids" not in table.columns:
+        table = written(read_ids(table, path))
+    turn = F.pmod("place", F.lit(rounds))
     params = attention.fresh(tables, inv)
     shapes = {n: x.shape for n, x in params.items()}
     fixed = spark.sparkContext.broadcast((inv, tables["near"]))
@@ -227,17 +287,18 @@ def train_attention(spark, table: DataFrame, inv: attention.Inventory, tables: d
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known, near = fixed.value
-            trainer, cut_words = attention.Trainer(sent.value, near, known, batch=BATCH), subwords(path)
+            trainer = attention.Trainer(sent.value, near, known, batch=BATCH)
             for batch in batches:
-                for flat, sizes in whole_texts(batch.column("text"), cut_words):
-                    trainer.learn(flat, sizes)
+                ids = batch.column("ids")
+                for a, b in slices(pc.binary_length(ids).to_pylist(), SLICE // 2):
+                    trainer.learn(*read_bytes(ids.slice(a, b - a)))
             if trainer.windows:
-                for name, x in trainer.model.p.items():
+                for name, x in trainer.params().items():
                     values = x.reshape(-1)
                     for c in range(0, len(values), _CHUNK):
                         yield pa.RecordBatch.from_pylist([{"name": name, "chunk": c, "weight": float(trainer.windows), "value": values[c : c + _CHUNK].tolist()}], schema=_PARTS)
 
-        parts = table.filter(turn == number).select(text_of().alias("text")).mapInArrow(run, "name string, chunk int, weight double, value array<float>")
+        parts = table.filter(turn == number).select("ids").mapInArrow(run, "name string, chunk int, weight double, value array<float>")
         mean = parts.groupBy("name", "chunk").applyInArrow(_average, "name string, chunk int, weight double, value array<float>").toArrow()
         if not len(mean):
             # No text's hash names this round.
@@ -302,23 +363,24 @@ def head_counts(words: DataFrame, most: int = HEAD_WORDS) -> dict[str, int]:
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark, path = docs.sparkSession, path or public_tokenizers.path(PIECES)
-    training = docs.select("doc_id", "text").filter(crc_fold(FOLDS) != HELD_OUT)
-    counts = cut(corpus_counts(training, path))
+    # Texts are cut into ids once for counts, training and scores.
+    rows = written(corpus_rows(docs.select("doc_id", "text", (crc_fold(FOLDS) == HELD_OUT).alias("held_out")), path))
+    whole = rows.filter(F.col("place").isNotNull())
+    counts = cut(counts_in(rows))
     words = counts.filter(F.col("word").isNotNull()).select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     texts = counts.filter("pair = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     train_tokens, kinds = total + texts, distinct + (texts > 0)
     inv, tables = first_tables(cut(pair_counts(counts, path)), path)
-    params = train_attention(spark, training, inv, tables, path)
+    params = train_attention(spark, whole.filter(~F.col("held_out")).select("place", "ids"), inv, tables, path)
     head = head_counts(words)
     shipped = spark.sparkContext.broadcast((inv, tables["near"], params, head))
     unit = float(np.log10(train_tokens + kinds + 1))
-    narrow = docs.select("doc_id", (crc_fold(FOLDS) == HELD_OUT).alias("held_out"), text_of().alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, near, trained, frequent = shipped.value
-        model, cut_words = attention.Model(trained, near, known), subwords(path)
+        model = attention.Model(trained, near, known)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             text = batch.column("text")
@@ -335,7 +397,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
                 key, times = np.unique(owner[rare] * max(1, len(distinct)) + index[rare], return_counts=True)
                 bounds = np.searchsorted(key // max(1, len(distinct)), np.arange(m + 1)).astype(np.int32)
                 values = pa.array(distinct, pa.string()).take(pa.array(key % max(1, len(distinct))))
-                flat, sizes = _text_ids(*cut_words.words(distinct), index, owner, m, end=True)
+                flat, sizes = read_bytes(batch.column("ids").slice(a, m))
                 w = attention.windows(flat, sizes, known, start=True)
                 total_log = np.bincount(w.text, model.log_scores(w).sum(axis=1), m) / np.log(10)
                 part = batch.slice(a, m)
@@ -346,7 +408,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"])
                 number += m
 
-    made = cut(narrow.mapInArrow(
+    made = cut(whole.select("doc_id", "held_out", "text", "ids").mapInArrow(
         run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<string>, times array<long>"
     ))
     pairs = made.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("_x")).select("uid", F.col("_x.rare").alias("word"), F.col("_x.times").alias("times"))

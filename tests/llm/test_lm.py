@@ -103,6 +103,56 @@ def test_training_lowers_the_loss(small):
     assert np.mean(t.losses[-5:]) < 0.7 * np.mean(t.losses[:5])
 
 
+def test_rows_that_a_batch_does_not_meet(small):
+    """Their steps, made later in one sum, are those of Adam over all rows."""
+    inv, tables, params = small
+    rng = np.random.default_rng(7)
+    t = attention.Trainer(params, tables["near"], inv, batch=4)
+    model = attention.Model({n: x.copy() for n, x in params.items()}, tables["near"], inv)
+    m, s, step = {n: np.zeros_like(x) for n, x in params.items()}, {n: np.zeros_like(x) for n, x in params.items()}, 0
+    for _ in range(6):
+        # A few ids at a time, and a batch to a call.
+        flat = rng.choice(rng.integers(0, 60, 8), 4 * attention.STRIDE).astype(np.int32)
+        t.learn(flat, np.array([len(flat)]))
+        _, d = model.gradients(attention.windows(flat, np.array([len(flat)]), inv, start=True))
+        step += 1
+        for name, g in d.items():
+            m[name] += 0.1 * (g - m[name])
+            s[name] += 0.01 * (g * g - s[name])
+            rate = t.RATE.get(name, t.rate) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+            model.p[name] -= (rate * m[name] / (np.sqrt(s[name]) + 1e-8)).astype(np.float32)
+        model.prepare()
+    got = t.params()
+    assert t.step == 6 and set(got) == set(params)
+    for name, x in model.p.items():
+        assert got[name].shape == x.shape and np.abs(got[name] - x).max() < 0.01 and np.abs(got[name] - x).mean() < 5e-4, name
+    assert abs(got["gate"] - params["gate"]).max() > 0.05
+
+
+def test_texts_are_cut_once(odd, none):
+    """The reading that counts also gives each text's ids, which training takes as they are."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(lmscore.PIECES)
+    rows = lmscore.corpus_rows(odd.selectExpr("*", "false as held_out"), path)
+    got = sorted(bytes(r.ids) for r in rows.filter("place is not null").collect())
+    want = []
+    for r in odd.collect():
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "")
+        ids = [i for w in re.findall(r"[^\x20\x09-\x0D]+", low) for i in lmscore.subwords(path).model.encode(w) or [0]]
+        want.append(np.array([*ids, lmscore.END], "<u2").tobytes())
+    assert got == sorted(want)
+    assert sorted(map(str, lmscore.counts_in(rows).collect())) == sorted(map(str, lmscore.corpus_counts(odd, path).collect()))
+    assert sorted(bytes(r.ids) for r in lmscore.read_ids(odd, path).collect()) == got
+    assert lmscore.corpus_rows(none.selectExpr("*", "false as held_out"), path).collect() == []
+    # Those held out have ids and no counts.
+    some = lmscore.corpus_rows(odd.selectExpr("*", "coalesce(doc_id, 0) % 2 = 0 as held_out"), path)
+    assert sorted(bytes(r.ids) for r in some.filter("place is not null").collect()) == got
+    counts = lmscore.corpus_counts(odd.filter("coalesce(doc_id, 0) % 2 <> 0"), path)
+    summed = lambda t: Counter({(r.word, r.pair): r.n for r in t.collect() if r.n})
+    assert summed(lmscore.counts_in(some)) == summed(counts)
+
+
 def test_training_reads_whole_texts():
     """Every id of every text and its end, whatever its length."""
     import public_tokenizers

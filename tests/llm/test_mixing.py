@@ -102,6 +102,50 @@ def test_training_order_holds_the_words_taken(spark, odd):
     assert mixing.training_order(odd, cut_last=True).columns == odd.columns
 
 
+@pytest.fixture(scope="module")
+def some(spark):
+    rows = [(i, " \n".join(f" w{i}x{j}" for j in range(1 + i * 7 % 23)) + "  ", f"s{i % 3}" if i % 5 else None) for i in range(80)]
+    rows += [(100, " ".join(f"long{j}" for j in range(3000)), "one"), (7, "same id " * 9, "s1"), (7, "like size " * 9, "s1"), (8, "", "s1"), (9, None, "s2")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("slots, sent", [(1, 0), (7, 300_000), (256, 300_000)])
+def test_texts_are_delivered_in_training_order(some, none, monkeypatch, slots, sent):
+    """Every reading has its text, the last of a source up to the last word taken, sorted by when it is due."""
+    monkeypatch.setattr(mixing, "SLOTS", slots)
+    monkeypatch.setattr(mixing, "SENT_ROWS", sent)
+    rows, docs = some
+    got = mixing.deliver(docs).collect()
+    assert [r.due for r in got] == sorted(r.due for r in got)
+    assert all(len(r.text.split()) == r.words > 0 for r in got)
+    held = {}
+    for d, t, s in rows:
+        held.setdefault((s, d), []).append(t or "")
+    assert all(any(t == r.text or t.startswith(r.text) and r.words < len(t.split()) for t in held[r.source, r.doc_id]) for r in got)
+    taken = {}
+    for r in got:
+        taken[r.source, r.start, r.doc_id] = taken.get((r.source, r.start, r.doc_id), 0) + r.words
+    brute_taken = sorted((doc, n) for doc, _, n, _ in brute(rows) if n)
+    assert sorted((k[2], n) for k, n in taken.items()) == brute_taken
+    # Of a document read twice both readings have the same text, or the second a part of it.
+    first = {(r.source, r.start): r.text for r in got if r.reading == 0}
+    assert all(first[r.source, r.start].startswith(r.text) for r in got if r.reading)
+    planned = sorted((r.doc_id, p) for r in mixing.plan(docs).collect() for p in r.positions)
+    assert sorted((r.doc_id, r.due) for r in got) == planned
+    assert mixing.deliver(none).collect() == []
+
+
+def test_mix_tells_what_was_delivered(some, monkeypatch):
+    """Words taken are those of the texts read out, not only planned."""
+    rows, docs = some
+    planned = {(r.doc_id, r.size, r.taken) for r in mixing.plan(docs).collect()}
+    assert {(r.doc_id, r.size, r.taken) for r in mixing.mix(docs).collect()} == planned
+    whole = mixing.first_words
+    monkeypatch.setattr(mixing, "first_words", lambda text, n: whole(text, n - 1))
+    less = {(r.doc_id, r.size, r.taken) for r in mixing.mix(docs).collect()} - planned
+    assert 0 < len(less) <= 5 and all((d, n, t + 1) in planned for d, n, t in less)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables absent")
 def test_sql(spark):
     import duckdb
